@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.keys import key_form, placeholder_list
+from tallyforge.llm.leakage import leaked_items
 from tallyforge.llm.survivors import Bundle, best_representatives
 from tallyforge.sources.tables import table
 
@@ -48,7 +49,20 @@ def p3_bundles(spark: SparkSession, d: str) -> DataFrame:
     return best_representatives(table(spark, d, "rcpt_cd"), _gift_keys(), id_col="row_id", bundles=bundles, trust=_gift_trust("rcpt_cd"), placeholders=words, dependencies=[("name", "address")])
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_bundles)}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), doc_id="doc_id", text="text", item_id="item_id", item_text="text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p9_by_item(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that contain some of an item, and the longest passage in words."""
+    return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("words").alias("longest"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_bundles, p9_found, p9_by_item)}
 
 _KEY = "CASE WHEN regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g') SIMILAR TO '.*[0-9].*' THEN regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g') END"
 
@@ -73,4 +87,9 @@ def _p3_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-SQL = {"p3_found": _p3_sql()}
+_GRAMS = "SELECT {id}, array_to_string(w[i:i + 11], ' ') AS gram FROM (SELECT {id}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {id}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {t}))"
+
+SQL = {
+    "p3_found": _p3_sql(),
+    "p9_found": f"SELECT DISTINCT d.doc_id, i.item_id FROM ({_GRAMS.format(id='doc_id', t='documents')}) d JOIN ({_GRAMS.format(id='item_id', t='eval_items')}) i USING (gram)",
+}
