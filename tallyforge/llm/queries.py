@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.keys import key_form, placeholder_list
 from tallyforge.llm.leakage import leaked_items
 from tallyforge.llm.survivors import Bundle, best_representatives
+from tallyforge.llm.truncation import truncated_texts
 from tallyforge.sources.tables import table
 
 #: Sources of a gift from most to least trusted.
@@ -62,7 +63,20 @@ def p9_by_item(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("words").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_bundles, p9_found, p9_by_item)}
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return truncated_texts(table(spark, d, "documents"), doc_id="doc_id", source="source", text="text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where("cut").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How many texts of each source lost their end."""
+    return _scored(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.col("cut").cast("int")).alias("cut"), F.avg(F.col("cut").cast("int")).alias("rate"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_bundles, p9_found, p9_by_item, p10_found, p10_rates)}
 
 _KEY = "CASE WHEN regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g') SIMILAR TO '.*[0-9].*' THEN regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g') END"
 
