@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.keys import key_form, placeholder_list
 from tallyforge.llm.leakage import leaked_items
+from tallyforge.llm.packing import pack, token_counts
 from tallyforge.llm.survivors import Bundle, best_representatives
 from tallyforge.llm.truncation import truncated_texts
 from tallyforge.sources.tables import table
 
+#: A public byte-level vocabulary, readable on every executor.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Tokens a container holds.
+CAPACITY = 2048
 #: Sources of a gift from most to least trusted.
 SOURCES = ["rcpt_cd", "s498_cd", "s497_cd"]
 GIFT_FIELDS = {
@@ -76,7 +81,13 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.col("cut").cast("int")).alias("cut"), F.avg(F.col("cut").cast("int")).alias("rate"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_bundles, p9_found, p9_by_item, p10_found, p10_rates)}
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, or of each piece of a document above the capacity."""
+    sizes = token_counts(table(spark, d, "documents"), doc_id="doc_id", text="text", vocabulary=VOCABULARY)
+    return pack(sizes, item_id="doc_id", size="tokens", capacity=CAPACITY)
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_bundles, p9_found, p9_by_item, p8_containers, p10_found, p10_rates)}
 
 _KEY = "CASE WHEN regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g') SIMILAR TO '.*[0-9].*' THEN regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g') END"
 
