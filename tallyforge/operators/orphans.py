@@ -86,6 +86,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, *, ref_key: str, ref_
         .where(F.col("kind").isNotNull() | (F.col("_tf_t").isNotNull() & (F.col("run.unsure") | F.col("run.sure_from").isNull() | (F.col("_tf_t") < F.col("run.sure_from")))))
         .select(*kept, "domain", "num", "_tf_t", "kind")
     )
+    open_rows = checkpointed(open_rows)  # few rows; read twice below
     p_domain, p_number = _integer_key(parents, parent_key)
     periods = (
         parents.select(p_domain.alias("domain"), p_number.alias("num"), F.col(parent_key).alias("key"), F.col(since).alias("since"), F.col(until).alias("until"))
