@@ -7,35 +7,45 @@ and joins spread the heavy keys over many tasks.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.session import checkpointed
+
 #: A table of states is broadcast only up to so many rows (about 50 bytes each).
 BROADCAST_ROWS = 200_000
 
 
-def key_counts(df: DataFrame, key: str) -> DataFrame:
-    """(key, n): rows per key, combined on the map side. A null key counts as a key."""
-    return df.select(F.col(key)).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+def key_histograms(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(k, bin, c): rows of every key by the binary magnitude of an integer value.
+
+    bin is 0 for 0, and for other values the number of binary digits with the
+    value's sign (at most 127 bins); null values count under a null bin and a null
+    key is a key. Counts merge on the map side: what is shuffled is bins, not rows.
+    """
+    v = F.col(value).cast("long")
+    size = F.length(F.bin(F.abs(v))).cast("int")
+    magnitude = F.when(v == 0, 0).when(v > 0, size).when(v < 0, -size)
+    return df.select(F.col(key).alias("k"), magnitude.alias("bin")).groupBy("k", "bin").agg(F.count(F.lit(1)).alias("c"))
 
 
-def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
+def heavy_keys(df: DataFrame, key: str, value: str, share: float) -> DataFrame:
     """(key, n, total): non-null keys that hold at least the given share of all rows of df.
 
-    total counts every row, also those with a null key. An empty df gives no rows.
-    At most 1 / share keys can qualify, so the result is always small.
+    n is the sum of the key's value histogram. total counts every row, also those
+    with a null key or value. An empty df gives no rows. At most 1 / share keys can
+    qualify, so the result is always small.
     """
-    counts = key_counts(df, key)
+    counts = key_histograms(df, key, value).groupBy("k").agg(F.sum("c").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     return (
-        counts.where(F.col(key).isNotNull())
+        counts.where("k is not null")
         .crossJoin(F.broadcast(total))  # a single row
         .where(F.col("n") >= F.lit(share) * F.col("total"))
-        .select(key, "n", "total")
+        .select(F.col("k").alias(key), "n", "total")
     )
 
 
@@ -73,33 +83,36 @@ def exact_quantiles(df: DataFrame, key: str, value: str, quantiles: Sequence[flo
     """(key, quantile, n, value): exact discrete quantiles of an integer column per key.
 
     The quantile q of n values is the smallest value with at least ceil(q * n)
-    values not above it (the minimum for q = 0). Distributed selection: each round
-    counts the rows of the still open value range of every (key, quantile) in at
-    most ``bins`` bins, finds the bin that holds the wanted rank, and opens only
-    that bin in the next round. The counts merge on the map side, so a round
-    shuffles bins and never values; a key that holds a third of all rows costs no
-    task more than another. The number of rounds follows from the widest range
-    alone (3 for 30 bits). Null keys and null values are left out; a key without
-    values gives no row; ties and repeated rows count as often as they occur.
+    values not above it (the minimum for q = 0). Distributed selection: the histogram
+    of binary magnitudes gives every key's count and, for every wanted rank, the
+    magnitude that holds it; each further round counts only the rows within the
+    still open range of a (key, quantile), in at most ``bins`` equal bins, and opens
+    the bin that holds the rank, until ranges are single values. The counts merge on
+    the map side, so a round shuffles bins and never values; a key that holds a third
+    of all rows costs no task more than another. The number of rounds follows from
+    the widest open range alone. Values must lie within plus or minus 2**62. Null
+    keys and null values are left out; a key without values gives no row; ties and
+    repeated rows count as often as they occur.
     """
     qs = [float(q) for q in quantiles]
     if not qs or any(not 0 <= q <= 1 for q in qs):
         raise ValueError("quantiles must lie within 0 and 1")
     rows = df.select(F.col(key).alias("k"), F.col(value).cast("long").alias("v")).where("k is not null and v is not null")
-    start = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    widest = start.agg(F.max(F.col("hi") - F.col("lo")).alias("w"), F.count(F.lit(1)).alias("keys")).first()
-    rounds = max(1, math.ceil(math.log((widest["w"] or 0) + 1, bins) - 1e-12)) if widest["keys"] else 1
-    small = widest["keys"] * len(qs) <= BROADCAST_ROWS
-    q_rows = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(q).alias("q")) for i, q in enumerate(qs)]))
-    state = start.withColumn("x", q_rows).select(
-        "k", F.col("x.i").alias("i"), "n", F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("x.q"))).cast("long").alias("rank"), "lo", (F.col("hi") - F.col("lo") + 1).alias("span")
-    )
-    for _ in range(rounds):
+    per_key = Window.partitionBy("k")  # at most 127 rows
+    sized = key_histograms(rows, "k", "v").withColumn("n", F.sum("c").over(per_key)).withColumn("upto", F.sum("c").over(per_key.orderBy("bin")))
+    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(q).alias("q")) for i, q in enumerate(qs)]))
+    state = sized.withColumn("x", wanted).withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("x.q"))).cast("long")).where("upto >= rank and upto - c < rank")
+    span = F.expr("case when bin = 0 then 1L else shiftleft(1L, abs(bin) - 1) end")
+    lo = F.when(F.col("bin") > 0, span).when(F.col("bin") < 0, 1 - 2 * span).otherwise(F.lit(0).cast("long"))
+    state = state.select("k", F.col("x.i").alias("i"), "n", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), lo.alias("lo"), span.alias("span"))
+    state = checkpointed(state)
+    widest = state.agg(F.max("span").alias("w"), F.count(F.lit(1)).alias("states")).first()
+    small = widest["states"] <= BROADCAST_ROWS
+    span_left = widest["w"] or 1
+    while span_left > 1:
+        span_left = -(-span_left // bins)
         state = state.withColumn("width", F.ceil(F.col("span") / F.lit(float(bins))).cast("long"))
-        if small:
-            open_rows = rows.join(F.broadcast(state), "k")
-        else:
-            open_rows = salted_join(rows, state, ["k"], "inner")
+        open_rows = rows.join(F.broadcast(state), "k") if small else salted_join(rows, state, ["k"], "inner")
         histogram = (
             open_rows.where("v >= lo and v < lo + span")
             .groupBy("k", "i", "n", "rank", "lo", "width", F.expr("(v - lo) div width").alias("bin"))

@@ -63,7 +63,7 @@ def _committees(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = [heavy_keys(_committees(spark, d, t), "cmte_key", HEAVY_SHARE).select(F.lit(t).alias("table_name"), "cmte_key") for t in ("rcpt_cd", "contribution_records")]
+    parts = [heavy_keys(_committees(spark, d, t), "cmte_key", "cents", HEAVY_SHARE).select(F.lit(t).alias("table_name"), "cmte_key") for t in ("rcpt_cd", "contribution_records")]
     return parts[0].unionByName(parts[1])
 
 
