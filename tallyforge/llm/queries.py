@@ -10,6 +10,7 @@ from tallyforge.llm.leakage import leaked_items
 from tallyforge.llm.packing import pack, token_counts
 from tallyforge.llm.survivors import Bundle, best_representatives
 from tallyforge.llm.truncation import truncated_texts
+from tallyforge.llm.variants import variant_clusters, variant_pairs
 from tallyforge.sources.tables import table
 
 #: A public byte-level vocabulary, readable on every executor.
@@ -81,13 +82,28 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.col("cut").cast("int")).alias("cut"), F.avg(F.col("cut").cast("int")).alias("rate"))
 
 
+def _entity_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return variant_clusters(table(spark, d, "entity"), row_id="entity_id", last="naml", first="namf", kind="entity_type", town="city", state="st", code="zip4")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return variant_pairs(_entity_clusters(spark, d)).select(F.col("id_a").cast("int").alias("entity_id_a"), F.col("id_b").cast("int").alias("entity_id_b"))
+
+
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The cluster of every entity row and the number of spellings in it."""
+    c = _entity_clusters(spark, d)
+    sizes = c.groupBy("cid").agg(F.count(F.lit(1)).alias("spellings"))
+    return c.join(sizes, "cid").select(F.col("id").cast("int").alias("entity_id"), F.col("cid").cast("int").alias("cluster_id"), "spellings")
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """The container of every document, or of each piece of a document above the capacity."""
     sizes = token_counts(table(spark, d, "documents"), doc_id="doc_id", text="text", vocabulary=VOCABULARY)
     return pack(sizes, item_id="doc_id", size="tokens", capacity=CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_bundles, p9_found, p9_by_item, p8_containers, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_bundles, p4_found, p4_entities, p9_found, p9_by_item, p8_containers, p10_found, p10_rates)}
 
 _KEY = "CASE WHEN regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g') SIMILAR TO '.*[0-9].*' THEN regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g') END"
 
