@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.keys import key_form, placeholder_list
 from tallyforge.llm.leakage import leaked_items
+from tallyforge.llm.linkage import linked
 from tallyforge.llm.packing import pack, token_counts
 from tallyforge.llm.survivors import Bundle, best_representatives
 from tallyforge.llm.truncation import truncated_texts
@@ -97,13 +98,37 @@ def p4_entities(spark: SparkSession, d: str) -> DataFrame:
     return c.join(sizes, "cid").select(F.col("id").cast("int").alias("entity_id"), F.col("cid").cast("int").alias("cluster_id"), "spellings")
 
 
+def _committee_links(spark: SparkSession, d: str) -> DataFrame:
+    fec = table(spark, d, "fec_committees").where("committee_id is not null").withColumn("number", F.xxhash64("committee_id"))
+    entity = table(spark, d, "entity")
+    cited = table(spark, d, "contribution_records").select("donor_name", key_form(F.col("cmte_id")).alias("ck")).where("donor_name is not null and ck is not null").groupBy("donor_name", "ck").agg(F.count(F.lit(1)).alias("n"))
+    ids = fec.select(key_form(F.col("committee_id")).alias("ck"), F.col("number").alias("rid"))
+    names = entity.select(F.col("entity_id").cast("long").alias("id"), F.col("fullname").alias("donor_name")).where("donor_name is not null")
+    hints = cited.join(ids, "ck").join(names, "donor_name").groupBy("id", "rid").agg(F.sum("n").alias("n"))
+    links = linked(
+        entity, fec, hints,
+        left_id="entity_id", left_names={"last": "naml", "first": "namf", "kind": "entity_type", "town": "city", "state": "st", "code": "zip4"},
+        right_id="number", right_names={"last": "committee_name", "first": None, "kind": None, "town": "city", "state": "state", "code": "zip"},
+    )
+    return links.join(fec.select("number", "committee_id"), "number").select(F.col("entity_id").cast("int").alias("entity_id"), "committee_id", "confidence")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _committee_links(spark, d).select("entity_id", "committee_id")
+
+
+def p5_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """The matched rows with the model's posterior."""
+    return _committee_links(spark, d)
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """The container of every document, or of each piece of a document above the capacity."""
     sizes = token_counts(table(spark, d, "documents"), doc_id="doc_id", text="text", vocabulary=VOCABULARY)
     return pack(sizes, item_id="doc_id", size="tokens", capacity=CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_bundles, p4_found, p4_entities, p9_found, p9_by_item, p8_containers, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_bundles, p4_found, p4_entities, p5_found, p5_confidence, p9_found, p9_by_item, p8_containers, p10_found, p10_rates)}
 
 _KEY = "CASE WHEN regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g') SIMILAR TO '.*[0-9].*' THEN regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g') END"
 
