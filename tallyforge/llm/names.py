@@ -37,7 +37,7 @@ WORDS = {
     "VAL": "VALLEY", "VLY": "VALLEY", "CNTY": "COUNTY", "CTY": "COUNTY", "NO": "NORTHERN", "N": "NORTHERN", "NORTHRN": "NORTHERN", "SO": "SOUTHERN", "S": "SOUTHERN", "SOUTHRN": "SOUTHERN",
 }
 # Legal forms and fillers that may be left out of an organisation's name.
-DROPPED = "INCORPORATED CORPORATION COMPANY LLC LTD THE OF FOR AND".split()
+DROPPED = "INCORPORATED CORPORATION COMPANY LLC LTD THE OF FOR AND LOCAL".split()
 # Words that stand around a candidate's name.
 CAMPAIGN = "FOR FRIENDS OF COMMITTEE TO ELECT RE REELECT VOTE CAMPAIGN THE".split()
 # Shortened words in names of towns.
@@ -228,26 +228,27 @@ def organisation(text: str, common: frozenset[str]) -> Name:
     """Canonical words of an organisation's name; heads are the words that are not common in the corpus."""
     text = re.sub(r"\([A-Z. ]{2,12}\)", " ", text)
     text = re.sub(r"\bP\.\s?A\.\s?C\.?|\bPAC\b", " POLITICAL ACTION COMMITTEE ", text)
-    text = re.sub(r"\bASS['’]N\b", "ASSOCIATION", text).replace("&", " AND ")
+    text = re.sub(r"\bASS['’]N\b", "ASSOCIATION", text).replace("&", " AND ").replace("+", " AND ")
     text = re.sub(r"(?<=[A-Z])['’-](?=[A-Z])", "", text)
     words = [WORDS.get(t, t) for t in map(_unscan, _tokens(text))]
+    words = ["COUNTY" if w == "COMPANY" and t == "CO" and i + 1 < len(words) else w for i, (w, t) in enumerate(zip(words, map(_unscan, _tokens(text))))]
     joined: list[str] = []
     for w in words:
-        if joined and joined[-1] + w in common and not (joined[-1] in common and w in common and joined[-1] + w not in ("FIREFIGHTERS",)):
+        if joined and joined[-1] + w in common:
             joined[-1] += w
         else:
             joined.append(w)
-    joined = [w for w in joined if w not in DROPPED]
     fixed: list[str] = []
     for w in joined:
         if w not in common and not w.isdigit() and len(w) >= 5:
-            near = [c for c in common if abs(len(c) - len(w)) <= 1 and c[0] == w[0] and distance(w, c, 1) <= 1] or [c for c in common if len(c) >= 8 and abs(len(c) - len(w)) <= 2 and distance(w, c, 2) <= 2]
-            w = near[0] if near else w
-        fixed.append(w)
+            near = [c for c in common if abs(len(c) - len(w)) <= 1 and distance(w, c, 1) <= 1] or [c for c in common if len(c) >= 8 and abs(len(c) - len(w)) <= 2 and distance(w, c, 2) <= 2]
+            w = min(near) if near else w
+        if w not in DROPPED:
+            fixed.append(w)
     numbers = " ".join(sorted(w for w in fixed if w.isdigit()))
     special = [w for w in fixed if w not in common and not w.isdigit()]
-    if len(special) == 2 and abs(fixed.index(special[0]) - fixed.index(special[1])) == 1:
-        special = ["".join(special)]  # a blank inside the word
+    if len(special) == 2 and fixed.index(special[1]) - fixed.index(special[0]) == 1:
+        special.append("".join(special))  # perhaps a blank inside the word
     rest = sorted(set(w for w in fixed if w in common))
     return Name("O", special or ["".join(sorted(fixed))], words=rest, numbers=numbers)
 

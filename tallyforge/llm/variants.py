@@ -13,7 +13,7 @@ from tallyforge.llm.names import DROPPED, FORMAL, OFFICE_OF, WORDS, Name, distan
 from tallyforge.session import checkpointed
 
 #: A word is common when it occurs in at least so many towns, and in that share of all towns.
-COMMON_TOWNS, COMMON_SHARE = 5, 0.05
+COMMON_TOWNS, COMMON_SHARE = 5, 0.03
 #: Rows from which a form's group is joined in several tasks.
 SALTS = 16
 
@@ -55,7 +55,7 @@ def profiles(rows: DataFrame, common: frozenset[str], *, row_id: str, last: str,
             yield pd.DataFrame(out, columns=["rid", "kind", "head", "heads", "given", "formal", "initials", "office", "year", "words", "numbers", "town", "state", "zip"])
 
     schema = PARSED.replace("pid long", "rid long").replace(", members long", "")
-    parsed = checkpointed(distinct.mapInPandas(take_apart, schema))
+    parsed = checkpointed(with_towns_filled(checkpointed(distinct.mapInPandas(take_apart, schema))))
     parts = [c.split()[0] for c in schema.split(", ")[1:]]
     whole = parsed.groupBy(*parts).agg(F.min("rid").alias("pid"), F.count(F.lit(1)).alias("members"))
     of_raw = parsed.join(whole.select("pid", *parts), parts).select("rid", "pid")
@@ -65,6 +65,19 @@ def profiles(rows: DataFrame, common: frozenset[str], *, row_id: str, last: str,
     return checkpointed(whole.select("pid", *parts, "members")), members
 
 
+def with_towns_filled(parsed: DataFrame) -> DataFrame:
+    """Missing towns from the code: the town most rows with the code have, else with its first four digits."""
+    known = parsed.where("town <> '' and zip <> ''")
+
+    def usual(digits: int, name: str) -> DataFrame:
+        counts = known.groupBy(F.substring("zip", 1, digits).alias(name), "town").agg(F.count(F.lit(1)).alias("n"))
+        return counts.groupBy(name).agg(F.max(F.struct("n", "town")).alias("m"), F.sum("n").alias("all")).where("m.n * 2 > all").select(name, F.col("m.town").alias(f"{name}_town"))
+
+    lost = parsed.where("town = '' and zip <> ''").withColumn("z4", F.substring("zip", 1, 4)).join(usual(5, "z5"), F.col("zip") == F.col("z5"), "left").join(usual(4, "z4"), "z4", "left")
+    filled = lost.withColumn("town", F.coalesce("z5_town", "z4_town", "town")).select(*parsed.columns)
+    return parsed.where("not (town = '' and zip <> '')").unionByName(filled)
+
+
 def rewritings(p: DataFrame) -> DataFrame:
     """(form, pid, anchored): the canonical rewritings of every profile.
 
@@ -157,25 +170,36 @@ def place_agreement(a: Side, b: Side) -> int:
 
 def head_distance(a: Side, b: Side) -> int:
     """Edits between the family names or special words, 9 when they differ."""
+    if a.kind == "O" and (len(a.heads) > 1 or len(b.heads) > 1):
+        return _special_distance(a, b)
+    x, y = a.heads[0] if a.heads else "", b.heads[0] if b.heads else ""
+    most = _tolerated(x, y)
+    d = distance(x, y, most)
+    return d if d <= most else 9
+
+
+def _tolerated(x: str, y: str) -> int:
+    short = min(len(x), len(y))
+    return 3 if short >= 9 else 2 if short >= 6 else 1 if short >= 4 else 0
+
+
+def _special_distance(a: Side, b: Side) -> int:
+    """Edits between two lists of special words; a list of three ends with its first two written as one."""
     best = 9
-    for x in a.heads:
-        for y in b.heads:
-            short = min(len(x), len(y))
-            most = 3 if short >= 9 else 2 if short >= 6 else 1 if short >= 4 else 0
-            d = distance(x, y, most)
-            if d <= most:
-                best = min(best, d)
-    if best == 9 or a.kind == "O" and (len(a.heads) > 1 or len(b.heads) > 1):
-        # every special word of the shorter side needs a partner
-        few, many = sorted((a.heads, b.heads), key=len)
-        total = 0
-        for x in few:
-            d = min((distance(x, y, 2) for y in many), default=9)
-            if d > (2 if len(x) >= 6 else 0):
-                return 9
-            total += d
-        return total if len(few) == len(many) or all(len(y) <= 3 for y in many if y not in few) or len(many) - len(few) <= 1 and a.words == b.words else 9
-    return best
+    for x in (a.heads[-1:] if len(a.heads) != 2 else ()) or ():
+        for y in (b.heads[-1:] if len(b.heads) != 2 else ()) or ():
+            d = distance(x, y, _tolerated(x, y))
+            best = min(best, d if d <= _tolerated(x, y) else 9)
+    one, two = (list(s.heads[:2] if len(s.heads) == 3 and s.heads[2] == s.heads[0] + s.heads[1] else s.heads) for s in (a, b))
+    few, many = sorted((one, two), key=len)
+    total = 0
+    for x in few:
+        d, y = min(((distance(x, y, _tolerated(x, y)), y) for y in many), default=(9, ""))
+        if d > _tolerated(x, y):
+            return best
+        total += d
+        many.remove(y)
+    return min(best, total if not many else 9)
 
 
 def given_agreement(a: Side, b: Side) -> int:
