@@ -123,7 +123,7 @@ def _score(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, widths: dict[str, list[int]], *, doc_id: str, source: str, text: str, sample: int = 20_000, cuts: int = 2) -> np.ndarray:
-    """Weights from artificial cuts of at most ``sample`` texts, chosen by a hash of their id.
+    """Weights from artificial cuts of about ``sample`` texts, those with the smallest hashes of their ids.
 
     Texts that do not end at a width of their source are taken as intact and give
     one negative each; cutting them at random places, and at a width of their source
@@ -132,12 +132,9 @@ def train(docs: DataFrame, widths: dict[str, list[int]], *, doc_id: str, source:
     of the assumed intact texts were cut in transfer, those that a model of the other
     half calls cut are left out, twice, before the last model is fitted.
     """
-    rows = (
-        docs.where(F.col(text).isNotNull() & (F.col(text) != ""))
-        .select(F.coalesce(F.col(source), F.lit("")).alias("s"), F.col(text).alias("t"), F.xxhash64(F.col(doc_id)).alias("h"))
-        .orderBy("h", "t")
-        .limit(sample)
-    )
+    rows = docs.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.coalesce(F.col(source), F.lit("")).alias("s"), F.col(text).alias("t"), F.xxhash64(F.col(doc_id)).alias("h"))
+    share = min(1.0, sample / max(1, docs.select(F.col(doc_id)).count()))
+    rows = rows.where(F.pmod(F.col("h"), F.lit(1_000_000)) < F.lit(round(share * 1_000_000)))
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
