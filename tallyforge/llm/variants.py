@@ -6,10 +6,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.names import DROPPED, FORMAL, OFFICE_OF, WORDS, Name, distance, parse, plain, state_form, town_form, zip_form, _tokens
+from tallyforge.operators.components import connected_components
 from tallyforge.session import checkpointed
 
 #: A word is common when it occurs in at least so many towns, and in that share of all towns.
@@ -298,22 +299,9 @@ def with_towns(p: DataFrame, forms: DataFrame) -> DataFrame:
     return p.join(most, "pid", "left").withColumn("towns", F.coalesce("towns", F.lit(0)).cast("int"))
 
 
-def clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(pid, cid): connected components by passing on the smallest id, with pointer jumping; cid is the smallest pid.
-
-    Each round is written to the checkpoint folder; it ends when no label changes.
-    """
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(nodes.select("pid", F.col("pid").alias("cid")))
-    for _ in range(rounds):
-        offered = both.join(labels, both["b"] == labels["pid"]).groupBy("a").agg(F.min("cid").alias("low"))
-        hop = labels.join(offered, labels["pid"] == offered["a"], "left").select("pid", F.least("cid", F.coalesce("low", "cid")).alias("cid"), F.col("cid").alias("old"))
-        up = labels.select(F.col("pid").alias("p2"), F.col("cid").alias("c2"))
-        new = checkpointed(hop.join(up, hop["cid"] == up["p2"]).select("pid", F.least("cid", "c2").alias("cid"), "old"))
-        labels = new.select("pid", "cid")
-        if new.where("cid <> old").isEmpty():
-            break
-    return labels
+def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(pid, cid): connected profiles; cid is the smallest pid."""
+    return connected_components(nodes.select(F.col("pid").alias("node")), edges).select(F.col("node").alias("pid"), F.col("component").alias("cid"))
 
 
 def variant_clusters(rows: DataFrame, *, row_id: str, last: str, first: str | None, kind: str | None, town: str, state: str, code: str) -> DataFrame:
