@@ -42,6 +42,7 @@ DROPPED = "INCORPORATED CORPORATION COMPANY LLC LTD THE OF FOR AND LOCAL".split(
 CAMPAIGN = "FOR FRIENDS OF COMMITTEE TO ELECT RE REELECT VOTE CAMPAIGN THE".split()
 # Shortened words in names of towns.
 TOWN = {"N": "NORTH", "NO": "NORTH", "S": "SOUTH", "SO": "SOUTH", "E": "EAST", "W": "WEST", "ST": "SAINT", "FT": "FORT", "MT": "MOUNT", "PT": "PORT", "SPGS": "SPRINGS", "SPG": "SPRINGS", "BCH": "BEACH"}
+_PARTS = frozenset([*TOWN.values(), "SAN", "SANTA", "LOS", "LAS"])
 # Other spellings of states.
 STATES = {
     "CALIFORNIA": "CA", "CALIF": "CA", "FLORIDA": "FL", "FLA": "FL", "TEXAS": "TX", "TEX": "TX", "NEVADA": "NV", "NEV": "NV", "COLORADO": "CO", "COLO": "CO", "NEWYORK": "NY", "UTAH": "UT",
@@ -117,6 +118,17 @@ def town_form(city: str | None) -> str:
     return " ".join(TOWN.get(w, w) for w in words)
 
 
+def same_town(a: str, b: str) -> bool:
+    """Whether two town forms are one town with at most a typo or two; North X and South X, Port X and Fort X are not."""
+    if a == b:
+        return True
+    x, y = a.split(" "), b.split(" ")
+    if any(u in _PARTS and v in _PARTS and u != v for u, v in ((x[0], y[0]), (x[-1], y[-1]))):
+        return False
+    most = 2 if min(len(a), len(b)) >= 8 else 1
+    return distance(a, b, most) <= most
+
+
 def state_form(state: str | None) -> str:
     s = re.sub(r"[^A-Z]", "", plain(state))
     return STATES.get(s, s if len(s) == 2 else "")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.names import DROPPED, FORMAL, OFFICE_OF, WORDS, Name, distance, parse, plain, state_form, town_form, zip_form, _tokens
+from tallyforge.llm.names import DROPPED, FORMAL, OFFICE_OF, WORDS, distance, parse, same_town, state_form, town_form, zip_form
 from tallyforge.operators.components import connected_components
 from tallyforge.session import checkpointed
 
@@ -153,9 +153,8 @@ def place_agreement(a: Side, b: Side) -> int:
     zips = bool(a.zip and b.zip)
     same_zip = zips and a.zip == b.zip
     if a.town and b.town:
-        d = distance(a.town, b.town, 2)
-        same = d == 0 or d <= (2 if min(len(a.town), len(b.town)) >= 8 else 1)
-        if same and d and zips and abs(int(a.zip) - int(b.zip)) > 60 and not _near_zip(a.zip, b.zip):
+        same = same_town(a.town, b.town)
+        if same and a.town != b.town and zips and abs(int(a.zip) - int(b.zip)) > 60 and not _near_zip(a.zip, b.zip):
             same = False
         if same:
             return 2 if same_zip else 1
