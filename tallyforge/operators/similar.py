@@ -37,3 +37,15 @@ def similar_pairs(df: DataFrame, row_id: str, name: str, threshold: float, edits
     across = pairs.join(ids.select(F.col("name").alias("na"), F.col("id").alias("x")), "na").join(ids.select(F.col("name").alias("nb"), F.col("id").alias("y")), "nb")
     same = ids.select("name", F.col("id").alias("x")).join(ids.select("name", F.col("id").alias("y")), "name").where("x < y")
     return across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity").unionByName(same.select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).cast("float").alias("similarity")))
+
+
+def scored_matches(df: DataFrame, row_id: str, last: str, first: str, suffix: str, town: str, threshold: float, edits: int) -> DataFrame:
+    """(a, b, score): similar family names with bonuses of 0.2 for an equal given name, 0.1 for suffix and 0.1 for town, 1 at most.
+
+    Pairs are searched from threshold - 0.1 on, and kept when the score reaches threshold.
+    """
+    pairs = similar_pairs(df, row_id, last, threshold - 0.1, edits)
+    side = lambda x: df.select(F.col(row_id).alias(x), *[F.upper(F.trim(F.col(c))).alias(f"{n}{x}") for n, c in (("f", first), ("s", suffix), ("t", town))])
+    wide = pairs.join(side("a"), "a").join(side("b"), "b")
+    bonus = sum((F.when(F.coalesce((F.col(f"{n}a") == F.col(f"{n}b")) & (F.col(f"{n}a") != ""), F.lit(False)), v).otherwise(0.0) for n, v in (("f", 0.2), ("s", 0.1), ("t", 0.1))), F.lit(0.0))
+    return wide.select("a", "b", F.least(F.lit(1.0), F.round(F.col("similarity").cast("double") + bonus, 4)).alias("score")).where(F.col("score") >= threshold)
