@@ -19,20 +19,24 @@ def similar_pairs(df: DataFrame, row_id: str, name: str, threshold: float, edits
     """
     rows = df.select(F.col(row_id).alias("id"), F.lower(F.trim(F.col(name))).alias("name")).where("id is not null and name is not null")
     n = rows.groupBy("name").agg(F.min("id").alias("rep")).withColumn("t", trigrams(F.col("name"))).where(F.size("t") > 0)
-    grams = n.select("rep", "name", "t", F.explode("t").alias("g"))
+    grams = n.select("rep", "t", F.explode("t").alias("g"))
     rarity = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     by_rarity = F.array_sort(F.collect_list(F.struct("n", "g")))
-    prefix = grams.join(rarity, "g").groupBy("rep", "name", "t").agg(by_rarity.alias("s")).withColumn("k", (F.size("t") - F.ceil(F.lit(threshold) * F.size("t")) + 1).cast("int"))
-    keys = prefix.select("rep", "name", "t", F.explode(F.slice("s", 1, "k")).alias("x")).select("rep", "name", "t", F.col("x.g").alias("g"))
-    l = keys.select("g", F.col("rep").alias("ra"), F.col("name").alias("na"), F.col("t").alias("ta"))
-    r = keys.select("g", F.col("rep").alias("rb"), F.col("name").alias("nb"), F.col("t").alias("tb"))
-    fits = (F.col("ra") < F.col("rb")) & (F.size("ta") >= F.lit(threshold) * F.size("tb")) & (F.size("tb") >= F.lit(threshold) * F.size("ta"))
+    prefix = grams.join(rarity, "g").groupBy("rep", "t").agg(by_rarity.alias("s")).withColumn("k", (F.size("t") - F.ceil(F.lit(threshold) * F.size("t")) + 1).cast("int"))
+    keys = prefix.select("rep", F.size("t").alias("size"), F.posexplode(F.slice("s", 1, "k")).alias("pos", "x")).select("rep", "size", "pos", F.col("x.g").alias("g"))
+    l = keys.select("g", F.col("rep").alias("ra"), F.col("size").alias("za"), F.col("pos").alias("pa"))
+    r = keys.select("g", F.col("rep").alias("rb"), F.col("size").alias("zb"), F.col("pos").alias("pb"))
+    # what stands behind the shared triple bounds how many more can be shared
+    room = F.least(F.col("pa"), F.col("pb")) + F.least(F.col("za") - F.col("pa"), F.col("zb") - F.col("pb"))
+    fits = (F.col("ra") < F.col("rb")) & (F.col("za") >= F.lit(threshold) * F.col("zb")) & (F.col("zb") >= F.lit(threshold) * F.col("za")) & (room * (1 + threshold) >= F.lit(threshold) * (F.col("za") + F.col("zb")) - 1e-9)
+    candidates = l.join(r, "g").where(fits).select("ra", "rb").distinct()
     shared = F.size(F.array_intersect("ta", "tb"))
     score = (shared / (F.size("ta") + F.size("tb") - shared)).cast("float")
-    pairs = l.join(r, "g").where(fits).select("ra", "rb", "na", "nb", score.alias("similarity")).where(F.col("similarity") >= F.lit(threshold).cast("float"))
+    wide = candidates.join(n.select(F.col("rep").alias("ra"), F.col("name").alias("na"), F.col("t").alias("ta")), "ra").join(n.select(F.col("rep").alias("rb"), F.col("name").alias("nb"), F.col("t").alias("tb")), "rb")
+    pairs = wide.select("ra", "rb", "na", "nb", score.alias("similarity")).where(F.col("similarity") >= F.lit(threshold).cast("float"))
     if edits is not None:
         pairs = pairs.where(F.levenshtein("na", "nb", edits) >= 0)
-    pairs = pairs.select("na", "nb", "similarity").distinct()
+    pairs = pairs.select("na", "nb", "similarity")
     ids = rows.join(n.select("name"), "name")
     across = pairs.join(ids.select(F.col("name").alias("na"), F.col("id").alias("x")), "na").join(ids.select(F.col("name").alias("nb"), F.col("id").alias("y")), "nb")
     same = ids.select("name", F.col("id").alias("x")).join(ids.select("name", F.col("id").alias("y")), "name").where("x < y")
