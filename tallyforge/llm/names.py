@@ -36,8 +36,8 @@ WORDS = {
     "CONTR": "CONTRIBUTOR", "CONTRIB": "CONTRIBUTOR", "SVC": "SERVICES", "SVCS": "SERVICES", "GRP": "GROUP", "CONSLTG": "CONSULTING", "ADV": "ADVERTISING", "ADVTG": "ADVERTISING",
     "VAL": "VALLEY", "VLY": "VALLEY", "CNTY": "COUNTY", "CTY": "COUNTY", "NO": "NORTHERN", "N": "NORTHERN", "NORTHRN": "NORTHERN", "SO": "SOUTHERN", "S": "SOUTHERN", "SOUTHRN": "SOUTHERN",
 }
-# Legal forms and fillers that may be left out of an organisation's name.
-DROPPED = "INCORPORATED CORPORATION COMPANY LLC LTD THE OF FOR AND LOCAL".split()
+# Legal forms and fillers that may be left out of an organisation's name (CO. may be a company or a county).
+DROPPED = "INCORPORATED CORPORATION COMPANY LLC LTD THE OF FOR AND LOCAL COUNTY".split()
 # Words that stand around a candidate's name.
 CAMPAIGN = "FOR FRIENDS OF COMMITTEE TO ELECT RE REELECT VOTE CAMPAIGN THE".split()
 # Shortened words in names of towns.
@@ -236,14 +236,23 @@ def campaign(text: str) -> Name | None:
     return Name("C", [surname], given, sorted(formal_names(given[0])) if given else [], initials, o, y)
 
 
+@lru_cache(maxsize=100_000)
+def _corrected(word: str, common: frozenset[str]) -> str:
+    """The common word, or what a shortened one stands for, that a word is a typo of; else the word itself."""
+    for most, least, among in ((1, 3, common), (1, 3, WORDS), (2, 8, common)):
+        near = [c for c in among if len(c) >= max(least, 4 if len(word) < 5 else 3) and abs(len(c) - len(word)) <= most and distance(word, c, most) <= most] if len(word) >= least else []
+        if near:
+            return min(WORDS.get(c, c) for c in near)
+    return word
+
+
 def organisation(text: str, common: frozenset[str]) -> Name:
     """Canonical words of an organisation's name; heads are the words that are not common in the corpus."""
-    text = re.sub(r"\([A-Z. ]{2,12}\)", " ", text)
+    text = re.sub(r"\([A-Z0-9. ]{2,12}\)", " ", text)
     text = re.sub(r"\bP\.\s?A\.\s?C\.?|\bPAC\b", " POLITICAL ACTION COMMITTEE ", text)
     text = re.sub(r"\bASS['’]N\b", "ASSOCIATION", text).replace("&", " AND ").replace("+", " AND ")
     text = re.sub(r"(?<=[A-Z])['’-](?=[A-Z])", "", text)
     words = [WORDS.get(t, t) for t in map(_unscan, _tokens(text))]
-    words = ["COUNTY" if w == "COMPANY" and t == "CO" and i + 1 < len(words) else w for i, (w, t) in enumerate(zip(words, map(_unscan, _tokens(text))))]
     joined: list[str] = []
     for w in words:
         if joined and joined[-1] + w in common:
@@ -252,9 +261,8 @@ def organisation(text: str, common: frozenset[str]) -> Name:
             joined.append(w)
     fixed: list[str] = []
     for w in joined:
-        if w not in common and not w.isdigit() and len(w) >= 5:
-            near = [c for c in common if abs(len(c) - len(w)) <= 1 and distance(w, c, 1) <= 1] or [c for c in common if len(c) >= 8 and abs(len(c) - len(w)) <= 2 and distance(w, c, 2) <= 2]
-            w = min(near) if near else w
+        if w not in common and not w.isdigit() and len(w) >= 3:
+            w = _corrected(w, common)
         if w not in DROPPED:
             fixed.append(w)
     numbers = " ".join(sorted(w for w in fixed if w.isdigit()))

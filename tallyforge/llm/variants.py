@@ -180,7 +180,7 @@ def head_distance(a: Side, b: Side) -> int:
 
 def _tolerated(x: str, y: str) -> int:
     short = min(len(x), len(y))
-    return 3 if short >= 9 else 2 if short >= 6 else 1 if short >= 4 else 0
+    return 2 if short >= 6 else 1 if short >= 4 else 0
 
 
 def _special_distance(a: Side, b: Side) -> int:
@@ -288,12 +288,14 @@ def judged_pairs(pairs: DataFrame, p: DataFrame, q: DataFrame | None = None) ->
 def with_towns(p: DataFrame, forms: DataFrame) -> DataFrame:
     """Profiles with the most places that any of their place-free forms is known in.
 
-    Places are told apart by the first three digits of the code or, without one, by
-    the town, over all rows; the count per form merges on the map side.
+    Places are told apart by the first three digits of the code; a row without one has
+    the digits most rows of its town have. The counts merge on the map side.
     """
-    place = F.when(F.col("zip") != "", F.substring("zip", 1, 3)).when(F.col("town") != "", F.col("town"))
+    near = p.where("zip <> '' and town <> ''").groupBy("town", F.substring("zip", 1, 3).alias("z3")).agg(F.count(F.lit(1)).alias("n"))
+    usual = near.groupBy("town").agg(F.max(F.struct("n", "z3")).alias("m")).select("town", F.col("m.z3").alias("z3"))
+    places = p.select("pid", "zip", "town").join(usual, "town", "left").select("pid", F.when(F.col("zip") != "", F.substring("zip", 1, 3)).otherwise(F.coalesce("z3", F.when(F.col("town") != "", F.col("town")))).alias("place"))
     free = forms.where(F.split("form", "\\|")[1] == "n")
-    known = free.join(p.select("pid", place.alias("place")), "pid").groupBy("form").agg(F.count_distinct("place").alias("towns"))
+    known = free.join(places, "pid").groupBy("form").agg(F.count_distinct("place").alias("towns"))
     most = free.join(known, "form").groupBy("pid").agg(F.max("towns").alias("towns"))
     return p.join(most, "pid", "left").withColumn("towns", F.coalesce("towns", F.lit(0)).cast("int"))
 
