@@ -36,9 +36,14 @@ def split_lines(lines: DataFrame, delimiter: str, width: int) -> DataFrame:
     return lines.where(~text.rlike("^(?U)\\s*$")).select("file", padded.alias("cells"))
 
 
+def plain_path(c: Column) -> Column:
+    """Local paths in one form: readers write file:/x or file:///x for the same file."""
+    return F.regexp_replace(c, "^file:/+", "/")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, value) of text files; only line feeds end a line, so that a lone CR stays in its field."""
-    return spark.read.option("lineSep", "\n").text(path).select(F.input_file_name().alias("file"), "value")
+    return spark.read.option("lineSep", "\n").text(path).select(plain_path(F.input_file_name()).alias("file"), "value")
 
 
 def coerced(c: Column, kind: str) -> Column:

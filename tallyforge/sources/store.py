@@ -10,6 +10,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyforge.sources.delimited import plain_path
+
 
 def upserted(old: DataFrame | None, new: DataFrame, key: Sequence[str], sequence: str, update: bool = True) -> DataFrame:
     """old with new's rows put in by key; of several new rows with a key the last by ``sequence`` counts.
@@ -70,7 +72,7 @@ class Snapshots:
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """(source_file, file_hash, bytes): SHA-256 of every file, computed where the files are read."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path").alias("source_file"), F.sha2("content", 256).alias("file_hash"), F.col("length").alias("bytes"))
+    return files.select(plain_path(F.col("path")).alias("source_file"), F.sha2("content", 256).alias("file_hash"), F.col("length").alias("bytes"))
 
 
 def files_to_load(found: DataFrame, manifest: DataFrame, table_name: str, source: str) -> DataFrame:
