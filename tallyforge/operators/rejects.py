@@ -244,6 +244,6 @@ def typed_rows(parsed: DataFrame, table_name: str, layout: Layout, table_col: st
 
     def typed(i: int, kind: str) -> Column:
         c = F.col("fields")[i]
-        return {"int": c.cast("int"), "decimal": c.cast("decimal(12,2)"), "date": c.cast("date")}.get(kind, c)
+        return {"int": c.cast("int"), "decimal": c.cast("decimal(12,2)"), "date": c.cast("date").cast("timestamp_ntz")}.get(kind, c)
 
     return parsed.where((F.col(table_col) == table_name) & F.col("reason").isNull()).select(*keep, *[typed(i, k).alias(n) for i, (n, k) in enumerate(zip(layout.names, layout.types))])

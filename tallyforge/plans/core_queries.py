@@ -99,7 +99,7 @@ def p7_rejects_by_file(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_valid_rcpt(spark: SparkSession, d: str) -> DataFrame:
     parsed, layouts = _parsed(spark, d)
-    return typed_rows(parsed, "rcpt_cd", layouts["rcpt_cd"], "table_name", ["id", "source_file"])
+    return typed_rows(parsed, "rcpt_cd", layouts["rcpt_cd"], "table_name", ["id", "source_file"]).withColumn("amount", F.col("amount").cast("double"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_by_month, p2_found, p2_changed_fields, p6_found, p6_quantiles, p6_totals, p7_found, p7_rejects_by_file, p7_valid_rcpt)}
@@ -186,7 +186,7 @@ SQL = {
     "p7_valid_rcpt": _P7_REASON
     + """SELECT id, source_file, CAST(nullif(trim(f[1]), '') AS INTEGER) AS filing_id, CAST(nullif(trim(f[2]), '') AS INTEGER) AS amend_id, CAST(nullif(trim(f[3]), '') AS INTEGER) AS line_item,
         CASE WHEN trim(f[4]) <> '' THEN f[4] END AS form_type, CASE WHEN trim(f[5]) <> '' THEN f[5] END AS rec_type, CASE WHEN trim(f[6]) <> '' THEN f[6] END AS tran_id,
-        CASE WHEN trim(f[7]) <> '' THEN f[7] END AS ctrib_naml, CASE WHEN trim(f[8]) <> '' THEN f[8] END AS ctrib_namf, CAST(nullif(trim(f[9]), '') AS DECIMAL(12,2)) AS amount,
-        CAST(strptime(nullif(trim(f[10]), ''), '%m/%d/%Y') AS DATE) AS rcpt_date, CASE WHEN trim(f[11]) <> '' THEN f[11] END AS cmte_id
+        CASE WHEN trim(f[7]) <> '' THEN f[7] END AS ctrib_naml, CASE WHEN trim(f[8]) <> '' THEN f[8] END AS ctrib_namf, CAST(CAST(nullif(trim(f[9]), '') AS DECIMAL(12,2)) AS DOUBLE) AS amount,
+        strptime(nullif(trim(f[10]), ''), '%m/%d/%Y') AS rcpt_date, CASE WHEN trim(f[11]) <> '' THEN f[11] END AS cmte_id
       FROM judged WHERE reason IS NULL AND table_name = 'rcpt_cd'""",
 }

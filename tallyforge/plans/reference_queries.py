@@ -142,19 +142,19 @@ def query(sql: str | None, base: bool = True):
     return register
 
 
-@query("SELECT row_id, filing_id, line_item, amend_id FROM rcpt")
+@query("SELECT row_id, CAST(filing_id AS VARCHAR) AS filing_id, line_item, amend_id FROM rcpt")
 def dedup_two_branch_receipts(w):
-    return w.rcpt().select("row_id", "filing_id", "line_item", "amend_id")
+    return w.rcpt().select("row_id", F.col("filing_id").cast("string"), "line_item", "amend_id")
 
 
-@query("SELECT row_id, filing_id, line_item, amend_id FROM expn")
+@query("SELECT row_id, CAST(filing_id AS VARCHAR) AS filing_id, line_item, amend_id FROM expn")
 def dedup_two_branch_expenditures(w):
-    return w.expn().select("row_id", "filing_id", "line_item", "amend_id")
+    return w.expn().select("row_id", F.col("filing_id").cast("string"), "line_item", "amend_id")
 
 
-@query("SELECT row_id, exp_date, amount FROM rapid")
+@query("SELECT row_id, exp_date, CAST(amount AS DOUBLE) AS amount FROM rapid")
 def dedup_slot_only(w):
-    return w.rapid().select("row_id", "exp_date", "amount")
+    return w.rapid().select("row_id", "exp_date", F.col("amount").cast("double"))
 
 
 @query("SELECT filing_id, filer_id FROM filing_filer")
@@ -162,14 +162,14 @@ def min_filer_per_filing(w):
     return V.filing_filer(w.filer_filings())
 
 
-@query("SELECT src, row_id, filing_id, receipt_date, CAST(amount AS DOUBLE) AS amount, cmte_id, donor_key, donor_name FROM receipts")
+@query("SELECT src, row_id, CAST(filing_id AS VARCHAR) AS filing_id, receipt_date, CAST(amount AS DOUBLE) AS amount, cmte_id, donor_key, donor_name FROM receipts")
 def receipts_all(w):
-    return w.receipts().select("src", "row_id", "filing_id", "receipt_date", F.col("amount").cast("double").alias("amount"), "cmte_id", "donor_key", "donor_name")
+    return w.receipts().select("src", "row_id", F.col("filing_id").cast("string"), "receipt_date", F.col("amount").cast("double").alias("amount"), "cmte_id", "donor_key", "donor_name")
 
 
-@query("SELECT src, row_id, cmte_id, payee_name, cycle FROM expns")
+@query("SELECT src, row_id, cmte_id, payee_name, CAST(cycle AS VARCHAR) AS cycle FROM expns")
 def expn_all(w):
-    return w.expn_all().select("src", "row_id", "cmte_id", "payee_name", "cycle")
+    return w.expn_all().select("src", "row_id", "cmte_id", "payee_name", F.col("cycle").cast("string"))
 
 
 @query(f"SELECT src, row_id FROM ({_GIFT.format('true')}) WHERE rn <= keep_n")
@@ -285,10 +285,10 @@ def find_committees(w):
 _KNOWN = "(SELECT CAST(expn_date AS DATE) AS day, amount, array_to_string(list_sort(list_distinct(list(p))), '; ') AS payees FROM (SELECT *, substr(trim(" + _PNAME + "), 1, 120) AS p FROM expn) WHERE p IS NOT NULL AND form_type <> 'F461P5' GROUP BY 1, 2)"
 
 
-@query(f"SELECT filing_id, line_item, CAST(exp_date AS DATE) AS day, CAST(r.amount AS DOUBLE) AS amount, substr(trim(expn_dscr), 1, 120) AS description, payees, payees IS NOT NULL AS resolved FROM rapid r LEFT JOIN {_KNOWN} k ON k.day = CAST(r.exp_date AS DATE) AND k.amount = r.amount")
+@query(f"SELECT filing_id, line_item, strftime(exp_date, '%Y-%m-%d') AS day, CAST(r.amount AS DOUBLE) AS amount, substr(trim(expn_dscr), 1, 120) AS description, payees, payees IS NOT NULL AS resolved FROM rapid r LEFT JOIN {_KNOWN} k ON k.day = CAST(r.exp_date AS DATE) AND k.amount = r.amount")
 def rapid_expense_resolution(w):
     lines = T.rapid_expense_vendors(w.rapid(), w.expn().where("form_type <> 'F461P5'"), limit=2_000_000_000)
-    return lines.withColumn("amount", F.col("amount").cast("double"))
+    return lines.withColumns({"amount": F.col("amount").cast("double"), "day": F.date_format("day", "yyyy-MM-dd")})
 
 
 @query(f"SELECT coalesce(trim(expn_dscr), '(none)') AS description, count(*) AS lines, {_M.format('sum(r.amount)')} AS total, max(exp_date) AS newest FROM rapid r ANTI JOIN {_KNOWN} k ON k.day = CAST(r.exp_date AS DATE) AND k.amount = r.amount GROUP BY 1")
@@ -300,19 +300,19 @@ _PERS = "coalesce(regexp_matches({0}, '(?i)\\bCandaskulez') AND regexp_matches({
 
 
 @query(
-    f"SELECT role, \"on\", CAST(amount AS DOUBLE) AS amount, name, filing_id, row_id, count(*) OVER (PARTITION BY role) AS role_total FROM (SELECT 'payee' AS role, expn_date AS \"on\", amount, {_PNAME} AS name, filing_id, row_id FROM expn WHERE {_PERS.format('payee_naml', 'payee_namf')} "
+    f"SELECT role, \"on\", CAST(amount AS DOUBLE) AS amount, name, CAST(filing_id AS VARCHAR) AS filing_id, row_id, count(*) OVER (PARTITION BY role) AS role_total FROM (SELECT 'payee' AS role, expn_date AS \"on\", amount, {_PNAME} AS name, filing_id, row_id FROM expn WHERE {_PERS.format('payee_naml', 'payee_namf')} "
     f"UNION ALL SELECT 'donor', receipt_date, amount, donor_name, filing_id, row_id FROM ({_GIFT.format('(' + _PERS.format('donor_naml', 'donor_namf') + ')')}) WHERE rn <= keep_n) QUALIFY row_number() OVER (PARTITION BY role ORDER BY \"on\" DESC NULLS LAST, row_id) <= 100"
 )
 def payments_to_person(w):
-    return T.payments_to_person(w.expn(), w.receipts(), PERSON, "row_id").withColumn("amount", F.col("amount").cast("double"))
+    return T.payments_to_person(w.expn(), w.receipts(), PERSON, "row_id").withColumns({"amount": F.col("amount").cast("double"), "filing_id": F.col("filing_id").cast("string")})
 
 
 _WORDS = "regexp_matches({0}, '(?i)\\bNURSES\\b') AND regexp_matches({0}, '(?i)\\bCOMMITTEE\\b')"
 
 
-@query(f"SELECT side, year, count(*) AS records, {_M.format('sum(amount)')} AS total FROM (SELECT 'gift' AS side, year(receipt_date) AS year, amount FROM receipts WHERE {_WORDS.format('concat_ws(chr(32), donor_naml, donor_namf)')} UNION ALL SELECT 'payment', year(expn_date), amount FROM expns WHERE {_WORDS.format('concat_ws(chr(32), payee_naml, payee_namf)')}) GROUP BY 1, 2")
+@query(f"SELECT side, CAST(year AS VARCHAR) AS year, count(*) AS records, {_M.format('sum(amount)')} AS total FROM (SELECT 'gift' AS side, year(receipt_date) AS year, amount FROM receipts WHERE {_WORDS.format('concat_ws(chr(32), donor_naml, donor_namf)')} UNION ALL SELECT 'payment', year(expn_date), amount FROM expns WHERE {_WORDS.format('concat_ws(chr(32), payee_naml, payee_namf)')}) GROUP BY 1, 2")
 def name_search_by_year(w):
-    return T.name_search(w.receipts(), w.expn_all(), "committee nurses")
+    return T.name_search(w.receipts(), w.expn_all(), "committee nurses").withColumn("year", F.col("year").cast("string"))
 
 
 @query("SELECT o_orderkey, CAST(date_diff('day', DATE '1996-06-30', CAST(o_orderdate AS DATE)) AS INTEGER) AS days_until FROM orders WHERE date_diff('day', DATE '1996-06-30', CAST(o_orderdate AS DATE)) BETWEEN 0 AND 30", base=False)
@@ -359,14 +359,14 @@ def ie_by_org(w):
 _NSIM = _SIM.format(a=_TRI.format("resolved_candidate_name"), b=_TRI.format("'nurses'"))
 
 
-@query(f"SELECT resolved_candidate_id AS candidate_id, max(resolved_candidate_name) AS candidate_name, count(*) AS ie_records, max(m) AS match FROM (SELECT *, {_NSIM} AS m FROM ie WHERE resolved_candidate_id IS NOT NULL) WHERE resolved_candidate_name ILIKE '%nurses%' OR m >= CAST(0.3 AS FLOAT) GROUP BY 1 ORDER BY match DESC, candidate_name, candidate_id LIMIT 20")
+@query(f"SELECT resolved_candidate_id AS candidate_id, max(resolved_candidate_name) AS candidate_name, count(*) AS ie_records, round(CAST(max(m) AS DOUBLE), 6) AS match FROM (SELECT *, {_NSIM} AS m FROM ie WHERE resolved_candidate_id IS NOT NULL) WHERE resolved_candidate_name ILIKE '%nurses%' OR m >= CAST(0.3 AS FLOAT) GROUP BY 1 ORDER BY match DESC, candidate_name, candidate_id LIMIT 20")
 def find_candidate(w):
-    return T.find_candidate(w.ie(), "nurses")
+    return T.find_candidate(w.ie(), "nurses").withColumn("match", F.round(F.col("match").cast("double"), 6))
 
 
-@query(f"SELECT year, count(*) AS records, {_M.format('sum(amount)')} AS total, {_M.format(chr(39).join(['sum(amount) FILTER (WHERE s = ', 'receipts', ')']))} AS receipts_total, {_M.format(chr(39).join(['sum(amount) FILTER (WHERE s = ', 'payments', ')']))} AS payments_total FROM (SELECT 'receipts' AS s, year(receipt_date) AS year, amount FROM receipts UNION ALL SELECT 'payments', year(expn_date), amount FROM expns) GROUP BY 1 HAVING total >= 1000")
+@query(f"SELECT CAST(year AS VARCHAR) AS year, count(*) AS records, {_M.format('sum(amount)')} AS total, {_M.format(chr(39).join(['sum(amount) FILTER (WHERE s = ', 'receipts', ')']))} AS receipts_total, {_M.format(chr(39).join(['sum(amount) FILTER (WHERE s = ', 'payments', ')']))} AS payments_total FROM (SELECT 'receipts' AS s, year(receipt_date) AS year, amount FROM receipts UNION ALL SELECT 'payments', year(expn_date), amount FROM expns) GROUP BY 1 HAVING total >= 1000")
 def entity_two_source_totals(w):
-    return T.two_source_totals([("receipts", w.receipts(), "receipt_date", "amount"), ("payments", w.expn_all(), "expn_date", "amount")], 1000)
+    return T.two_source_totals([("receipts", w.receipts(), "receipt_date", "amount"), ("payments", w.expn_all(), "expn_date", "amount")], 1000).withColumn("year", F.col("year").cast("string"))
 
 
 @query(f"SELECT coalesce(candidate_name, '(none)') AS candidate_name, count(*) AS expenditures, {_M.format('sum(expenditure_amount)')} AS total FROM (SELECT * FROM ie_raw WHERE election_year = {YEAR} AND transaction_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY spender_id, transaction_id ORDER BY expenditure_amount DESC NULLS FIRST, row_id) = 1) GROUP BY 1 HAVING total >= 500 ORDER BY total DESC, candidate_name LIMIT 200")
@@ -384,9 +384,9 @@ def canonical_names(w):
     return w.t("entity").select("entity_id", canonical_name(F.col("fullname")).alias("canonical"))
 
 
-@query(f"SELECT row_id, {_SIM.format(a=_TRI.format('payee_naml'), b=_TRI.format(chr(39) + 'coast strategies' + chr(39)))} AS similarity FROM expn_cd", base=False)
+@query(f"SELECT row_id, round(CAST({_SIM.format(a=_TRI.format('payee_naml'), b=_TRI.format(chr(39) + 'coast strategies' + chr(39)))} AS DOUBLE), 6) AS similarity FROM expn_cd", base=False)
 def trigram_similarities(w):
-    return w.t("expn_cd").select("row_id", trigram_similarity(F.col("payee_naml"), F.lit("coast strategies")).alias("similarity"))
+    return w.t("expn_cd").select("row_id", F.round(trigram_similarity(F.col("payee_naml"), F.lit("coast strategies")).cast("double"), 6).alias("similarity"))
 
 
 @query("SELECT row_id FROM rcpt_cd WHERE ctrib_naml ILIKE '%pac%'", base=False)
