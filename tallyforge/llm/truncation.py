@@ -19,7 +19,7 @@ TAIL = 480
 SLACK = 3
 
 #: What senders put behind a text that goes on elsewhere; "" most of the time.
-MARKS = ["", "", "", "", "", "", " ", "  ", "…", "...", " (cont", " (cont.", " (cont'd", " [...]", " (more"]
+MARKS = ["", "", "", "", "", "", " ", "  ", "…", "...", " (cont", " (cont.", " (cont'd", " [", " [...]", " (", " (more", "-", " -"]
 
 _TOKEN = re.compile(r"\S+")
 
@@ -49,6 +49,7 @@ def features(tail: str, length: int, limits: list[int]) -> list[int]:
     near = min((abs(length - spaces - x) for x in limits), default=99)
     exact = min((abs(length - x) for x in limits), default=99)
     at = "at" if exact <= 0 or near <= 0 else "near" if min(near, exact) <= SLACK else "far"
+    plain = lambda w: re.sub("[0-9]", "9", w.lower())
     stop = body[-1:] if body[-1:] and not body[-1].isalnum() else "9" if body[-1:].isdigit() else "a"
     head = tokens[0] if tokens else ""
     line_shape = " ".join(_shape(t, 3) for t in tokens[-6:])
@@ -57,14 +58,14 @@ def features(tail: str, length: int, limits: list[int]) -> list[int]:
         f"end1:{stop}",
         f"end2:{_shape(body[-2:])}",
         f"end3:{_shape(body[-3:])}|{stop}",
-        f"raw2:{body[-2:].lower()}",
-        f"word:{word.lower()[-24:]}",
+        f"raw2:{plain(body[-2:])}",
+        f"word:{plain(word[-24:])}",
         f"wshape:{_shape(word)}",
         f"wlen:{min(len(word), 12)}",
         f"two:{_shape(previous, 4)} {_shape(word)}",
-        f"prev:{previous.lower()[-24:]}",
-        f"head:{head.lower()[:24]}|{stop}",
-        f"head2:{' '.join(tokens[:2]).lower()[:32]}",
+        f"prev:{plain(previous[-24:])}",
+        f"head:{plain(head[:24])}|{stop}",
+        f"head2:{plain(' '.join(tokens[:2])[:32])}",
         f"line:{line_shape}",
         f"lines:{before_shape}/{line_shape}",
         f"before:{before_shape}|{stop}",
@@ -81,9 +82,11 @@ def features(tail: str, length: int, limits: list[int]) -> list[int]:
     return [zlib.crc32(n.encode()) % DIMENSIONS for n in named]
 
 
-def _complete(text: str) -> bool:
-    """A cut that falls behind a finished sentence or at the text's own end leaves nothing to find."""
-    body = text.rstrip()
+def _complete(text: str, at: int) -> bool:
+    """Whether the first ``at`` characters show no cut: they end behind a finished sentence or within the number the text ends with."""
+    body = text[:at].rstrip()
+    if body[-1:].isdigit() and text[at : at + 1] in set("0123456789.,") and "\n" not in text[at:].strip():
+        return True
     return not body or body[-1] in ".!?" or body[-2:] in ('."', '?"', '!"', ".)")
 
 
@@ -157,7 +160,7 @@ def train(docs: DataFrame, widths: dict[str, list[int]], *, doc_id: str, source:
                 places += [x for x in limits if x < len(t)]
                 for at in places:
                     cut = t[:at]
-                    if at >= len(t.rstrip()) or _complete(cut):
+                    if at >= len(t.rstrip()) or _complete(t, at):
                         continue
                     mark = MARKS[int(rng.integers(0, len(MARKS)))]
                     made.append(features((cut + mark)[-TAIL:], at + len(mark), limits))
