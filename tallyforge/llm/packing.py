@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from tallyforge.session import checkpointed
 
 #: Histogram bins a length is mapped to at most; capacities above are binned upwards.
-MOST_BINS = 512
+MOST_BINS = 1024
+#: Items that one ranking task sorts, about.
+ITEMS_PER_CHUNK = 500_000
 #: Deepest combination of pieces in one container pattern.
 DEPTH = 3
 #: Fixed value: how the byte-level vocabulary splits text before merging.
@@ -138,7 +140,7 @@ def plan(counts: np.ndarray) -> list[tuple[list[tuple[int, int]], int]]:
     return kinds
 
 
-def pack(items: DataFrame, *, item_id: str, size: str, capacity: int, chunks: int = 64) -> DataFrame:
+def pack(items: DataFrame, *, item_id: str, size: str, capacity: int) -> DataFrame:
     """(item_id, piece, size, container): every item, or piece of an item above the capacity, in one container.
 
     Containers never hold more than ``capacity``; only items above it are split, into
@@ -159,22 +161,21 @@ def pack(items: DataFrame, *, item_id: str, size: str, capacity: int, chunks: in
         raise ValueError("capacity must be positive")
     width = -(-capacity // MOST_BINS)
     bins = capacity // width
-    whole = bins * width  # what bins can express; larger sizes up to the capacity take all bins
     n = F.greatest(F.lit(0), F.coalesce(F.col(size).cast("long"), F.lit(0)))
     pieces = (
         items.select(F.col(item_id).alias("id"), n.alias("n"))
         .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("n") / F.lit(float(capacity))) - 1).cast("long"))))
         .select("id", "piece", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity).alias("n"))
         .withColumn("bin", F.least(F.lit(bins), F.ceil(F.col("n") / F.lit(float(width)))).cast("int"))
-        .withColumn("chunk", F.pmod(F.xxhash64("id", "piece"), F.lit(chunks)).cast("int"))
     )
     pieces = checkpointed(pieces)
+    chunks = max(16, -(-pieces.count() // ITEMS_PER_CHUNK))
+    pieces = pieces.withColumn("chunk", F.pmod(F.xxhash64("id", "piece"), F.lit(chunks)).cast("int"))
     counted = pieces.groupBy("bin", "chunk").agg(F.count(F.lit(1)).alias("c"))
     before = counted.withColumn("before", F.sum("c").over(Window.partitionBy("bin").orderBy("chunk")) - F.col("c")).select("bin", "chunk", "before")
     histogram = np.zeros(bins + 1, dtype=np.int64)
     for r in counted.groupBy("bin").agg(F.sum("c").alias("c")).collect():  # at most MOST_BINS + 1 rows
         histogram[r["bin"]] = r["c"]
-    assert whole <= capacity
     places: list[tuple[int, int, int, int, int]] = []  # bin, first rank, last rank, places per container, first container
     used = np.zeros(bins + 1, dtype=np.int64)
     base = 0 if not histogram[0] else 1
@@ -203,6 +204,6 @@ def pack(items: DataFrame, *, item_id: str, size: str, capacity: int, chunks: in
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("piece"), b.column("n"), pa.array(out)], names=["id", "piece", "n", "container"])
 
     within = Window.partitionBy("bin", "chunk").orderBy("id", "piece")
-    ranked = pieces.withColumn("r", F.row_number().over(within) - 1).join(F.broadcast(before), ["bin", "chunk"]).select("id", "piece", "n", "bin", (F.col("before") + F.col("r")).cast("long").alias("rank"))
+    ranked = pieces.withColumn("r", F.row_number().over(within) - 1).join(before, ["bin", "chunk"]).select("id", "piece", "n", "bin", (F.col("before") + F.col("r")).cast("long").alias("rank"))
     packed = ranked.mapInArrow(place, f"id {kind}, piece long, n long, container long")
     return packed.select(F.col("id").alias(item_id), "piece", F.col("n").alias("size"), "container")
