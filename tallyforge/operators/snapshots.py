@@ -37,20 +37,20 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, *, key: str, snapsho
     """
     types = dict(rows.dtypes)
     w = Window.orderBy("s")  # one row per snapshot
-    steps = snapshots.select(F.col(snapshot).alias("s")).where("s is not null").distinct().withColumn("after", F.lead("s").over(w)).withColumn("no", F.row_number().over(w))
+    steps = snapshots.select(F.col(snapshot).alias("s")).where("s is not null").distinct().withColumn("more", F.lead("s").over(w).isNotNull()).withColumn("no", F.row_number().over(w))
     values = [_text(f, types[f]).alias(f"v{i}") for i, f in enumerate(fields)]
     last = (
         rows.select(F.col(key).alias("k"), F.col(snapshot).alias("s"), F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], *values).alias("row"))
         .where("k is not null and s is not null")
         .join(steps, "s")
-        .groupBy("k", "s", "after", "no")
+        .groupBy("k", "no", "more")
         .agg(F.max("row").alias("row"))
     )
     cells = F.array(
         F.struct(F.lit(-1).alias("f"), F.lit(None).cast("string").alias("v")),
         *[F.struct(F.lit(i).alias("f"), F.col(f"row.v{i}").alias("v")) for i in range(len(fields))],
     )
-    signed = F.array(F.struct(F.when(F.col("no") > 1, F.col("s")).alias("step"), F.lit(1).alias("sign")), F.struct(F.col("after").alias("step"), F.lit(-1).alias("sign")))
+    signed = F.array(F.struct(F.when(F.col("no") > 1, F.col("no")).alias("step"), F.lit(1).alias("sign")), F.struct(F.when(F.col("more"), F.col("no") + 1).alias("step"), F.lit(-1).alias("sign")))
     sums = (
         last.repartition("k")
         .withColumn("x", F.explode(signed))
@@ -66,9 +66,10 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, *, key: str, snapsho
     return (
         sums.groupBy("k", "step")
         .agg(presence.alias("p"), changed.alias("c"))
+        .join(steps.select("s", F.col("no").alias("step")), "step")
         .select(
             F.col("k").alias(key),
-            F.col("step").alias(snapshot),
+            F.col("s").alias(snapshot),
             F.when(F.col("p") > 0, "added").when(F.col("p") < 0, "removed").otherwise("changed").alias("change_kind"),
             F.when(F.col("p").isNull(), F.array_join("c", ",")).otherwise(F.lit("")).alias("changed_fields"),
         )

@@ -47,7 +47,7 @@ def p1_by_month(spark: SparkSession, d: str) -> DataFrame:
 def _changes(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "filername_cd").withColumn("delivery", F.regexp_extract("source_file", "([0-9]{8})", 1))
     counted = counted_deliveries(table(spark, d, "load_checkpoint"), "filername_cd")
-    return snapshot_changes(rows, counted, key="id", snapshot="delivery", order=["line_no", "source_file"], fields=FILERNAME_FIELDS)
+    return snapshot_changes(rows, counted, key="id", snapshot="delivery", order=["line_no"], fields=FILERNAME_FIELDS)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
