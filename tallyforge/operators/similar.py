@@ -8,14 +8,25 @@ from pyspark.sql import functions as F
 from tallyforge.functions.text import trigrams
 
 
+def name_classes(df: DataFrame, row_id: str, name: str) -> DataFrame:
+    """(id, rep): rows with equal names, whatever their case and outer spaces, and the smallest id among them.
+
+    Null names and ids are left out.
+    """
+    rows = df.select(F.col(row_id).alias("id"), F.lower(F.trim(F.col(name))).alias("name")).where("id is not null and name is not null")
+    reps = rows.groupBy("name").agg(F.min("id").alias("rep"))
+    return rows.join(reps, "name").select("id", "rep")
+
+
 def similar_pairs(df: DataFrame, row_id: str, name: str, threshold: float, edits: int | None = None) -> DataFrame:
-    """(a, b, similarity), a < b: names whose letter triples agree by at least threshold, and whose edit distance is at most edits.
+    """(a, b, similarity), a < b: different names whose letter triples agree by at least threshold, and whose edit distance is at most edits.
 
-    Prefix filter: triples are ordered by rarity; two sets with a similarity of t must
-    share one of the first size - ceil(t * size) + 1 triples, so only those are
-    joined, with the sizes compared beforehand; every pair is then verified exactly.
-    Equal names are one representative and are paired with each other through it:
-    a pair of equal names has similarity 1. Null and wordless names have no pairs.
+    The ids are those of name_classes: one pair stands for all rows with the two
+    names, and rows with equal names are no pairs but one class, so that copies never
+    multiply. Prefix filter: triples are ordered by rarity; two sets with a similarity
+    of t must share one of the first size - ceil(t * size) + 1 triples, so only those
+    are joined, with sizes and positions compared beforehand; every pair is then
+    verified exactly. Null and wordless names have no pairs.
     """
     rows = df.select(F.col(row_id).alias("id"), F.lower(F.trim(F.col(name))).alias("name")).where("id is not null and name is not null")
     n = rows.groupBy("name").agg(F.min("id").alias("rep")).withColumn("t", trigrams(F.col("name"))).where(F.size("t") > 0)
@@ -36,20 +47,26 @@ def similar_pairs(df: DataFrame, row_id: str, name: str, threshold: float, edits
     pairs = wide.select("ra", "rb", "na", "nb", score.alias("similarity")).where(F.col("similarity") >= F.lit(threshold).cast("float"))
     if edits is not None:
         pairs = pairs.where(F.levenshtein("na", "nb", edits) >= 0)
-    pairs = pairs.select("na", "nb", "similarity")
-    ids = rows.join(n.select("name"), "name")
-    across = pairs.join(ids.select(F.col("name").alias("na"), F.col("id").alias("x")), "na").join(ids.select(F.col("name").alias("nb"), F.col("id").alias("y")), "nb")
-    same = ids.select("name", F.col("id").alias("x")).join(ids.select("name", F.col("id").alias("y")), "name").where("x < y")
-    return across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity").unionByName(same.select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).cast("float").alias("similarity")))
+    return pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "similarity")
 
 
 def scored_matches(df: DataFrame, row_id: str, last: str, first: str, suffix: str, town: str, threshold: float, edits: int) -> DataFrame:
-    """(a, b, score): similar family names with bonuses of 0.2 for an equal given name, 0.1 for suffix and 0.1 for town, 1 at most.
+    """(a, b, score), a < b: records with similar family names, with bonuses of 0.2 for an equal given name, 0.1 for suffix and 0.1 for town, 1 at most.
 
-    Pairs are searched from threshold - 0.1 on, and kept when the score reaches threshold.
+    Equal records are one, with the smallest id. Pairs are searched from threshold -
+    0.1 on, and kept when the score reaches threshold; records with one family name
+    are paired only when the given name agrees as well.
     """
-    pairs = similar_pairs(df, row_id, last, threshold - 0.1, edits)
-    side = lambda x: df.select(F.col(row_id).alias(x), *[F.upper(F.trim(F.col(c))).alias(f"{n}{x}") for n, c in (("f", first), ("s", suffix), ("t", town))])
-    wide = pairs.join(side("a"), "a").join(side("b"), "b")
-    bonus = sum((F.when(F.coalesce((F.col(f"{n}a") == F.col(f"{n}b")) & (F.col(f"{n}a") != ""), F.lit(False)), v).otherwise(0.0) for n, v in (("f", 0.2), ("s", 0.1), ("t", 0.1))), F.lit(0.0))
-    return wide.select("a", "b", F.least(F.lit(1.0), F.round(F.col("similarity").cast("double") + bonus, 4)).alias("score")).where(F.col("score") >= threshold)
+    part = lambda c: F.upper(F.coalesce(F.trim(F.col(c)), F.lit("")))
+    rows = df.where(F.col(row_id).isNotNull() & F.col(last).isNotNull()).select(F.col(row_id).alias("id"), F.lower(F.trim(F.col(last))).alias("l"), part(first).alias("f"), part(suffix).alias("s"), part(town).alias("t"))
+    records = rows.groupBy("l", "f", "s", "t").agg(F.min("id").alias("id"))
+    names = records.groupBy("l").agg(F.min("id").alias("rep"))
+    close = similar_pairs(records, "id", "l", threshold - 0.1, edits)
+    both = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    side = lambda x: records.join(names, "l").select(F.col("rep").alias(f"rep{x}"), F.col("id").alias(x), *[F.col(c).alias(f"{c}{x}") for c in "fst"])
+    across = both.select(F.col("a").alias("repa"), F.col("b").alias("repb"), F.col("similarity").cast("double").alias("similarity")).join(side("a"), "repa").join(side("b"), "repb").where("a < b")
+    same = side("a").join(side("b"), (F.col("repa") == F.col("repb")) & (F.col("fa") == F.col("fb")) & (F.col("fa") != "")).where("a < b").withColumn("similarity", F.lit(1.0))
+    cols = ["a", "b", "similarity", *[f"{c}{x}" for c in "fst" for x in "ab"]]
+    wide = across.select(*cols).unionByName(same.select(*cols))
+    bonus = sum((F.when((F.col(f"{c}a") == F.col(f"{c}b")) & (F.col(f"{c}a") != ""), v).otherwise(0.0) for c, v in (("f", 0.2), ("s", 0.1), ("t", 0.1))), F.lit(0.0))
+    return wide.select("a", "b", F.least(F.lit(1.0), F.round(F.col("similarity") + bonus, 4)).alias("score")).where(F.col("score") >= threshold)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.keys import key_form
 from tallyforge.functions.text import canonical_name, has_all_words, joined_name, starts_word, trigram_similarity
 from tallyforge.operators.components import merged_names
-from tallyforge.operators.similar import similar_pairs
+from tallyforge.operators.similar import name_classes, similar_pairs
 from tallyforge.plans import tools as T
 from tallyforge.plans import views as V
 from tallyforge.sources.tables import table
@@ -404,15 +404,19 @@ def filter_all_words(w):
     return w.t("rcpt_cd").where(has_all_words(F.col("ctrib_naml"), "committee builders")).select("row_id")
 
 
-@query(
-    "SELECT least(x.entity_id, y.entity_id) AS a, greatest(x.entity_id, y.entity_id) AS b FROM (SELECT entity_id, lower(trim(fullname)) AS n, " + _TRI.format("lower(trim(fullname))") + " AS t FROM entity) x JOIN (SELECT entity_id, lower(trim(fullname)) AS n, " + _TRI.format("lower(trim(fullname))") + " AS t FROM entity) y "
-    "ON x.entity_id < y.entity_id WHERE len(x.t) > 0 AND len(y.t) > 0 AND levenshtein(x.n, y.n) <= 3 AND CAST(len(list_intersect(x.t, y.t)) / CAST(len(list_distinct(list_concat(x.t, y.t))) AS DOUBLE) AS FLOAT) >= CAST(0.7 AS FLOAT)",
-    base=False,
-)
+_NAMED = "(SELECT n, min(entity_id) AS id, " + _TRI.format("n") + " AS t FROM (SELECT entity_id, lower(trim(fullname)) AS n FROM entity WHERE fullname IS NOT NULL) GROUP BY n)"
+
+
+@query(f"SELECT x.id AS a, y.id AS b FROM {_NAMED} x JOIN {_NAMED} y ON x.id < y.id WHERE len(x.t) > 0 AND len(y.t) > 0 AND levenshtein(x.n, y.n) <= 3 AND CAST(len(list_intersect(x.t, y.t)) / CAST(len(list_distinct(list_concat(x.t, y.t))) AS DOUBLE) AS FLOAT) >= CAST(0.7 AS FLOAT)", base=False)
 def duplicate_scan(w):
     return similar_pairs(w.t("entity"), "entity_id", "fullname", 0.7, 3).select("a", "b")
 
 
+@query("SELECT entity_id AS id, min(entity_id) OVER (PARTITION BY lower(trim(fullname))) AS rep FROM entity WHERE fullname IS NOT NULL", base=False)
+def duplicate_classes(w):
+    return name_classes(w.t("entity"), "entity_id", "fullname")
+
+
 @query(None)
 def name_merge_components(w):
     return merged_names(w.t("entity"), "fullname")

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as X
 from tallyforge.operators.components import connected_components, merged_names
-from tallyforge.operators.similar import scored_matches, similar_pairs
+from tallyforge.operators.similar import name_classes, scored_matches, similar_pairs
 from tallyforge.plans import tools as T
 
 
@@ -55,18 +55,23 @@ def test_merged_names(spark):
 
 
 def test_similar_pairs_are_all_found(spark):
-    names = ["Acme Corp", "ACME CORPS", "acme corp", "Acme Corporation", "Smith John", "Smyth John", None, "", "Completely Different"]
+    names = ["Acme Corp", "ACME CORPS", "acme corp ", "Acme Corporation", "Smith John", "Smyth John", None, "", "Completely Different"]
     df = spark.createDataFrame(list(enumerate(names)), "id int, n string")
     grams = lambda s: {f"  {w} "[i : i + 3] for w in s.lower().split() for i in range(len(w) + 1)}
-    want = {(i, j) for i, a in enumerate(names) for j, b in enumerate(names) if i < j and a and b and len(grams(a) & grams(b)) / len(grams(a) | grams(b)) >= 0.5}
+    one = {}
+    for i, n in enumerate(names):
+        if n:
+            one.setdefault(n.lower().strip(), i)
+    want = {(i, j) for a, i in one.items() for b, j in one.items() if i < j and len(grams(a) & grams(b)) / len(grams(a) | grams(b)) >= 0.5}
     assert {(r["a"], r["b"]) for r in similar_pairs(df, "id", "n", 0.5).collect()} == want
     assert similar_pairs(df.limit(0), "id", "n", 0.5).count() == 0
+    assert {(r["id"], r["rep"]) for r in name_classes(df, "id", "n").collect() if r["id"] != r["rep"]} == {(2, 0)}
 
 
 def test_scored_matches(spark):
-    df = spark.createDataFrame([(1, "Smithson", "Al", None, "X"), (2, "Smithsen", "AL", None, "x"), (3, "Smithson", "Bo", "", "Y")], "id int, l string, f string, s string, t string")
+    df = spark.createDataFrame([(1, "Smithson", "Al", None, "X"), (2, "Smithsen", "AL", None, "x"), (3, "Smithson", "Bo", "", "Y"), (4, "SMITHSON", "al", None, "x"), (5, "smithson", "AL", None, "Z"), (None, "Smithson", "Al", None, "X"), (6, None, "Al", None, "X")], "id int, l string, f string, s string, t string")
     got = {(r["a"], r["b"]): r["score"] for r in scored_matches(df, "id", "l", "f", "s", "t", 0.6, 2).collect()}
-    assert got[1, 3] == 1.0 and got[1, 2] >= 0.8 and (2, 3) not in got
+    assert set(got) == {(1, 2), (1, 5), (2, 5)} and got[1, 5] == 1.0 and got[1, 2] >= 0.8 and got[2, 5] < got[1, 2]
 
 
 def test_race_overview(spark):
