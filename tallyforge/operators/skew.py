@@ -40,21 +40,17 @@ def heavy_keys(df: DataFrame, key: str, value: str, share: float) -> DataFrame:
     qualify, so the result is always small.
     """
     counts = key_histograms(df, key, value).groupBy("k").agg(F.sum("c").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return (
-        counts.where("k is not null")
-        .crossJoin(F.broadcast(total))  # a single row
-        .where(F.col("n") >= F.lit(share) * F.col("total"))
-        .select(F.col("k").alias(key), "n", "total")
-    )
+    total = counts.agg(F.sum("n").alias("total")).scalar()
+    return counts.where("k is not null").withColumn("total", total).where(F.col("n") >= F.lit(share) * F.col("total")).select(F.col("k").alias(key), "n", "total")
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, condition=None, share: float = 0.005, salts: int = 32) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, condition=None, keys: int = 200, least: int = 1000, salts: int = 32) -> DataFrame:
     """left join right on equal keys, with the heavy keys of left spread over salts tasks.
 
-    Keys with at least ``share`` of left's rows (1 / share keys at most, hence a
-    bounded broadcast) get a random salt in left, and right's rows of those keys
-    are repeated for every salt. how is inner, left, left_semi or left_anti.
+    Heavy are the most frequent keys, ``keys`` of them at most (hence a bounded
+    broadcast, and every key with more than a 200th of the rows is among them) and
+    with at least ``least`` rows. They get a random salt in left, and right's rows of
+    those keys are repeated for every salt. how is inner, left, left_semi or left_anti.
     condition, where given, is a function of (left, right) that returns a Column.
     Null keys never match.
     """
@@ -63,8 +59,7 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
     on = list(on)
     names = [f"_tf_k{i}" for i in range(len(on))]
     counts = left.select(*[F.col(c).alias(n) for c, n in zip(on, names)]).groupBy(*names).agg(F.count(F.lit(1)).alias("_tf_n"))
-    total = counts.agg(F.sum("_tf_n").alias("_tf_total"))
-    heavy = F.broadcast(counts.crossJoin(F.broadcast(total)).where(F.col("_tf_n") >= share * F.col("_tf_total")).select(*names))
+    heavy = F.broadcast(counts.where(F.col("_tf_n") >= least).orderBy(F.col("_tf_n").desc(), *names).limit(keys).select(*names))
 
     def marked(df: DataFrame) -> DataFrame:
         same = reduce(lambda a, b: a & b, [df[c] == heavy[n] for c, n in zip(on, names)])

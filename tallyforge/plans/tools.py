@@ -115,7 +115,9 @@ def committee_profile(receipts: DataFrame, expn: DataFrame, scope: DataFrame, to
     gifts = kept_counts(r, GIFT, "src").agg(money(F.sum(F.col("keep_n") * F.col("amount"))).alias("total_receipts"), F.coalesce(F.sum("keep_n"), F.lit(0)).cast("long").alias("receipts"))
     spent = e.agg(money(F.sum("amount")).alias("total_expenditures"), F.count(F.lit(1)).alias("expenditures"))
     last = scoped(receipts, scope).select(F.col("receipt_date").alias("d")).unionByName(scoped(expn, scope).select(F.col("expn_date").alias("d"))).where(F.col("d") <= now).agg(F.date_format(F.max("d"), "yyyy-MM-dd").alias("last_activity"))
-    return gifts.crossJoin(spent).crossJoin(last)  # single rows
+    one = lambda df: df.select(F.struct("*")).scalar()
+    row = receipts.sparkSession.range(1).select(one(gifts).alias("g"), one(spent).alias("s"), one(last).alias("l"))
+    return row.select("g.*", "s.*", "l.*")
 
 
 def total_expenditures(expn: DataFrame, scope: DataFrame, year: int, exclude_refunds: bool = False) -> DataFrame:
@@ -256,7 +258,7 @@ def ie_top_spending(ie: DataFrame, side: str, committees: DataFrame, limit: int
     """The greatest spenders for or against candidates, with the name the register has for them."""
     rows = ie.where(F.col("support_oppose") == side).groupBy("spender_id").agg(F.count(F.lit(1)).alias("records"), money(F.sum("expenditure_amount")).alias("total"))
     top = rows.orderBy(F.col("total").desc(), F.col("spender_id").asc_nulls_last()).limit(limit)
-    return top.join(F.broadcast(committees), "spender_id", "left")  # at most `limit` rows meet the names
+    return top.join(committees, "spender_id", "left")
 
 
 def ie_breakdown(ie: DataFrame) -> DataFrame:
