@@ -84,9 +84,9 @@ def rewritings(p: DataFrame) -> DataFrame:
 
     Anywhere: family name with each name the given name may stand for, or with its
     initial; family name with office and year; special word with sorted other words.
-    At a place (zip code or town), where a typo may have hit any part: the two ends of
-    the family name or special word, and what stands beside it (given name, office
-    and year, or sorted common words).
+    At a zip code, where a typo may have hit any part: the two ends of the family name
+    or special word, and what stands beside it (given name, office and year, or sorted
+    common words). In a town, the ends together with what must agree beside them.
     """
     beside = (
         F.when(F.col("kind") == "P", F.transform("formal", lambda f: F.concat(F.lit("g:"), f)))
@@ -98,7 +98,9 @@ def rewritings(p: DataFrame) -> DataFrame:
     anywhere = F.flatten(F.transform("heads", lambda h: F.transform(F.concat(beside, initials), lambda b: F.concat_ws("|", F.col("kind"), F.lit("n"), h, b))))
     ends = F.flatten(F.transform("heads", lambda h: F.array(F.concat(F.lit("p:"), F.substring(h, 1, 5)), F.concat(F.lit("s:"), F.substring(F.reverse(h), 1, 5)))))
     at_zip = F.when(F.col("zip") != "", F.transform(F.concat(ends, beside), lambda x: F.concat_ws("|", F.col("kind"), F.lit("z"), F.col("zip"), x))).otherwise(F.array().cast("array<string>"))
-    at_town = F.when(F.col("town") != "", F.transform(ends, lambda x: F.concat_ws("|", F.col("kind"), F.lit("t"), F.col("town"), x))).otherwise(F.array().cast("array<string>"))
+    needed = F.when(F.col("kind") == "P", initials).when(F.col("kind") == "C", F.array(F.concat(F.lit("o:"), F.col("office")))).otherwise(beside)
+    with_needed = F.flatten(F.transform(ends, lambda x: F.transform(needed, lambda b: F.concat_ws("|", x, b))))
+    at_town = F.when(F.col("town") != "", F.transform(with_needed, lambda x: F.concat_ws("|", F.col("kind"), F.lit("t"), F.col("town"), x))).otherwise(F.array().cast("array<string>"))
     return p.select("pid", F.explode(F.array_distinct(F.concat(anywhere, at_zip, at_town))).alias("form"))
 
 
