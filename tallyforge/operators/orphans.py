@@ -10,9 +10,9 @@ from tallyforge.operators.skew import salted_join
 from tallyforge.session import checkpointed
 
 #: Keys per block: runs are cut at block ends, so a block has at most half as many runs.
-BLOCK = 1024
-#: Blocks up to which the run table is broadcast (about 100 bytes per run, few runs a block).
-BROADCAST_BLOCKS = 100_000
+BLOCK = 128
+#: Runs up to which the run table is broadcast (about 50 bytes each).
+BROADCAST_RUNS = 1_000_000
 
 
 def _integer_key(df: DataFrame, key: str) -> tuple[Column, Column]:
@@ -60,7 +60,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, *, ref_key: str, ref_
     lies beyond that run's end. The run also tells most references that are surely
     in force; only the rest is checked against the single validity periods, by an
     anti join that spreads heavy keys. The run table is broadcast when it has at
-    most BROADCAST_BLOCKS blocks and joined with salted heavy blocks otherwise.
+    most BROADCAST_RUNS runs and joined with salted heavy blocks otherwise.
 
     Defined results: a null ref_key is no reference and gives no row; with a null
     ref_time a key can be missing or deleted but not late; a parent row with null
@@ -73,7 +73,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, *, ref_key: str, ref_
     kept = [f"_tf_c{i}" for i in range(len(keep))]
     rows = refs.select(*[F.col(c).alias(k) for c, k in zip(keep, kept)], F.col(ref_key).alias("_tf_key"), domain.alias("domain"), number.alias("num"), F.col(ref_time).alias("_tf_t")).where("_tf_key is not null")
     rows = rows.withColumn("block", F.floor(F.col("num") / BLOCK))
-    if runs.count() <= BROADCAST_BLOCKS:
+    if (runs.agg(F.sum(F.size("runs")).alias("n")).first()["n"] or 0) <= BROADCAST_RUNS:
         matched = rows.join(F.broadcast(runs), ["domain", "block"], "left")
     else:
         matched = salted_join(rows, runs, ["domain", "block"], "left")

@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyforge.functions.keys import key_form
+from tallyforge.operators import orphans
 from tallyforge.operators.orphans import BLOCK, key_runs, orphan_references
 
 
@@ -59,7 +60,14 @@ def test_text_keys_are_exact(spark):
 def test_runs_are_compressed(spark):
     p = spark.createDataFrame([(i, day(0), None) for i in range(5000)], "k int, since timestamp_ntz, until timestamp_ntz")
     runs = key_runs(p, "k", "since", "until").select(F.sum(F.size("runs")).alias("n")).first()["n"]
-    assert runs == 5
+    assert runs == -(-5000 // BLOCK)
+
+
+def test_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "BROADCAST_RUNS", -1)
+    parents = [(1, 0, None), (2, 0, 5), (3, 9, None), (700, 0, None)]
+    refs = [(k, t) for k in (1, 2, 3, 4, 699, 700, 701) for t in (3, 9)] * 3
+    assert found(spark, refs, parents) == brute(refs, parents)
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
