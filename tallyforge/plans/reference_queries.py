@@ -9,9 +9,12 @@ from tallyforge.functions.keys import key_form
 from tallyforge.functions.text import canonical_name, has_all_words, joined_name, starts_word, trigram_similarity
 from tallyforge.operators.components import merged_names
 from tallyforge.operators.similar import name_classes, similar_pairs
+from tallyforge.operators.validate import Rule, validated
 from tallyforge.plans import tools as T
 from tallyforge.plans import views as V
+from tallyforge.sources.store import files_to_load
 from tallyforge.sources.tables import table
+from tallyforge.streaming.ingest import receipts_per_window
 
 FILER, YEAR, TODAY, VENDOR, PERSON = 1290000, 2023, "2025-06-30", "Strategies", "Candaskulez, Thomas"
 
@@ -430,3 +433,71 @@ def semi_join_scope(w):
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_partkey) AS parts, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-09-02' GROUP BY 1, 2", base=False)
 def pricing_summary(w):
     return w.t("lineitem").where(F.col("l_shipdate") < F.lit("1998-09-02").cast("timestamp_ntz")).groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_partkey").alias("parts"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query(f"SELECT row_id, expn_date, form_type FROM expn SEMI JOIN scope USING (filing_id) WHERE form_type = 'G' AND year(expn_date) = {YEAR} ORDER BY expn_date DESC, row_id LIMIT 50")
+def expenditures_by_outlet(w):
+    return T.expenditures_by_form(w.expn(), w.scope(), ["G"], YEAR, "row_id").select("row_id", "expn_date", "form_type")
+
+
+@query(f"SELECT row_id, expn_date, payee_naml FROM expn SEMI JOIN scope USING (filing_id) WHERE form_type IN ('D', 'E', 'F461P5') AND year(expn_date) = {YEAR} AND payee_naml ILIKE '%ton%' ORDER BY expn_date DESC, row_id LIMIT 50")
+def expenditures_by_candidate(w):
+    return T.expenditures_by_form(w.expn(), w.scope(), ["D", "E", "F461P5"], YEAR, "row_id", "ton").select("row_id", "expn_date", "payee_naml")
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS committee, count(DISTINCT o_orderkey) AS filings, round(coalesce(sum(CAST(l_extendedprice AS DECIMAL(18, 2))), 0), 2)::DOUBLE AS total FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 ORDER BY total DESC, committee LIMIT 20", base=False)
+def measure_spending(w):
+    covers = w.t("orders").select(F.col("o_orderkey").alias("filing_id"), F.col("o_custkey").cast("string").alias("committee"))
+    return T.measure_spending(covers, w.t("lineitem").select(F.col("l_orderkey").alias("filing_id"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount_a")))
+
+
+@query(f"SELECT * FROM (SELECT 'receipts' AS source, donor_name AS name, count(*) AS records, {_M.format('sum(amount)')} AS total FROM receipts WHERE donor_name IS NOT NULL GROUP BY 2 HAVING total >= 500 ORDER BY total DESC, name LIMIT 30) UNION ALL SELECT * FROM (SELECT 'payments', payee_name AS name, count(*), {_M.format('sum(amount)')} AS total FROM expns WHERE payee_name IS NOT NULL GROUP BY 2 HAVING total >= 500 ORDER BY total DESC, name LIMIT 30) ORDER BY total DESC, name, source LIMIT 30")
+def entity_top_of_two_sources(w):
+    return T.merged_top([("receipts", w.receipts(), "donor_name", "amount"), ("payments", w.expn_all(), "payee_name", "amount")], 500, 30)
+
+
+@query("SELECT row_id FROM rcpt_cd WHERE cmte_id IN (SELECT x.xref_id FROM filer_xref_cd x JOIN (SELECT filer_id, st FROM names) n USING (filer_id) WHERE upper(trim(n.st)) = 'CA')")
+def state_lens(w):
+    places = w.t("filer_xref_cd").select("filer_id", "xref_id").join(V.filer_names(w.t("filername_cd")).select("filer_id", "st"), "filer_id")
+    return T.in_state(w.t("rcpt_cd"), "cmte_id", "CA", places).select("row_id")
+
+
+@query(f"SELECT row_id FROM rcpt_cd WHERE filing_id IN (SELECT filing_id FROM filer_filings WHERE filer_id IN (SELECT filer_id FROM filer_filings WHERE filing_id IN (SELECT filing_id FROM expn WHERE {_VEND})))")
+def nested_semi_joins(w):
+    return T.lines_of_payers(w.t("rcpt_cd"), w.filer_filings(), w.expn(), VENDOR).select("row_id")
+
+
+@query("SELECT a.row_id AS row_a, b.row_id AS row_b FROM rapid a JOIN expn b ON a.amount IS NOT DISTINCT FROM b.amount AND a.exp_date IS NOT DISTINCT FROM b.expn_date AND a.filing_id IS NOT DISTINCT FROM b.filing_id")
+def null_safe_join(w):
+    a = w.rapid().select(F.col("row_id").alias("row_a"), F.col("amount").alias("am"), F.col("exp_date").alias("d"), F.col("filing_id").alias("f"))
+    b = w.expn().select(F.col("row_id").alias("row_b"), "amount", "expn_date", "filing_id")
+    return a.join(b, a["am"].eqNullSafe(b["amount"]) & a["d"].eqNullSafe(b["expn_date"]) & a["f"].eqNullSafe(b["filing_id"])).select("row_a", "row_b")
+
+
+@query("SELECT row_id, rcpt_date FROM rcpt_cd ORDER BY rcpt_date IS NULL DESC, rcpt_date DESC, row_id LIMIT 200", base=False)
+def undated_first(w):
+    return w.t("rcpt_cd").orderBy(F.col("rcpt_date").isNull().desc(), F.col("rcpt_date").desc(), "row_id").select("row_id", "rcpt_date").limit(200)
+
+
+@query("SELECT f.source_file FROM load_checkpoint f ANTI JOIN (SELECT DISTINCT file_hash FROM load_checkpoint WHERE lower(table_name) = 'filername_cd' AND source = 'calaccess' AND rows_processed > 0 AND processed_date < TIMESTAMP '2025-03-01') d USING (file_hash)", base=False)
+def files_still_to_load(w):
+    manifest = w.t("load_checkpoint")
+    return files_to_load(manifest.select("source_file", "file_hash"), manifest.where("processed_date < timestamp_ntz '2025-03-01'"), "FILERNAME_CD", "calaccess").select("source_file")
+
+
+_RULES = [Rule("committee_name", "required"), Rule("state", "length", 2, 2), Rule("zip", "length", 5, 10), Rule("committee_type", "enum", values=("H", "N", "O", "Q", "S", "Y"))]
+
+
+@query(
+    "SELECT committee_id, concat_ws('; ', CASE WHEN coalesce(trim(committee_name), '') = '' THEN 'committee_name: required' END, CASE WHEN trim(state) <> '' AND length(state) <> 2 THEN 'state: not a valid length' END, "
+    "CASE WHEN trim(zip) <> '' AND NOT length(zip) BETWEEN 5 AND 10 THEN 'zip: not a valid length' END, CASE WHEN trim(committee_type) <> '' AND committee_type NOT IN ('H', 'N', 'O', 'Q', 'S', 'Y') THEN 'committee_type: not a valid enum' END) AS errors FROM fec_committees",
+    base=False,
+)
+def rule_violations(w):
+    return validated(w.t("fec_committees"), _RULES).select("committee_id", F.array_join("_validation_errors", "; ").alias("errors"))
+
+
+@query("SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS records, round(sum(value), 2) AS total FROM events GROUP BY 1, 2", base=False)
+def daily_totals(w):
+    rows = w.t("events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return receipts_per_window(rows, "ts", "event_type", "value").withColumn("total", F.round("total", 2))

@@ -141,6 +141,45 @@ def refunds_to_donors(expn: DataFrame, scope: DataFrame, year: int, limit: int =
     return rows.groupBy(payee.alias("recipient")).agg(F.count(F.lit(1)).alias("refunds"), money(F.sum("amount")).alias("total"), F.max("expn_date").alias("last_refund")).orderBy(F.col("total").desc(), "recipient").limit(limit)
 
 
+def expenditures_by_form(expn: DataFrame, scope: DataFrame, forms: list[str], year: int, tie: str, name: str | None = None, limit: int = 50) -> DataFrame:
+    """A committee's lines of some forms in a year, newest first; with name only those whose payee contains it."""
+    rows = scoped(expn, scope).where(F.col("form_type").isin(forms) & in_year("expn_date", year))
+    if name:
+        rows = rows.where(F.col("payee_naml").ilike(f"%{name}%"))
+    return rows.orderBy(F.col("expn_date").desc_nulls_last(), F.col(tie)).limit(limit)
+
+
+def measure_spending(covers: DataFrame, summaries: DataFrame, limit: int = 20) -> DataFrame:
+    """(committee, filings, total): cover sheets with their summary lines; every line of a filing counts, covers without any too."""
+    rows = covers.join(summaries, "filing_id", "left")
+    t = rows.groupBy("committee").agg(F.count_distinct("filing_id").alias("filings"), money(F.sum("amount_a")).alias("total"))
+    return t.orderBy(F.col("total").desc(), "committee").limit(limit)
+
+
+def merged_top(parts: list[tuple[str, DataFrame, str, str]], least: float, limit: int) -> DataFrame:
+    """(name, source, records, total): the greatest names of several sources; each source's sums must reach least."""
+    out = None
+    for source, df, name, amount in parts:
+        one = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("records"), money(F.sum(amount)).alias("total"))
+        one = one.where(F.col("total") >= least).withColumn("source", F.lit(source)).orderBy(F.col("total").desc(), "name").limit(limit)
+        out = one if out is None else out.unionByName(one)
+    return out.orderBy(F.col("total").desc(), "name", "source").limit(limit)
+
+
+def in_state(rows: DataFrame, committee: str, state: str, committees: DataFrame) -> DataFrame:
+    """Rows of committees that sit in a state, or are named in the register with it: one semi join with the union of their ids."""
+    ids = committees.where(F.upper(F.trim("st")) == state).select(F.col("xref_id").alias(committee)).distinct()
+    return rows.join(ids, committee, "left_semi")
+
+
+def lines_of_payers(lines: DataFrame, filer_filings: DataFrame, expn: DataFrame, vendor: str) -> DataFrame:
+    """Lines of all filings of the filers that paid a vendor in any filing: a chain of semi joins."""
+    payee = F.coalesce(joined_name(F.col("payee_naml"), F.col("payee_namf")), F.lit(""))
+    paid = expn.where(starts_word(payee, vendor)).select("filing_id").distinct()
+    filers = filer_filings.join(paid, "filing_id", "left_semi").select("filer_id").distinct()
+    return lines.join(filer_filings.join(filers, "filer_id", "left_semi").select("filing_id").distinct(), "filing_id", "left_semi")
+
+
 def find_committees(filername: DataFrame, xref: DataFrame, text: str, limit: int = 10) -> DataFrame:
     """(xref_id, name) of filers whose family or committee name contains the text."""
     rows = filername.where(F.col("naml").ilike(f"%{text}%")).select("filer_id", display_name(F.col("naml"), F.col("namf"), F.col("namt"), F.col("nams")).alias("name"))
