@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,13 +30,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write df to the reliable checkpoint folder and go on from the files.
 
     The folder is the session's ``spark.checkpoint.dir``; only where none is set
-    (tests, a single machine) a temporary one is made. The copy survives the loss
-    of executors, which localCheckpoint and cache do not.
+    (tests, a single machine) a temporary one is made, and removed at exit. The copy
+    survives the loss of executors, which localCheckpoint and cache do not.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         told = sc.getConf().get("spark.checkpoint.dir")
-        if not told and not sc.master.startswith("local"):
+        if not told and not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(told or os.path.join(tempfile.gettempdir(), "tallyforge-checkpoints"))
+        if not told:
+            told = tempfile.mkdtemp(prefix="tallyforge-")
+            atexit.register(shutil.rmtree, told, ignore_errors=True)
+        sc.setCheckpointDir(told)
     return df.checkpoint(eager=True)
