@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.names import DROPPED, FORMAL, OFFICE_OF, WORDS, distance, parse, same_town, state_form, town_form, zip_form
@@ -79,15 +79,58 @@ def with_towns_filled(parsed: DataFrame) -> DataFrame:
     return parsed.where("not (town = '' and zip <> '')").unionByName(filled)
 
 
-def rewritings(p: DataFrame) -> DataFrame:
-    """(form, pid, anchored): the canonical rewritings of every profile.
+def respelt(words: DataFrame, most: Column, same: Callable[[str, str], bool]) -> DataFrame:
+    """(word, key): every word's own key, and those of the more frequent words it may be a respelling of; words is (word, n).
 
-    Anywhere: family name with each name the given name may stand for, or with its
+    Two words that ``same`` accepts share a key: of the two, the rarer has the other's.
+    Candidates share a text left by deleting at most ``most`` letters (2 at most) from
+    each, which all words within that many edits or swaps do; ``same`` verifies them.
+    """
+    without = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    w = F.col("word")
+    twice = F.when(F.col("most") > 1, F.flatten(F.transform(without(w), without))).otherwise(F.array().cast("array<string>"))
+    left = F.array_distinct(F.concat(F.array(w), without(w), twice))
+    cut = words.withColumn("most", most).where("most > 0 and length(word) > 1").select(F.struct("n", "word").alias("w"), F.explode(left).alias("cut")).select("w", F.xxhash64("cut").alias("cut"))
+    cut = checkpointed(cut)
+    near = cut.alias("x").join(cut.alias("y"), "cut").where("x.w < y.w and abs(length(x.w.word) - length(y.w.word)) <= 2").select(F.col("x.w.word").alias("word"), F.col("y.w.word").alias("key")).distinct()
+
+    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.loc[[same(x, y) for x, y in zip(f["word"], f["key"])]]
+
+    return words.select("word", F.col("word").alias("key")).unionByName(near.mapInPandas(verify, "word string, key string"))
+
+
+def _near_lost_zips(p: DataFrame) -> DataFrame:
+    """(zip, key): for every code, the codes of rows without a town that place_agreement takes for near, itself included."""
+    close = F.array(F.floor(F.col("zip").cast("int") / 45).cast("string"), (F.floor(F.col("zip").cast("int") / 45) + 1).cast("string"))
+    masked = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.concat(F.substring("zip", F.lit(1), i - 1), F.lit("_"), F.substring(F.col("zip"), i + 1, F.lit(5))))
+    swapped = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.concat(F.substring("zip", F.lit(1), i - 1), F.array_join(F.array_sort(F.split(F.substring(F.col("zip"), i, F.lit(2)), "")), ""), F.lit("~"), F.substring(F.col("zip"), i + 2, F.lit(5))))
+    marks = lambda df: df.distinct().withColumn("mark", F.explode(F.concat(close, masked, swapped)))
+    lost = marks(p.where("zip <> '' and town = ''").select("zip")).select(F.col("zip").alias("key"), "mark")
+    return marks(p.where("zip <> ''").select("zip")).join(lost, "mark").select("zip", "key").distinct()
+
+
+def rewritings(p: DataFrame, others: DataFrame | None = None, elsewhere: bool = False) -> DataFrame:
+    """(form, pid): the canonical rewritings of every profile.
+
+    Exact (n): family name with each name the given name may stand for, or with its
     initial; family name with office and year; special word with sorted other words.
-    At a zip code, where a typo may have hit any part: the two ends of the family name
-    or special word, and what stands beside it (given name, office and year, or sorted
-    common words). In a town, the ends together with what must agree beside them.
+    Where a typo may have hit any part, names and towns are replaced by their keys
+    (see respelt), so that whatever same_entity accepts has a form in common: the name
+    at a zip code (z); the name in a town (t), or near the code of a row without town
+    (k), with what must agree beside it. With elsewhere, also the name with what must
+    agree beside it at any place (a), for campaigns and organisations.
+
+    others are profiles that will be joined with these; the keys are those of both.
     """
+    seen = p.select("heads", "town", "zip") if others is None else p.select("heads", "town", "zip").unionByName(others.select("heads", "town", "zip"))
+    counted = lambda df: checkpointed(df.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    long = F.length("word")
+    head_keys = respelt(counted(seen.select(F.explode("heads").alias("word"))), F.when(long >= 6, 2).when(long >= 4, 1).otherwise(0), lambda x, y: distance(x, y, _tolerated(x, y)) <= _tolerated(x, y))
+    town_keys = respelt(counted(seen.where("town <> ''").select(F.col("town").alias("word"))), F.when(long >= 8, 2).otherwise(1), same_town)
+    listed = lambda df, by, name: df.groupBy(by).agg(F.collect_list("key").alias(name))
+
     beside = (
         F.when(F.col("kind") == "P", F.transform("formal", lambda f: F.concat(F.lit("g:"), f)))
         .when(F.col("kind") == "C", F.array(F.concat(F.lit("o:"), F.col("office"), F.lit(" "), F.col("year"))))
@@ -95,13 +138,23 @@ def rewritings(p: DataFrame) -> DataFrame:
     )
     initial = F.when(F.length("given") > 0, F.array(F.substring("given", 1, 1))).when(F.length("initials") > 0, F.array(F.substring("initials", 1, 1))).otherwise(F.array())
     initials = F.when(F.col("kind") == "P", F.transform(F.array_distinct(F.concat(initial, F.transform("formal", lambda f: F.substring(f, 1, 1)))), lambda f: F.concat(F.lit("i:"), f))).otherwise(F.array().cast("array<string>"))
-    anywhere = F.flatten(F.transform("heads", lambda h: F.transform(F.concat(beside, initials), lambda b: F.concat_ws("|", F.col("kind"), F.lit("n"), h, b))))
-    ends = F.flatten(F.transform("heads", lambda h: F.array(F.concat(F.lit("p:"), F.substring(h, 1, 5)), F.concat(F.lit("s:"), F.substring(F.reverse(h), 1, 5)))))
-    at_zip = F.when(F.col("zip") != "", F.transform(F.concat(ends, beside), lambda x: F.concat_ws("|", F.col("kind"), F.lit("z"), F.col("zip"), x))).otherwise(F.array().cast("array<string>"))
-    needed = F.when(F.col("kind") == "P", initials).when(F.col("kind") == "C", F.array(F.concat(F.lit("o:"), F.col("office")))).otherwise(beside)
-    with_needed = F.flatten(F.transform(ends, lambda x: F.transform(needed, lambda b: F.concat_ws("|", x, b))))
-    at_town = F.when(F.col("town") != "", F.transform(with_needed, lambda x: F.concat_ws("|", F.col("kind"), F.lit("t"), F.col("town"), x))).otherwise(F.array().cast("array<string>"))
-    return p.select("pid", F.explode(F.array_distinct(F.concat(anywhere, at_zip, at_town))).alias("form"))
+    # a given name that is in no list is compared by edits, which leave one of its first letters among those of the other
+    begin = F.substring("given", F.lit(1), F.when(F.length("given") >= 6, 3).otherwise(2))
+    unlisted = (F.length("given") > 0) & (~F.col("given").isin(*FORMAL) | (F.length("given") <= 4))
+    begins = F.when(unlisted, F.transform(F.filter(F.split(begin, ""), lambda x: x != ""), lambda x: F.concat(F.lit("b:"), x))).otherwise(F.array().cast("array<string>"))
+    needed = F.when(F.col("kind") == "P", F.concat(initials, begins)).when(F.col("kind") == "C", F.array(F.concat(F.lit("o:"), F.col("office")))).otherwise(beside)
+
+    parts = p.select("pid", "kind", "zip", "town", F.explode("heads").alias("head"), beside.alias("beside"), initials.alias("initials"), needed.alias("needed"))
+    parts = parts.join(listed(head_keys, F.col("word").alias("head"), "heads"), "head")
+    parts = parts.join(listed(town_keys, F.col("word").alias("town"), "towns"), "town", "left").join(listed(_near_lost_zips(seen), "zip", "zips"), "zip", "left")
+    none = F.array().cast("array<string>")
+    kind = lambda letter, *rest: F.concat_ws("|", F.col("kind"), F.lit(letter), *rest)
+    fuzzy = F.flatten(F.transform("heads", lambda h: F.transform("needed", lambda b: F.concat_ws("|", h, b))))
+    around = lambda letter, places: F.flatten(F.transform(F.coalesce(places, none), lambda t: F.transform(fuzzy, lambda x: kind(letter, t, x))))
+    exact = F.transform(F.concat("beside", "initials"), lambda b: kind("n", F.col("head"), b))
+    at_zip = F.when(F.col("zip") != "", F.transform("heads", lambda h: kind("z", F.col("zip"), h))).otherwise(none)
+    anywhere = F.when(F.col("kind") != "P", F.transform(fuzzy, lambda x: kind("a", x))).otherwise(none) if elsewhere else none
+    return parts.select("pid", F.explode(F.concat(exact, at_zip, around("t", F.col("towns")), around("k", F.col("zips")), anywhere)).alias("form")).distinct()
 
 
 def form_pairs(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
@@ -312,7 +365,8 @@ def variant_clusters(rows: DataFrame, *, row_id: str, last: str, first: str | No
 
     Method: every name is taken apart (order of parts, titles, nicknames, initials,
     offices, legal forms, shortened words) and all its canonical rewritings are
-    generated; equal forms are joined; a candidate pair is verified on all its parts,
+    generated, with names and towns keyed so that all within the edits that
+    verification tolerates meet; equal forms are joined; a candidate pair is verified on all its parts,
     place included, where rarity decides: without a known place only forms that are
     known in a single place link. Linked rows form clusters. Rows that agree in all
     compared parts are one profile, so copies never multiply.

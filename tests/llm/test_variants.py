@@ -1,6 +1,10 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from tallyforge.llm.variants import form_pairs, rewritings, variant_clusters, variant_pairs
+from tallyforge.llm.names import distance
+from tallyforge.llm.variants import form_pairs, respelt, rewritings, variant_clusters, variant_pairs
 
 NAMES = {"last": "naml", "first": "namf", "kind": "kind", "town": "city", "state": "st", "code": "zip4"}
 SCHEMA = "entity_id int, naml string, namf string, kind string, city string, st string, zip4 string, pid int, form string"
@@ -56,3 +60,27 @@ def test_forms_of_pairs(spark):
     p = spark.createDataFrame([(1, "P", ["SMITH"], "BILL", ["WILLIAM"], "", "", "", [], "", "X", "90001"), (2, "P", ["SMITH"], "WILLIAM", ["WILLIAM"], "", "", "", [], "", "", "")], "pid long, kind string, heads array<string>, given string, formal array<string>, initials string, office string, year string, words array<string>, numbers string, town string, zip string")
     pairs = form_pairs(rewritings(p)).collect()
     assert [(r["a"], r["b"], r["exact"]) for r in pairs] == [(1, 2, True)] and pairs[0]["rarity"] > 0
+
+
+def test_all_tolerated_respellings_meet(spark):
+    places = [("North Town", "CA", "90001"), ("Norht Town", "CA", "90040")]
+    names = [("GIPPIMIBBON", "GIPIMIBON"), ("WEROMILEZ", "VEROMILES"), ("KARTOLD", "KARXOLD"), ("BELVANTIR", "EBLVANTRI")]
+    rows = [(10 * i + j, n, "ANTHONY", "IND", *places[j]) for i, pair in enumerate(names, 1) for j, n in enumerate(pair)]
+    rows += [(91, "SMITHERSON", "QUILL", "IND", *places[0]), (92, "SMITHERSON", "UQILL", "IND", *places[1]), (93, "VORBEKK", "ANTHONY", "IND", None, "CA", "90021"), (94, "VORBEK", "ANTHONY", "IND", "North Town", "CA", "90001")]
+    got = clustered(spark, rows + [(95, "VORBEQQ", "BILL", "IND", "North Town", "CA", "90001")])
+    assert all(got[10 * i] == got[10 * i + 1] == 10 * i for i in range(1, 5))
+    assert got[91] == got[92] and got[93] == got[94] and got[95] == 95
+
+
+def test_respelt_words_share_keys(spark):
+    r = random.Random(5)
+    words = ["".join(r.choice("ABC") for _ in range(r.randrange(1, 9))) for _ in range(150)]
+    tolerated = lambda x: 2 if len(x) >= 6 else 1 if len(x) >= 4 else 0
+    same = lambda x, y: distance(x, y, 2) <= min(tolerated(x), tolerated(y))
+    words = sorted(set(words))
+    long = F.length("word")
+    keys = {}
+    for row in respelt(spark.createDataFrame([(w, 1 + len(w) % 3) for w in words], "word string, n long"), F.when(long >= 6, 2).when(long >= 4, 1).otherwise(0), same).collect():
+        keys.setdefault(row["word"], set()).add(row["key"])
+    assert all(keys[x] & keys[y] for x in words for y in words if same(x, y))
+    assert all(x == k or same(x, k) for x in words for k in keys[x])
