@@ -97,12 +97,24 @@ def p7_rejects_by_file(spark: SparkSession, d: str) -> DataFrame:
     return _parsed(spark, d)[0].groupBy("source_file").agg(F.count(F.lit(1)).alias("lines"), F.count("reason").alias("rejected"))
 
 
-def p7_valid_rcpt(spark: SparkSession, d: str) -> DataFrame:
+def _valid(spark: SparkSession, d: str, name: str, amount: str) -> DataFrame:
     parsed, layouts = _parsed(spark, d)
-    return typed_rows(parsed, "rcpt_cd", layouts["rcpt_cd"], "table_name", ["id", "source_file"]).withColumn("amount", F.col("amount").cast("double"))
+    return typed_rows(parsed, name, layouts[name], "table_name", ["id", "source_file"]).withColumn(amount, F.col(amount).cast("double"))
+
+
+def p7_valid_rcpt(spark: SparkSession, d: str) -> DataFrame:
+    return _valid(spark, d, "rcpt_cd", "amount")
+
+
+def p7_valid_individual_contributions(spark: SparkSession, d: str) -> DataFrame:
+    return _valid(spark, d, "fec_individual_contributions", "contribution_amount")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_by_month, p2_found, p2_changed_fields, p6_found, p6_quantiles, p6_totals, p7_found, p7_rejects_by_file, p7_valid_rcpt)}
+def p7_valid_ie_targeted(spark: SparkSession, d: str) -> DataFrame:
+    return _valid(spark, d, "fec_ie_targeted", "expenditure_amount")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_by_month, p2_found, p2_changed_fields, p6_found, p6_quantiles, p6_totals, p7_found, p7_rejects_by_file, p7_valid_rcpt, p7_valid_individual_contributions, p7_valid_ie_targeted)}
 
 KEY = "CASE WHEN regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g') SIMILAR TO '.*[0-9].*' THEN regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g') END"
 
@@ -162,6 +174,23 @@ judged AS (
 """
 
 
+def _valid_sql(name: str, columns: list[tuple[str, str]]) -> str:
+    """The typed columns of one layout: (column, text, int, decimal or the date's format)."""
+    forms = {"text": "CASE WHEN trim(f[{i}], ' ') <> '' THEN f[{i}] END", "int": "CAST(nullif(trim(f[{i}], ' '), '') AS INTEGER)", "decimal": "CAST(CAST(nullif(trim(f[{i}], ' '), '') AS DECIMAL(12,2)) AS DOUBLE)"}
+    cells = [forms.get(kind, f"strptime(nullif(trim(f[{{i}}], ' '), ''), '{kind}')").format(i=i) + f" AS {column}" for i, (column, kind) in enumerate(columns, 1)]
+    return _P7_REASON + f"SELECT id, source_file, {', '.join(cells)} FROM judged WHERE reason IS NULL AND table_name = '{name}'"
+
+
+_INDIVIDUAL = [
+    ("committee_id", "text"), ("amendment_ind", "text"), ("report_type", "text"), ("contributor_name", "text"), ("city", "text"), ("state", "text"), ("zip_code", "text"), ("contribution_date", "%m%d%Y"),
+    ("contribution_amount", "decimal"), ("transaction_id", "text"), ("file_number", "int"), ("memo_text", "text"), ("receipt_no", "int"),
+]
+_TARGETED = [
+    ("candidate_id", "text"), ("candidate_name", "text"), ("spender_id", "text"), ("spender_name", "text"), ("election_type", "text"), ("expenditure_date", "%d-%b-%y"), ("expenditure_amount", "decimal"),
+    ("supported_opposed", "text"), ("purpose", "text"), ("payee", "text"), ("file_number", "int"), ("transaction_id", "text"),
+]
+
+
 def _p6_union(template: str) -> str:
     return " UNION ALL ".join(template.format(t=t, k=KEY.format("cmte_id")) for t in ("rcpt_cd", "contribution_records"))
 
@@ -189,4 +218,6 @@ SQL = {
         CASE WHEN trim(f[7]) <> '' THEN f[7] END AS ctrib_naml, CASE WHEN trim(f[8]) <> '' THEN f[8] END AS ctrib_namf, CAST(CAST(nullif(trim(f[9]), '') AS DECIMAL(12,2)) AS DOUBLE) AS amount,
         strptime(nullif(trim(f[10]), ''), '%m/%d/%Y') AS rcpt_date, CASE WHEN trim(f[11]) <> '' THEN f[11] END AS cmte_id
       FROM judged WHERE reason IS NULL AND table_name = 'rcpt_cd'""",
+    "p7_valid_individual_contributions": _valid_sql("fec_individual_contributions", _INDIVIDUAL),
+    "p7_valid_ie_targeted": _valid_sql("fec_ie_targeted", _TARGETED),
 }

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tallyforge.operators.rejects import Layout, date_parser, parse_lines, parse_rows, read_layouts, record_ends, typed_rows
+from tallyforge.plans import core_queries
 
 L = Layout(",", '"', ("a", "b", "c"), ("text", "int", "date"), (None, None, "dd-MMM-yy"), (True, False, False))
 T = Layout("\t", None, ("a", "b"), ("text", "decimal"), (None, None), (False, True))
@@ -74,3 +75,15 @@ def test_rows(spark):
     typed = typed_rows(parsed, "t", layouts["t"], "table_name", ["id"]).collect()
     assert [(r["id"], r["a"], float(r["b"])) for r in typed] == [(1, "x", 1.5)] * 2
     assert parse_rows(lines.limit(0), layouts, id_col="id", table_col="table_name", line_col="row_data").count() == 0
+
+
+def test_every_layout_has_its_typed_rows(spark, tmp_path):
+    layouts = [("rcpt_cd", "\t", None, "row int, amount decimal"), ("fec_individual_contributions", "|", None, "committee_id text, contribution_amount decimal"), ("fec_ie_targeted", ",", '"', "spender_name text, expenditure_amount decimal")]
+    columns = [(t, d, q, i, *c.split(" "), None, False) for t, d, q, cs in layouts for i, c in enumerate(cs.split(", "), 1)]
+    lines = [(1, "rcpt_cd", "7\t1.5"), (2, "fec_individual_contributions", "C1|2.5"), (3, "fec_ie_targeted", '"A, ""B""", 3.5 '), (4, "fec_ie_targeted", '"A"x,1')]
+    spark.createDataFrame(columns, "table_name string, delimiter string, quote_char string, col_no int, column_name string, value_type string, date_format string, is_required boolean").write.parquet(f"{tmp_path}/file_columns.parquet")
+    spark.createDataFrame([(i, t, line, None, "f", None) for i, t, line in lines], "id int, table_name string, row_data string, error_message string, source_file string, created_at timestamp_ntz").write.parquet(f"{tmp_path}/etl_dead_letter.parquet")
+    typed = [n for n in core_queries.QUERIES if n.startswith("p7_valid_")]
+    got = sorted(tuple(r) for n in typed for r in core_queries.QUERIES[n](spark, str(tmp_path)).collect())
+    assert got == [(1, "f", 7, 1.5), (2, "f", "C1", 2.5), (3, "f", 'A, "B"', 3.5)]
+    assert set(typed) <= set(core_queries.SQL)
