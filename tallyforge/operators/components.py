@@ -9,24 +9,38 @@ from tallyforge.functions.text import candidate_tokens
 from tallyforge.session import checkpointed
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, component): component is the smallest node reached; edges are (a, b), in any direction, repeated or not.
 
-    The smallest label is passed along the edges with pointer jumping, so that the
-    rounds grow with the logarithm of the longest path; each round is written to the
-    checkpoint folder. Edges to nodes that are not in nodes are ignored.
+    Each round hooks every root to its smallest neighbouring root, if that is smaller,
+    follows the hooks to their ends and contracts the edges to the roots that are left.
+    A root that neither hooks nor is hooked to by all its neighbours is next to a
+    smaller root in the following round, so that at least half of the roots go in two
+    rounds; the rounds end when no edge is left, and more than ``rounds`` raise an
+    error. Each round is written to the checkpoint folder. Edges to nodes that are not
+    in nodes are ignored.
     """
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpointed(nodes.select("node", F.col("node").alias("component")).distinct())
+    known = labels.select("node")
+    inside = edges.where("a <> b").join(known.withColumnRenamed("node", "a"), "a", "left_semi").join(known.withColumnRenamed("node", "b"), "b", "left_semi")
+    left = checkpointed(inside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     for _ in range(rounds):
-        offered = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("low"))
-        hop = labels.join(offered, labels["node"] == offered["a"], "left").select("node", F.least("component", F.coalesce("low", "component")).alias("component"), F.col("component").alias("old"))
-        up = labels.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
-        new = checkpointed(hop.join(up, hop["component"] == up["n2"]).select("node", F.least("component", "c2").alias("component"), "old"))
-        labels = new.select("node", "component")
-        if new.where("component <> old").isEmpty():
-            break
-    return labels
+        if left.isEmpty():
+            return labels
+        hooks = checkpointed(left.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("up")))
+        while True:  # the hooks lead downwards, so that each pass halves the longest way
+            over = hooks.select(F.col("root").alias("r2"), F.col("up").alias("up2"))
+            further = checkpointed(hooks.join(over, hooks["up"] == over["r2"], "left").select("root", F.coalesce("up2", "up").alias("up"), F.col("up2").isNotNull().alias("moved")))
+            hooks = further.select("root", "up")
+            if further.where("moved").isEmpty():
+                break
+        labels = checkpointed(labels.join(hooks, labels["component"] == hooks["root"], "left").select("node", F.coalesce("up", "component").alias("component")))
+        for c in ("a", "b"):
+            left = left.join(hooks.withColumnRenamed("root", c), c, "left").withColumn(c, F.coalesce("up", c)).drop("up")
+        left = checkpointed(left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if left.isEmpty():
+        return labels
+    raise RuntimeError(f"components are unfinished after {rounds} rounds")
 
 
 def merged_names(names: DataFrame, name: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,26 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(31)) and got[35] == got[33] == 33 and got[34] == 34 and len(got) == 40
 
 
+def test_components_of_long_chains(spark):
+    way = [2, *range(10, 90), 1]  # the smallest node is the last of a chain that starts low
+    r = random.Random(3)
+    edges = list(zip(way, way[1:])) + [(r.randrange(1000, 1400), r.randrange(1000, 1400)) for _ in range(250)]
+    want = {x: x for x in {*way, *range(1000, 1400)}}
+
+    def root(x):
+        while want[x] != x:
+            x = want[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        want[y] = x
+    got = connected_components(spark.createDataFrame([(x,) for x in want], "node long"), spark.createDataFrame(edges, "a long, b long"))
+    assert {x["node"]: x["component"] for x in got.collect()} == {x: root(x) for x in want}
+    with pytest.raises(RuntimeError):
+        connected_components(spark.createDataFrame([(1,), (2,)], "node long"), spark.createDataFrame([(1, 2)], "a long, b long"), rounds=0)
+
+
 def test_merged_names(spark):
     df = spark.createDataFrame([(x,) for x in ["Eloise Reyes", "Reyes Eloise", "Eloise Gomez Reyes", "Eloise Reyes for Senate 2024", "Reyes", "John Smith", "Jane Smith", None, " "]], "n string")
     got = {r["n"]: r["group"] for r in merged_names(df, "n").collect()}
