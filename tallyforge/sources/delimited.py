@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,9 +42,9 @@ def plain_path(c: Column) -> Column:
     return F.regexp_replace(c, "^file:/+", "/")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(file, value) of text files; only line feeds end a line, so that a lone CR stays in its field."""
-    return spark.read.option("lineSep", "\n").text(path).select(plain_path(F.input_file_name()).alias("file"), "value")
+    return spark.read.option("lineSep", "\n").text(paths if isinstance(paths, str) else list(paths)).select(plain_path(F.input_file_name()).alias("file"), "value")
 
 
 def coerced(c: Column, kind: str) -> Column:
@@ -65,15 +66,21 @@ def short_date(c: Column) -> Column:
     return F.when(F.year(d) > 2068, F.add_months(d, -1200)).otherwise(d)
 
 
-def read_delimited(spark: SparkSession, path: str, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects) of files: typed rows with every required column, and (file, cells, error) of the others.
+def judged_lines(spark: SparkSession, paths: str | Sequence[str], spec: TableSpec, row_filter: Column | None = None) -> DataFrame:
+    """(file, at, cells, error, skip, the typed columns): every line of all files, by one reader.
 
     A header line, recognised by carrying the first column's name, is bound by
     position after lower-casing; it is dropped wherever a file starts with one. A
-    value that overflows its decimal rejects its row; any other misfit becomes null.
+    value that overflows its decimal is an error of its row; any other misfit becomes
+    null. skip marks rows without error that lack a required column or that
+    row_filter, a condition on the typed columns, does not hold for. at grows within
+    a file.
     """
+    return _judged(split_lines(read_lines(spark, paths), spec.delimiter, len(spec.columns)), spec, row_filter)
+
+
+def _judged(cells: DataFrame, spec: TableSpec, row_filter: Column | None) -> DataFrame:
     names = [n for n, _ in spec.columns]
-    cells = split_lines(read_lines(spark, path), spec.delimiter, len(names))
     if spec.header:
         cells = cells.where(~F.coalesce(F.lower(F.trim(F.col("cells")[0])) == names[0], F.lit(False)))
     get = {n: F.col("cells")[i] for i, n in enumerate(names)}
@@ -86,11 +93,46 @@ def read_delimited(spark: SparkSession, path: str, spec: TableSpec) -> tuple[Dat
     missing = F.lit(False)
     for n in spec.required:
         missing = missing | coerced(get[n], kinds[n]).isNull()
-    error = F.when(F.coalesce(overflow, F.lit(False)), "numeric overflow").when(missing, "required column is empty")
-    judged = cells.withColumn("error", error)
     kept = [n for n in names if n not in spec.skipped]
-    rows = judged.where("error is null").select("file", *[coerced(get[n], kinds[n]).alias(n) for n in kept], *[F.lit(v).alias(c) for c, v in spec.constants.items() if c not in names])
-    return rows, judged.where("error is not null").select("file", "cells", "error")
+    error = F.when(F.coalesce(overflow, F.lit(False)), "numeric overflow")
+    rows = cells.select("file", F.monotonically_increasing_id().alias("at"), "cells", error.alias("error"), missing.alias("skip"), *[coerced(get[n], kinds[n]).alias(n) for n in kept], *[F.lit(v).alias(c) for c, v in spec.constants.items() if c not in names])
+    return rows.withColumn("skip", F.col("error").isNull() & (F.col("skip") if row_filter is None else F.col("skip") | ~F.coalesce(row_filter, F.lit(False))))
+
+
+def rows_of(judged: DataFrame) -> DataFrame:
+    """The typed rows that are neither in error nor skipped, with file and at."""
+    return judged.where("error is null and not skip").drop("cells", "error", "skip")
+
+
+def rejects_of(judged: DataFrame) -> DataFrame:
+    """(file, cells, error) of the rows in error."""
+    return judged.where("error is not null").select("file", "cells", "error")
+
+
+def read_delimited(spark: SparkSession, paths: str | Sequence[str], spec: TableSpec, row_filter: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of files; see judged_lines. Skipped rows are in neither."""
+    judged = judged_lines(spark, paths, spec, row_filter)
+    return rows_of(judged).drop("at"), rejects_of(judged)
+
+
+def read_text(spark: SparkSession, text: str | bytes, spec: TableSpec, row_filter: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of a text in memory, by the same rules as files; its file is ''."""
+    data = text.encode() if isinstance(text, str) else text
+    lines = spark.createDataFrame([("", bytearray(x)) for x in data.split(b"\n")], "file string, value binary")
+    judged = _judged(split_lines(lines, spec.delimiter, len(spec.columns)), spec, row_filter)
+    return rows_of(judged).drop("at"), rejects_of(judged)
+
+
+def hinted(df: DataFrame, hints: dict[str, str]) -> DataFrame:
+    """df with text columns read as bool, float or int where every value fits; where one does not, the column stays text.
+
+    A column has one type here, so that a value that does not fit cannot stay beside
+    typed ones. One pass counts the misfits of all hinted columns.
+    """
+    typed = {c: F.lower(F.trim(c)).isin("true", "1", "yes") if k == "bool" else coerced(F.col(c), {"int": "long"}.get(k, k)) if k == "int" else F.trim(c).try_cast("double") for c, k in hints.items()}
+    fits = {c: (F.lower(F.trim(c)).isin("true", "1", "yes", "false", "0", "no")) if hints[c] == "bool" else typed[c].isNotNull() for c in hints}
+    misfits = df.agg(*[F.sum(F.when(F.col(c).isNotNull() & ~F.coalesce(fits[c], F.lit(False)), 1).otherwise(0)).alias(c) for c in hints]).first()
+    return df.withColumns({c: typed[c] for c in hints if not misfits[c]})
 
 
 def read_json_pages(spark: SparkSession, path: str, rename: dict[str, str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 import zipfile
 from collections.abc import Callable, Sequence
 
@@ -32,36 +33,109 @@ def upserted(old: DataFrame | None, new: DataFrame, key: Sequence[str], sequence
 
 
 class Snapshots:
-    """Parquet snapshots of tables with a pointer to the current one; a refresh never touches what readers read."""
+    """Parquet tables in numbered snapshots on any file system Spark can write to; a refresh never touches what readers read.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    Every change writes new files and then a manifest that lists the folders of the
+    table, under the next number; a reader takes the newest manifest. A manifest comes
+    into being by a rename that fails when its number is taken, so that of two writers
+    one gets an error instead of losing rows. Folders that no manifest names are left
+    overs of failed runs and are never read.
+    """
 
-    def _pointer(self, name: str) -> str:
-        return os.path.join(self.root, name, "current.json")
+    #: Buckets by key of a table that is changed in part.
+    BUCKETS = 64
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _newest(self, name: str) -> tuple[int, dict]:
+        """The number and content of the newest manifest, (0, {}) without one."""
+        folder = self._path(f"{self.root}/{name}")
+        if not self._fs.exists(folder):
+            return 0, {}
+        found = [f.getPath().getName() for f in self._fs.listStatus(folder)]
+        numbers = [int(f[1:-5]) for f in found if f.startswith("m") and f.endswith(".json")]
+        if not numbers:
+            return 0, {}
+        stream = self._fs.open(self._path(f"{self.root}/{name}/m{max(numbers):06d}.json"))
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return max(numbers), json.loads(text)
+
+    def _publish(self, name: str, number: int, manifest: dict) -> None:
+        draft = self._path(f"{self.root}/{name}/.draft-{uuid.uuid4()}")
+        out = self._fs.create(draft)
+        try:
+            out.write(bytearray(json.dumps(manifest).encode()))
+        finally:
+            out.close()
+        target = self._path(f"{self.root}/{name}/m{number:06d}.json")
+        if self._fs.exists(target) or not self._fs.rename(draft, target):
+            self._fs.delete(draft, False)
+            raise RuntimeError(f"{name} was changed by another writer")
 
     def current(self, name: str) -> DataFrame | None:
-        if not os.path.exists(self._pointer(name)):
+        return self._read(name, self._newest(name)[1].get("parts", []))
+
+    def _read(self, name: str, parts: Sequence[str]) -> DataFrame | None:
+        if not parts:
             return None
-        with open(self._pointer(name)) as f:
-            return self.spark.read.parquet(os.path.join(self.root, name, json.load(f)["version"]))
+        return self.spark.read.option("mergeSchema", len(parts) > 1).parquet(*[f"{self.root}/{name}/{p}" for p in parts])
 
     def write(self, name: str, df: DataFrame, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> DataFrame:
-        """A new snapshot, sorted within files so that row-group statistics can skip; then the pointer moves."""
-        versions = [d for d in os.listdir(os.path.join(self.root, name)) if d.startswith("v")] if os.path.isdir(os.path.join(self.root, name)) else []
-        version = f"v{1 + max((int(v[1:]) for v in versions), default=0):06d}"
-        out = df.sortWithinPartitions(*partition_by, *sort_by) if sort_by else df
-        writer = out.write
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(os.path.join(self.root, name, version))
-        with open(self._pointer(name) + ".new", "w") as f:
-            json.dump({"version": version}, f)
-        os.replace(self._pointer(name) + ".new", self._pointer(name))
+        """A whole new snapshot, sorted within files so that row-group statistics can skip."""
+        number = self._newest(name)[0] + 1
+        version = f"v{number:06d}-{uuid.uuid4().hex[:8]}"
+        writer = (df.sortWithinPartitions(*partition_by, *sort_by) if sort_by else df).write
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{name}/{version}")
+        self._publish(name, number, {"parts": [version]})
+        return self.current(name)
+
+    def change(self, name: str, new: DataFrame, key: Sequence[str], merged: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
+        """Puts new rows into the table by merged(old or None, new), rewriting only the buckets whose keys they have.
+
+        The table lies in BUCKETS folders by the hash of its key; only those that new
+        rows fall into are read and written, the others stay where they are. A table
+        that was written whole is put into buckets by the first change.
+        """
+        number, manifest = self._newest(name)
+        number += 1
+        count = manifest.get("buckets") or self.BUCKETS
+        bucket = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in key]), F.lit(count)).cast("int")
+        parts = {int(p.rsplit("=", 1)[1]): p for p in manifest["parts"]} if manifest.get("buckets") else {}
+        if parts:
+            touched = sorted(r["b"] for r in new.select(bucket.alias("b")).distinct().collect())  # at most BUCKETS numbers
+            old = self._read(name, [parts[b] for b in touched if b in parts])
+        else:
+            old = self._read(name, manifest.get("parts", []))
+        rows = merged(old, new)
+        version = f"v{number:06d}-{uuid.uuid4().hex[:8]}"
+        rows.withColumn("_tf_bucket", bucket).repartition("_tf_bucket").write.partitionBy("_tf_bucket").parquet(f"{self.root}/{name}/{version}")
+        written = [f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.root}/{name}/{version}")) if f.isDirectory()]
+        parts |= {int(w.rsplit("=", 1)[1]): f"{version}/{w}" for w in written}
+        if not parts:
+            return self.write(name, rows)
+        self._publish(name, number, {"parts": [parts[b] for b in sorted(parts)], "buckets": count})
         return self.current(name)
 
-    def upsert(self, name: str, new: DataFrame, key: Sequence[str], sequence: str) -> DataFrame:
-        return self.write(name, upserted(self.current(name), new, key, sequence))
+    def upsert(self, name: str, new: DataFrame, key: Sequence[str], sequence: str, update: bool = True) -> DataFrame:
+        """upserted() in place; without key the rows are added to the table."""
+        if not key:
+            return self.add(name, new.drop(sequence))
+        return self.change(name, new, key, lambda old, rows: upserted(old, rows, key, sequence, update))
+
+    def add(self, name: str, new: DataFrame) -> DataFrame:
+        """Rows below those the table has, which stay where they are."""
+        number, manifest = self._newest(name)
+        number += 1
+        version = f"v{number:06d}-{uuid.uuid4().hex[:8]}"
+        new.write.parquet(f"{self.root}/{name}/{version}")
+        self._publish(name, number, {"parts": [*manifest.get("parts", []), version]})
+        return self.current(name)
 
     def refresh(self, jobs: Sequence[tuple[str, Callable[[], DataFrame]]]) -> None:
         """Stored views in the order in which they build on one another."""

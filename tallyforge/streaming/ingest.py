@@ -16,14 +16,16 @@ def ingest_available(spark: SparkSession, landing: str, schema: str, store: Snap
 
     A file stream with the available-now trigger: the checkpoint remembers the files,
     so that a run after a failure repeats at most the batch that failed, and an upsert
-    repeated gives the same table.
+    repeated gives the same table. A batch rewrites only the buckets its keys fall into.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        old = store.current(name)
-        rows = batch if old is None else batch.unionByName(old, allowMissingColumns=True)
-        newest = rows.groupBy(*key).agg(F.max(F.struct(F.col(version).alias("_tf_v"), *[F.col(c) for c in rows.columns])).alias("r"))
-        store.write(name, newest.select(*[F.col(f"r.{c}").alias(c) for c in rows.columns]))
+        store.change(name, batch, key, newest)
+
+    def newest(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        rows = new if old is None else new.unionByName(old, allowMissingColumns=True)
+        best = rows.groupBy(*key).agg(F.max(F.struct(F.col(version).alias("_tf_v"), *[F.col(c) for c in rows.columns])).alias("r"))
+        return best.select(*[F.col(f"r.{c}").alias(c) for c in rows.columns])
 
     stream = spark.readStream.schema(schema).parquet(landing)
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

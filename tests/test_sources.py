@@ -19,7 +19,11 @@ def test_reader(spark, tmp_path):
     rows, bad = D.read_delimited(spark, str(tmp_path / "a.tsv"), SPEC)
     got = {r["filing_id"]: (r["name"], None if r["amount"] is None else float(r["amount"]), None if r["on"] is None else r["on"].isoformat()) for r in rows.collect()}
     assert got == {1: ("AB", 5.5, "2024-05-15T00:00:00"), 2: ('"q', 1000.0, "2024-05-15T01:02:03"), 3: ("x\ry", None, "2024-05-15T13:02:03"), 4: (None, None, None), 5: ("n", 9.0, None), 7: ("n", None, None)}
-    assert sorted((r["cells"][0], r["error"]) for r in bad.collect()) == [("6", "numeric overflow"), ("x", "required column is empty")]
+    assert sorted((r["cells"][0], r["error"]) for r in bad.collect()) == [("6", "numeric overflow")]
+    again, _ = D.read_text(spark, b"\n".join(lines), SPEC, F.col("filing_id") < 5)
+    assert sorted(r["filing_id"] for r in again.collect()) == [1, 2, 3, 4]
+    typed = D.hinted(spark.createDataFrame([("1.5", "yes", "2", "x"), (None, "0", "3.0", "1")], "a string, b string, c string, d string"), {"a": "float", "b": "bool", "c": "int", "d": "int"})
+    assert dict(typed.dtypes) == {"a": "double", "b": "boolean", "c": "bigint", "d": "string"} and sorted(map(str, map(tuple, typed.collect()))) == ["(1.5, True, 2, 'x')", "(None, False, 3, '1')"]
 
 
 def test_pipe_files_csv_and_json(spark, tmp_path):
@@ -53,6 +57,15 @@ def test_snapshots_and_stream(spark, tmp_path):
     assert sorted(map(tuple, store.current("t").collect())) == [(1, 2, "z"), (2, 1, "c")]
     store.refresh([("u", lambda: store.current("t").where("k = 1")), ("w", lambda: store.current("u").select("k"))])
     assert store.current("w").count() == 1
+    spark.createDataFrame([(i, 0, "n") for i in range(3, 300)], "k int, v int, x string").createOrReplaceTempView("many")
+    store.upsert("t", spark.table("many").withColumn("s", F.lit(1)), ["k"], "s")
+    before = set(store._newest("t")[1]["parts"])
+    store.upsert("t", spark.createDataFrame([(7, 1, "q", 1, 5)], "k int, v int, x string, s int, more int"), ["k"], "s")
+    after = set(store._newest("t")[1]["parts"])
+    assert len(before - after) == 1 == len(after - before)  # one bucket was rewritten
+    assert store.current("t").count() == 299 and tuple(store.current("t").where("k = 7").select("v", "x", "more").first()) == (1, "q", 5)
+    with pytest.raises(RuntimeError):
+        store._publish("t", store._newest("t")[0], {})
     store.write("p", store.current("t"), partition_by=["k"], sort_by=["v"])
     assert store.current("p").where("k = 2").count() == 1
     e = spark.createDataFrame([("2024-01-01 10:00:00", "a", 1), ("2024-01-01 12:00:00", "a", 2), ("2024-01-02 00:00:00", "a", 4)], "t string, k string, n int").withColumn("t", F.to_timestamp("t"))
@@ -94,11 +107,26 @@ def test_guard(sql, spark):
     assert "error" in run_sql(spark, sql)
 
 
+@pytest.mark.parametrize("sql", [
+    "with x as (select 2 as a) insert into gate_t select a from x", "with x as (select 2 as a) insert overwrite gate_t select a from x", "with x as (select 1 as a) from x insert into gate_t select a", "explain insert into gate_t select 3",
+    "select transform(a) using 'cat' from gate_t", "select reflect('java.lang.System', 'lineSeparator')", "select 1 where 1 in (select java_method('java.lang.Math', 'abs', 1))", "with x as (select try_reflect('a', 'b')) select * from x",
+])
+def test_gate_lets_nothing_but_reads_through(sql, spark, tmp_path):
+    spark.createDataFrame([(1,)], "a int").write.parquet(str(tmp_path / "t"))
+    spark.sql(f"create table gate_t using parquet location '{tmp_path / 't'}'")
+    try:
+        assert run_sql(spark, sql) == {"error": "only queries are allowed"}
+        assert spark.table("gate_t").count() == 1
+        assert run_sql(spark, "with x as (select max(a) as a from gate_t) select (select a from x) as m, a from gate_t where a in (select a from x)")["rows"] == [{"m": 1, "a": 1}]
+    finally:
+        spark.sql("drop table gate_t")
+
+
 def test_run_sql(spark):
     spark.range(5).createOrReplaceTempView("five")
     got = run_sql(spark, "select id, cast(id as decimal(5,2)) d, date '2024-01-01' t from five order by id", 2)
     assert got == {"columns": ["id", "d", "t"], "rows": [{"id": 0, "d": 0.0, "t": "2024-01-01"}, {"id": 1, "d": 1.0, "t": "2024-01-01"}], "truncated": True}
     assert run_sql(spark, "select * from five", 99)["truncated"] is False and "error" in run_sql(spark, "select nothing from nowhere")
-    assert [r["column_name"] for r in describe_table(spark.table("five"), "five").collect()] == ["id"]
+    assert [(r["column_name"], r["row_count"]) for r in describe_table(spark.table("five"), "five").collect()] == [("id", 5)]
     with pytest.raises(ValueError):
         describe_table(spark.table("five"), "Five;")
