@@ -9,34 +9,55 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.names import DROPPED, FORMAL, OFFICE_OF, WORDS, distance, parse, same_town, state_form, town_form, zip_form
+from tallyforge.llm.names import DROPPED, FORMAL, OFFICE_OF, TITLES, TRADES, WORDS, Vocabulary, distance, misspelt, parse, same_town, state_form, town_form, zip_form
 from tallyforge.operators.components import connected_components
 from tallyforge.session import checkpointed
 
-#: A word is common when it occurs in at least so many towns, and in that share of all towns.
-COMMON_TOWNS, COMMON_SHARE = 5, 0.03
-#: Rows from which a form's group is joined in several tasks.
-SALTS = 16
+#: A word belongs to a vocabulary when it is used so in at least so many places, whatever the size of the table.
+KNOWN_PLACES = 5
+#: A common word stands beside a given name, or as one, in less than this share of its uses; a family's name does not.
+MOST_PERSONAL = 0.1
+#: Share of a rewriting's rows that must lie in one place for a row without a place to belong there.
+SURE = 0.9
+#: Rows from which a form's group is joined in several tasks, and in how many.
+SALT_FROM, SALTS = 1024, 16
 
 PARSED = "pid long, kind string, head string, heads array<string>, given string, formal array<string>, initials string, office string, year string, words array<string>, numbers string, town string, state string, zip string, members long"
+PARTS = ["kind", "heads", "given", "formal", "initials", "office", "year", "words", "numbers", "town", "state", "zip"]
 
 
-def common_words(rows: DataFrame, name: str, town: str) -> frozenset[str]:
-    """Words of names that occur in many towns: trades, legal forms and the like, never a family's name.
+def vocabulary(rows: DataFrame, last: str, first: str | None, town: str, code: str | None) -> Vocabulary:
+    """The words that names of organisations have in common (trades, legal forms and the like), and the given names in use.
 
-    Counted over all rows with map-side combining. What is collected is the words
-    above COMMON_SHARE of all towns, a vocabulary and not data.
+    A word is common when it is known in KNOWN_PLACES places (first three digits of the
+    code, or towns where the table has no codes) and stands in a name with a given name,
+    or as one, in less than MOST_PERSONAL of its uses: SMITH is known everywhere, but
+    mostly beside given names. A given name is known in as many places as one. Neither
+    threshold depends on the size of the table. Counted over all rows with map-side
+    combining; what is collected is a vocabulary and not data.
     """
-    words = F.array_distinct(F.split(F.regexp_replace(F.upper(F.coalesce(F.col(name), F.lit(""))), "[^A-Z]+", " "), " "))
-    pairs = rows.select(F.upper(F.trim(F.coalesce(F.col(town), F.lit("")))).alias("town"), F.explode(words).alias("w")).where("length(w) > 1").distinct()
-    towns = rows.select(F.upper(F.trim(F.col(town))).alias("t")).agg(F.count_distinct("t").alias("n")).first()["n"]
-    least = max(COMMON_TOWNS, int(COMMON_SHARE * min(towns, 2000)))
-    found = {r["w"] for r in pairs.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).toLocalIterator()}
-    found |= set(WORDS.values()) | set(DROPPED) | {w for o in OFFICE_OF.values() for w in o.split()}
-    return frozenset(w for w in found if w not in FORMAL and w not in WORDS)
-
-
-def profiles(rows: DataFrame, common: frozenset[str], *, row_id: str, last: str, first: str | None, kind: str | None, town: str, state: str, code: str) -> tuple[DataFrame, DataFrame]:
+    words = lambda c: F.array_distinct(F.split(F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), "[^A-Z]+", " "), " "))
+    beside = F.col(first) if first else F.lit(None).cast("string")
+    place = F.regexp_extract(F.coalesce(F.col(code).cast("string"), F.lit("")), "^\\s*([0-9]{3})[0-9]{2}", 1) if code else F.upper(F.trim(F.coalesce(F.col(town), F.lit(""))))
+    named = F.coalesce(beside.rlike("[A-Za-z]"), F.lit(False))
+    uses = F.concat(F.transform(words(F.col(last)), lambda w: F.struct(w.alias("w"), named.alias("personal"), F.lit(False).alias("given"))), F.transform(words(beside), lambda w: F.struct(w.alias("w"), F.lit(True).alias("personal"), F.lit(True).alias("given"))))
+    per = rows.select(place.alias("place"), F.explode(uses).alias("u")).where("length(u.w) > 1").groupBy("u.w", "u.personal", "u.given", "place").agg(F.count(F.lit(1)).alias("n"))
+    known = F.col("place") != ""
+    places = lambda c: F.count_distinct(F.when(c & known, F.col("place")))
+    share = F.sum(F.when(F.col("personal"), F.col("n")).otherwise(0)) / F.sum("n")
+    counted = per.groupBy("w").agg(places(~F.col("personal")).alias("common"), places(F.col("given")).alias("given"), share.alias("share"))
+    counts, given = {}, {}
+    for r in counted.where(((F.col("common") >= KNOWN_PLACES) & (F.col("share") < MOST_PERSONAL)) | (F.col("given") >= KNOWN_PLACES)).toLocalIterator():
+        if r["common"] >= KNOWN_PLACES and r["share"] < MOST_PERSONAL:
+            counts[r["w"]] = r["common"]
+        elif len(r["w"]) > 2 and r["w"] not in TITLES:
+            given[r["w"]] = r["given"]
+    plain_words = lambda ws: {w for w in ws if w not in FORMAL and w not in WORDS}
+    seeds = plain_words([*TRADES, *WORDS.values(), *DROPPED, *[w for o in OFFICE_OF.values() for w in o.split()]])
+    return Vocabulary.of({w: counts[w] for w in plain_words(counts)}, frozenset(given.keys() - FORMAL.keys() - misspelt(given)), frozenset(seeds))
+
+
+def profiles(rows: DataFrame, v: Vocabulary, *, row_id: str, last: str, first: str | None, kind: str | None, town: str, state: str, code: str) -> tuple[DataFrame, DataFrame]:
     """(profiles, members): the distinct parsed names with place, and (pid, id) of the rows behind each.
 
     Rows that agree in everything compared become one profile, so that any number of
@@ -50,7 +71,7 @@ def profiles(rows: DataFrame, common: frozenset[str], *, row_id: str, last: str,
         for f in frames:
             out = []
             for r in f.itertuples(index=False):
-                n = parse(r.last, r.first, r.kind, common)
+                n = parse(r.last, r.first, r.kind, v)
                 head = n.heads[0] if n.heads else ""
                 out.append((r.rid, n.kind, head, n.heads, n.given[0] if n.given else "", n.formal, n.initials, n.office, n.year, n.words, n.numbers, town_form(r.town), state_form(r.state), zip_form(r.code)))
             yield pd.DataFrame(out, columns=["rid", "kind", "head", "heads", "given", "formal", "initials", "office", "year", "words", "numbers", "town", "state", "zip"])
@@ -111,71 +132,138 @@ def _near_lost_zips(p: DataFrame) -> DataFrame:
     return marks(p.where("zip <> ''").select("zip")).join(lost, "mark").select("zip", "key").distinct()
 
 
-def rewritings(p: DataFrame, others: DataFrame | None = None, elsewhere: bool = False) -> DataFrame:
-    """(form, pid): the canonical rewritings of every profile.
-
-    Exact (n): family name with each name the given name may stand for, or with its
-    initial; family name with office and year; special word with sorted other words.
-    Where a typo may have hit any part, names and towns are replaced by their keys
-    (see respelt), so that whatever same_entity accepts has a form in common: the name
-    at a zip code (z); the name in a town (t), or near the code of a row without town
-    (k), with what must agree beside it. With elsewhere, also the name with what must
-    agree beside it at any place (a), for campaigns and organisations.
-
-    others are profiles that will be joined with these; the keys are those of both.
-    """
-    seen = p.select("heads", "town", "zip") if others is None else p.select("heads", "town", "zip").unionByName(others.select("heads", "town", "zip"))
-    counted = lambda df: checkpointed(df.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    long = F.length("word")
-    head_keys = respelt(counted(seen.select(F.explode("heads").alias("word"))), F.when(long >= 6, 2).when(long >= 4, 1).otherwise(0), lambda x, y: distance(x, y, _tolerated(x, y)) <= _tolerated(x, y))
-    town_keys = respelt(counted(seen.where("town <> ''").select(F.col("town").alias("word"))), F.when(long >= 8, 2).otherwise(1), same_town)
-    listed = lambda df, by, name: df.groupBy(by).agg(F.collect_list("key").alias(name))
-
-    beside = (
-        F.when(F.col("kind") == "P", F.transform("formal", lambda f: F.concat(F.lit("g:"), f)))
+def _beside() -> Column:
+    """What must agree exactly beside the name: each given name it may stand for; office and year; other words and numbers."""
+    given = F.when(F.size("formal") > 0, F.col("formal")).when(F.length("given") > 0, F.array("given")).otherwise(F.array().cast("array<string>"))
+    return (
+        F.when(F.col("kind") == "P", F.transform(given, lambda f: F.concat(F.lit("g:"), f)))
         .when(F.col("kind") == "C", F.array(F.concat(F.lit("o:"), F.col("office"), F.lit(" "), F.col("year"))))
         .otherwise(F.array(F.concat(F.lit("w:"), F.array_join("words", " "), F.lit(" "), F.col("numbers"))))
     )
+
+
+def _initials() -> Column:
+    """The first letters a person's given name may have."""
     initial = F.when(F.length("given") > 0, F.array(F.substring("given", 1, 1))).when(F.length("initials") > 0, F.array(F.substring("initials", 1, 1))).otherwise(F.array())
-    initials = F.when(F.col("kind") == "P", F.transform(F.array_distinct(F.concat(initial, F.transform("formal", lambda f: F.substring(f, 1, 1)))), lambda f: F.concat(F.lit("i:"), f))).otherwise(F.array().cast("array<string>"))
+    letters = F.array_distinct(F.concat(initial, F.transform("formal", lambda f: F.substring(f, 1, 1))))
+    return F.when(F.col("kind") == "P", F.transform(letters, lambda f: F.concat(F.lit("i:"), f))).otherwise(F.array().cast("array<string>"))
+
+
+def _needed() -> Column:
+    """Of what stands beside the name, parts of which all that same_entity accepts share one; none for a person without given name."""
     # a given name that is in no list is compared by edits, which leave one of its first letters among those of the other
     begin = F.substring("given", F.lit(1), F.when(F.length("given") >= 6, 3).otherwise(2))
     unlisted = (F.length("given") > 0) & (~F.col("given").isin(*FORMAL) | (F.length("given") <= 4))
     begins = F.when(unlisted, F.transform(F.filter(F.split(begin, ""), lambda x: x != ""), lambda x: F.concat(F.lit("b:"), x))).otherwise(F.array().cast("array<string>"))
-    needed = F.when(F.col("kind") == "P", F.concat(initials, begins)).when(F.col("kind") == "C", F.array(F.concat(F.lit("o:"), F.col("office")))).otherwise(beside)
+    return F.when(F.col("kind") == "P", F.concat(_initials(), begins)).when(F.col("kind") == "C", F.array(F.concat(F.lit("o:"), F.col("office")))).otherwise(_beside())
+
+
+def _form(letter: str, *rest) -> Column:
+    return F.concat_ws("|", F.col("kind"), F.lit(letter), *rest)
+
+
+@dataclass(frozen=True)
+class Keys:
+    """Keys that words share when one may be a respelling of the other (see respelt): (word, key) of names and towns, (zip, key) of codes near rows without town."""
+
+    heads: DataFrame
+    towns: DataFrame
+    zips: DataFrame
+
 
-    parts = p.select("pid", "kind", "zip", "town", F.explode("heads").alias("head"), beside.alias("beside"), initials.alias("initials"), needed.alias("needed"))
-    parts = parts.join(listed(head_keys, F.col("word").alias("head"), "heads"), "head")
-    parts = parts.join(listed(town_keys, F.col("word").alias("town"), "towns"), "town", "left").join(listed(_near_lost_zips(seen), "zip", "zips"), "zip", "left")
+def shared_keys(*profiles: DataFrame) -> Keys:
+    """The keys of all names and towns of the profiles together."""
+    seen = profiles[0].select("heads", "town", "zip")
+    for p in profiles[1:]:
+        seen = seen.unionByName(p.select("heads", "town", "zip"))
+    counted = lambda df: checkpointed(df.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    long = F.length("word")
+    heads = respelt(counted(seen.select(F.explode("heads").alias("word"))), F.when(long >= 6, 2).when(long >= 4, 1).otherwise(0), lambda x, y: distance(x, y, _tolerated(x, y)) <= _tolerated(x, y))
+    towns = respelt(counted(seen.where("town <> ''").select(F.col("town").alias("word"))), F.when(long >= 8, 2).otherwise(1), same_town)
+    listed = lambda df, by, name: df.groupBy(F.col(by[0]).alias(by[1])).agg(F.collect_list("key").alias(name))
+    return Keys(listed(heads, ("word", "head"), "heads"), listed(towns, ("word", "town"), "towns"), listed(_near_lost_zips(seen), ("zip", "zip"), "zips"))
+
+
+def placed_forms(p: DataFrame, keys: Keys) -> DataFrame:
+    """(form, pid, asks): the rewritings of profiles with a place, such that all pairs that same_entity accepts there share one.
+
+    A form is the name's key with one part of what must agree beside it, at a zip code
+    (z), in a town (t), or near the code of a row without town (k). A person without
+    given name may be anyone of that name at the same zip code: these forms (y) are
+    asked for by such rows alone, and no two others meet through them, so that a
+    frequent family name is paired within given names only.
+    """
+    parts = p.where("town <> '' or zip <> ''").select("pid", "kind", "zip", "town", F.explode("heads").alias("head"), _needed().alias("needed"))
+    parts = parts.join(keys.heads, "head").join(keys.towns, "town", "left").join(keys.zips, "zip", "left")
     none = F.array().cast("array<string>")
-    kind = lambda letter, *rest: F.concat_ws("|", F.col("kind"), F.lit(letter), *rest)
-    fuzzy = F.flatten(F.transform("heads", lambda h: F.transform("needed", lambda b: F.concat_ws("|", h, b))))
-    around = lambda letter, places: F.flatten(F.transform(F.coalesce(places, none), lambda t: F.transform(fuzzy, lambda x: kind(letter, t, x))))
-    exact = F.transform(F.concat("beside", "initials"), lambda b: kind("n", F.col("head"), b))
-    at_zip = F.when(F.col("zip") != "", F.transform("heads", lambda h: kind("z", F.col("zip"), h))).otherwise(none)
-    anywhere = F.when(F.col("kind") != "P", F.transform(fuzzy, lambda x: kind("a", x))).otherwise(none) if elsewhere else none
-    return parts.select("pid", F.explode(F.concat(exact, at_zip, around("t", F.col("towns")), around("k", F.col("zips")), anywhere)).alias("form")).distinct()
+    names = F.flatten(F.transform("heads", lambda h: F.transform("needed", lambda b: F.concat_ws("|", h, b))))
+    around = lambda letter, places: F.flatten(F.transform(F.coalesce(places, none), lambda t: F.transform(names, lambda x: _form(letter, t, x))))
+    at_zip = F.when(F.col("zip") != "", F.transform(names, lambda x: _form("z", F.col("zip"), x))).otherwise(none)
+    open_forms = F.when((F.col("zip") != "") & (F.col("kind") == "P"), F.transform("heads", lambda h: _form("y", F.col("zip"), h))).otherwise(none)
+    forms = parts.select("pid", F.explode(F.concat(at_zip, around("t", F.col("towns")), around("k", F.col("zips")))).alias("form"), F.lit(True).alias("asks"))
+    anyone = parts.select("pid", F.explode(open_forms).alias("form"), (F.size("needed") == 0).alias("asks"))
+    asked = anyone.where("asks").select("form").distinct()
+    return forms.unionByName(anyone.join(asked, "form", "left_semi")).distinct()
+
+
+def free_forms(p: DataFrame, keys: Keys | None = None) -> DataFrame:
+    """(form, pid): rewritings of whole names without their place; with keys, of names within the tolerated edits as well."""
+    heads = p.select("pid", "kind", F.explode("heads").alias("head"), F.array_distinct(F.concat(_beside(), _initials()) if keys is None else _needed()).alias("parts"))
+    names = F.transform("parts", lambda b: _form("n", F.col("head"), b))
+    if keys is not None:
+        heads = heads.join(keys.heads, "head")
+        names = F.flatten(F.transform("heads", lambda h: F.transform("parts", lambda b: _form("a", h, b))))
+    return heads.select("pid", F.explode(names).alias("form")).distinct()
 
 
 def form_pairs(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
-    """(a, b, rarity): profiles that share a form; the rarity of a shared form is the logarithm of all profiles over those with it.
+    """(a, b): profiles that share a form. Within one table a < b, and one of the two asks for the form.
 
-    Within one table a < b. Each form's group is joined in SALTS slices of its left
+    A form's group of more than SALT_FROM rows is joined in SALTS slices of its left
     side, so that a frequent form is no single task.
     """
     own = right is None
     right = left if own else right
-    total = left.select("pid").distinct().count()
-    counts = left.groupBy("form").agg(F.count(F.lit(1)).alias("n"))
-    l = left.join(counts, "form").select("form", F.col("pid").alias("a"), "n", F.pmod(F.xxhash64("pid"), F.lit(SALTS)).alias("salt"))
-    many = counts.where(F.col("n") > SALTS * 64).select("form", F.lit(True).alias("hot"))
-    l = l.join(many, "form", "left").withColumn("salt", F.when(F.col("hot"), F.col("salt")).otherwise(F.lit(0).cast("long"))).drop("hot")
+    many = left.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SALT_FROM).select("form", F.lit(True).alias("hot"))
     slots = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    r = right.select("form", F.col("pid").alias("b")).join(many, "form", "left").select("form", "b", F.explode(slots).alias("salt"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("pid"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    asked = left.where("asks") if own else left
+    l = asked.join(many, "form", "left").select("form", F.col("pid").alias("a"), salt.alias("salt"))
+    r = right.join(many, "form", "left").select("form", F.col("pid").alias("b"), (F.col("asks") if own else F.lit(False)).alias("both"), F.explode(slots).alias("salt"))
     pairs = l.join(r, ["form", "salt"])
     if own:
-        pairs = pairs.where("a < b")
-    return pairs.groupBy("a", "b").agg(F.sum(F.log(F.lit(float(total + 1)) / F.col("n"))).alias("rarity"), F.max(F.substring_index("form", "|", 2).rlike("\\|n$")).alias("exact"))
+        pairs = pairs.where("a < b or (a > b and not both)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.select("a", "b").distinct()
+
+
+def placeless_pairs(p: DataFrame) -> DataFrame:
+    """(a, b, score), a < b: profiles whose place is unknown, or known by code only, with those they may belong to, scored by the rarity of what they share.
+
+    A rewriting is the rarer the fewer places know it: its score at a place is the share
+    of all rows with the rewriting (of those in the state that the row names, if any
+    is known there) that lie there, and a pair's score is the best of the rewritings it shares, so that the
+    rarest decides. Only scores of SURE and more are formed, which at most one place of
+    a rewriting can have: a name known in many places is joined with nothing. A
+    rewriting that no row with a place has scores 1. Places are told apart by the first
+    three digits of the code; a row without one has those most rows of its town have.
+    """
+    near = p.where("zip <> '' and town <> ''").groupBy("town", F.substring("zip", 1, 3).alias("z3")).agg(F.sum("members").alias("n"))
+    usual = near.groupBy("town").agg(F.max(F.struct("n", "z3")).alias("m")).select("town", F.col("m.z3").alias("z3"))
+    placed = p.join(usual, "town", "left").select("pid", "state", "members", F.when(F.col("zip") != "", F.substring("zip", 1, 3)).otherwise(F.col("z3")).alias("place"), (F.col("town") == "").alias("nowhere"))
+    placed = checkpointed(placed.withColumn("lost", F.col("place").isNull() | F.col("nowhere")))
+    forms = free_forms(p)
+    asked = forms.join(placed.where("lost").select("pid"), "pid", "left_semi").select("form").distinct()
+    rows = checkpointed(forms.join(asked, "form", "left_semi").join(placed, "pid"))
+    scopes = F.explode(F.array_distinct(F.array(F.lit("*"), F.when(F.col("state") != "", F.col("state")).otherwise(F.lit("*"))))).alias("scope")
+    counts = rows.where("place is not null").select("form", "place", "members", scopes).groupBy("form", "scope", "place").agg(F.sum("members").alias("n"))
+    best = counts.groupBy("form", "scope").agg(F.max(F.struct("n", "place")).alias("m"), F.sum("n").alias("all"))
+    best = checkpointed(best.select("form", "scope", F.col("m.place").alias("best"), (F.col("m.n") / F.col("all")).alias("score")))
+    known = best.select("form", F.col("scope").alias("state"), F.lit(True).alias("known"))
+    asks = rows.where("lost").join(known, ["form", "state"], "left").select("form", F.col("pid").alias("a"), F.col("place").alias("at"), F.when(F.col("known"), F.col("state")).otherwise("*").alias("scope"))
+    scored = rows.select("form", "pid", "place", scopes).join(best, ["form", "scope"], "left").withColumn("score", F.coalesce("score", F.lit(1.0)))
+    answers = scored.where((F.col("score") >= SURE) & (F.col("place").isNull() | (F.col("place") == F.col("best")))).select("form", "scope", F.col("pid").alias("b"), "score", "best")
+    pairs = asks.join(answers, ["form", "scope"]).where("a <> b and (at is null or best is null or at = best)")
+    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score"))
 
 
 @dataclass(frozen=True)
@@ -287,8 +375,8 @@ def given_agreement(a: Side, b: Side) -> int:
     return 1
 
 
-def same_entity(a: Side, b: Side, towns: int, exact: bool) -> bool:
-    """Whether two profiles denote one entity; towns is the number of places where a's and b's exact forms are known."""
+def same_entity(a: Side, b: Side, score: float) -> bool:
+    """Whether two profiles denote one entity; score is that of placeless_pairs, which decides where the place cannot be told."""
     if a.kind != b.kind:
         return False
     place = place_agreement(a, b)
@@ -297,7 +385,7 @@ def same_entity(a: Side, b: Side, towns: int, exact: bool) -> bool:
     heads = head_distance(a, b)
     if heads == 9:
         return False
-    if place == 0 and (not exact or towns > 1 or heads > 0):
+    if place == 0 and (score < SURE or heads > 0):
         return False
     if a.kind == "P":
         given = given_agreement(a, b)
@@ -322,37 +410,34 @@ def same_entity(a: Side, b: Side, towns: int, exact: bool) -> bool:
     return not gone
 
 
-def judged_pairs(pairs: DataFrame, p: DataFrame, q: DataFrame | None = None) -> DataFrame:
-    """(a, b, rarity) of the pairs that denote one entity."""
-    q = p if q is None else q
-    cols = ["kind", "heads", "given", "formal", "initials", "office", "year", "words", "numbers", "town", "state", "zip", "towns"]
-    side = lambda df, x: df.select(F.col("pid").alias(x), F.struct(*cols).alias(f"s{x}"))
-    wide = pairs.join(side(p, "a"), "a").join(side(q, "b"), "b")
+def sides(pairs: DataFrame, p: DataFrame, q: DataFrame) -> DataFrame:
+    """The pairs with the parts of both sides as structs sa and sb, without those whose words, numbers, office or year rule them out."""
+    side = lambda df, x: df.select(F.col("pid").alias(x), F.struct(*PARTS).alias(f"s{x}"))
+    wide = pairs.join(side(p, "a"), "a").join(side(q, "b"), "b").where("sa.kind = sb.kind")
+    same = lambda c: F.col(f"sa.{c}") == F.col(f"sb.{c}")
+    years = same("year") | (F.col("sa.year") == "") | (F.col("sb.year") == "")
+    return wide.where(F.when(F.col("sa.kind") == "O", same("numbers") & same("words")).when(F.col("sa.kind") == "C", same("office") & years).otherwise(True))
 
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def made(s: dict) -> Side:
-            return Side(s["kind"], tuple(s["heads"]), s["given"], frozenset(s["formal"]), s["initials"], s["office"], s["year"], frozenset(s["words"]), s["numbers"], s["town"], s["state"], s["zip"])
 
-        for f in frames:
-            keep = [same_entity(made(x), made(y), max(x["towns"], y["towns"]), bool(e)) for x, y, e in zip(f["sa"], f["sb"], f["exact"])]
-            yield f.loc[keep, ["a", "b", "rarity"]]
+def side_of(s: dict) -> Side:
+    return Side(s["kind"], tuple(s["heads"]), s["given"], frozenset(s["formal"]), s["initials"], s["office"], s["year"], frozenset(s["words"]), s["numbers"], s["town"], s["state"], s["zip"])
 
-    return wide.select("a", "b", "rarity", "exact", "sa", "sb").mapInPandas(judge, "a long, b long, rarity double")
 
+def judged_pairs(pairs: DataFrame, p: DataFrame) -> DataFrame:
+    """(a, b) of the pairs (a, b, score) that denote one entity."""
 
-def with_towns(p: DataFrame, forms: DataFrame) -> DataFrame:
-    """Profiles with the most places that any of their place-free forms is known in.
+    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            keep = [same_entity(side_of(x), side_of(y), s) for x, y, s in zip(f["sa"], f["sb"], f["score"])]
+            yield f.loc[keep, ["a", "b"]]
 
-    Places are told apart by the first three digits of the code; a row without one has
-    the digits most rows of its town have. The counts merge on the map side.
-    """
-    near = p.where("zip <> '' and town <> ''").groupBy("town", F.substring("zip", 1, 3).alias("z3")).agg(F.count(F.lit(1)).alias("n"))
-    usual = near.groupBy("town").agg(F.max(F.struct("n", "z3")).alias("m")).select("town", F.col("m.z3").alias("z3"))
-    places = p.select("pid", "zip", "town").join(usual, "town", "left").select("pid", F.when(F.col("zip") != "", F.substring("zip", 1, 3)).otherwise(F.coalesce("z3", F.when(F.col("town") != "", F.col("town")))).alias("place"))
-    free = forms.where(F.split("form", "\\|")[1] == "n")
-    known = free.join(places, "pid").groupBy("form").agg(F.count_distinct("place").alias("towns"))
-    most = free.join(known, "form").groupBy("pid").agg(F.max("towns").alias("towns"))
-    return p.join(most, "pid", "left").withColumn("towns", F.coalesce("towns", F.lit(0)).cast("int"))
+    return sides(pairs, p, p).select("a", "b", "score", "sa", "sb").mapInPandas(judge, "a long, b long")
+
+
+def linked_profiles(p: DataFrame) -> DataFrame:
+    """(a, b): the pairs of profiles that denote one entity."""
+    placed = form_pairs(placed_forms(p, shared_keys(p))).withColumn("score", F.lit(0.0))
+    return judged_pairs(placed.unionByName(placeless_pairs(p)), p)
 
 
 def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -366,21 +451,19 @@ def variant_clusters(rows: DataFrame, *, row_id: str, last: str, first: str | No
     Method: every name is taken apart (order of parts, titles, nicknames, initials,
     offices, legal forms, shortened words) and all its canonical rewritings are
     generated, with names and towns keyed so that all within the edits that
-    verification tolerates meet; equal forms are joined; a candidate pair is verified on all its parts,
-    place included, where rarity decides: without a known place only forms that are
-    known in a single place link. Linked rows form clusters. Rows that agree in all
-    compared parts are one profile, so copies never multiply.
+    verification tolerates meet; equal forms are joined, and a candidate pair is
+    verified on all its parts. Where a row has no place, the rarity of the shared
+    rewritings is its score and decides (see placeless_pairs). Linked rows form
+    clusters. Rows that agree in all compared parts are one profile, so copies never
+    multiply.
 
     Defined results: rows with null id or null ``last`` are left out; an empty table
     gives no rows; a row like no other is its own cluster; repeated ids count once
     per row; other columns are ignored, whatever their names.
     """
-    common = common_words(rows, last, town)
-    p, members = profiles(rows, common, row_id=row_id, last=last, first=first, kind=kind, town=town, state=state, code=code)
-    forms = checkpointed(rewritings(p))
-    p = checkpointed(with_towns(p, forms))
-    edges = checkpointed(judged_pairs(form_pairs(forms), p))
-    c = clusters(p, edges)
+    v = vocabulary(rows, last, first, town, code)
+    p, members = profiles(rows, v, row_id=row_id, last=last, first=first, kind=kind, town=town, state=state, code=code)
+    c = clusters(p, checkpointed(linked_profiles(p)))
     return members.join(c, "pid").select("id", "cid")
 
 

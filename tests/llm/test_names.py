@@ -1,8 +1,8 @@
 import pytest
 
-from tallyforge.llm.names import WORDS, distance, formal_names, organisation, parse, state_form, town_form, zip_form
+from tallyforge.llm.names import WORDS, Vocabulary, distance, formal_names, misspelt, organisation, parse, shortens, state_form, town_form, zip_form
 
-COMMON = frozenset(WORDS.values()) | frozenset("NURSES REALTORS HILLS LOCAL UNION FIREFIGHTERS POLITICAL ACTION COMMITTEE STRATEGIES AND THE OF FOR".split())
+COMMON = Vocabulary(frozenset(WORDS.values()) | frozenset("NURSES REALTORS HILLS LOCAL UNION FIREFIGHTERS POLITICAL ACTION COMMITTEE STRATEGIES AND THE OF FOR".split()))
 
 
 def key(last, first=None, kind=None):
@@ -50,7 +50,7 @@ def test_numbers_and_blanks():
 @pytest.mark.parametrize("last, first", [("", ""), ("-", None), ("   ", " "), ("?!", "?!"), ("1", None), ("É", "É"), ("A" * 5000, None)])
 def test_odd_names_do_not_crash(last, first):
     parse(last, first, None, COMMON)
-    parse(last, first, "IND", frozenset())
+    parse(last, first, "IND", Vocabulary())
 
 
 def test_places():
@@ -59,5 +59,17 @@ def test_places():
     assert (zip_form("12345-6789"), zip_form(" 12345"), zip_form("123"), zip_form(None)) == ("12345", "12345", "", "")
 
 
+def test_short_forms():
+    good = {"ASSOCIATN": "ASSOCIATION", "BHD": "BROTHERHOOD", "WKRS": "WORKERS", "FIREFTRS": "FIREFIGHTERS", "ALLNC": "ALLIANCE", "VLY": "VALLEY", "CONSLTG": "CONSULTING", "MNGMNT": "MANAGEMENT", "HSPTL": "HOSPITAL"}
+    assert all(shortens(a, b) for a, b in good.items())
+    bad = {"FIRE": "FIREFIGHTERS", "FIGHTERS": "FIREFIGHTERS", "TREE": "TREASURER", "ART": "APARTMENT", "OFFICES": "OFFICERS", "SMITH": "SMITHSON", "UNION": "UNIONS"}
+    assert not any(shortens(a, b) for a, b in bad.items())
+    v = Vocabulary.of({"TEACHERS": 50, "TEACHRS": 8, "TCHRS": 9, "OFFICES": 9, "OFFICERS": 30, "COUNCL": 5, "COUNCIL": 30}, frozenset(["KEVIN"]))
+    assert v.alias == {"TEACHRS": "TEACHERS", "TCHRS": "TEACHERS", "COUNCL": "COUNCIL"} and "OFFICES" in v.common
+    assert organisation("X THCRS COUNCL", v).words == ["COUNCIL", "TEACHERS"]
+    assert parse("KEVIN SMITHERS", None, None, v).kind == "P" and parse("KEVIN SMITHERS", None, None, Vocabulary()).kind == "O"
+    assert misspelt({"GERALD": 100, "GERAALD": 5, "KEVIN": 50}) == {"GERAALD"}
+
+
 def test_distance():
     assert [distance(*p) for p in [("abc", "abc"), ("abc", "acb"), ("abc", "ab"), ("abc", "xyz"), ("", "abcd")]] == [0, 1, 1, 3, 4]

@@ -3,8 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.llm.names import distance
-from tallyforge.llm.variants import form_pairs, respelt, rewritings, variant_clusters, variant_pairs
+from tallyforge.llm.names import GIVEN, distance
+from tallyforge.llm.variants import form_pairs, placed_forms, placeless_pairs, respelt, shared_keys, variant_clusters, variant_pairs, vocabulary
 
 NAMES = {"last": "naml", "first": "namf", "kind": "kind", "town": "city", "state": "st", "code": "zip4"}
 SCHEMA = "entity_id int, naml string, namf string, kind string, city string, st string, zip4 string, pid int, form string"
@@ -56,10 +56,51 @@ def test_pairs(spark):
     assert pairs.where("id_a >= id_b").isEmpty()
 
 
-def test_forms_of_pairs(spark):
-    p = spark.createDataFrame([(1, "P", ["SMITH"], "BILL", ["WILLIAM"], "", "", "", [], "", "X", "90001"), (2, "P", ["SMITH"], "WILLIAM", ["WILLIAM"], "", "", "", [], "", "", "")], "pid long, kind string, heads array<string>, given string, formal array<string>, initials string, office string, year string, words array<string>, numbers string, town string, zip string")
-    pairs = form_pairs(rewritings(p)).collect()
-    assert [(r["a"], r["b"], r["exact"]) for r in pairs] == [(1, 2, True)] and pairs[0]["rarity"] > 0
+SIDES = "pid long, kind string, heads array<string>, given string, formal array<string>, initials string, office string, year string, words array<string>, numbers string, town string, state string, zip string, members long"
+
+
+def persons(spark, rows):
+    return spark.createDataFrame([(i, "P", ["SMITH"], g, [g], "", "", "", [], "", town, state, code, n) for i, g, town, state, code, n in rows], SIDES)
+
+
+def test_the_rarest_shared_form_decides(spark):
+    p = persons(spark, [(1, "WILLIAM", "X", "CA", "90001", 9), (2, "WILLIAM", "", "CA", "", 1), (3, "WILLIAM", "Y", "NY", "10001", 9), (4, "WALTER", "Y", "CA", "95001", 1), (5, "WALTER", "", "", "", 1), (6, "WALTER", "Z", "CA", "91001", 2), (7, "ZENO", "", "", "", 1), (8, "ZENO", "", "TX", "", 1)])
+    got = {(r["a"], r["b"]): r["score"] for r in placeless_pairs(p).collect()}
+    assert set(got) == {(1, 2), (7, 8)}  # W. is in many places, WILLIAM in one of the state; WALTER is in two
+    assert got[1, 2] == 1.0 and got[7, 8] == 1.0
+    more = persons(spark, [(1, "WILLIAM", "X", "CA", "90001", 9), (2, "WILLIAM", "", "", "", 1), (3, "WILLIAM", "Y", "NY", "10001", 1)])
+    assert [(r["a"], r["b"], r["score"]) for r in placeless_pairs(more).collect()] == [(1, 2, 0.9)]
+
+
+def name_of(i):
+    return "".join("BA KO MI RU TE DO LA FI SU NE".split()[int(c)] for c in f"{i:05d}")
+
+
+def test_frequent_names_are_refined(spark):
+    given = sorted(GIVEN)[:100]
+    p = persons(spark, [(i, given[i % 100], f"{name_of(7919 * (i // 100))} CITY", "CA", f"{10000 + 1000 * (i // 100)}", 1) for i in range(3000)])
+    pairs = form_pairs(placed_forms(p, shared_keys(p))).count()
+    assert 0 < pairs < 30_000 and placeless_pairs(p).isEmpty()  # of 4.5 million with the name
+    lost = persons(spark, [(9000 + i, given[i], "", "CA", "", 1) for i in range(100)])
+    assert placeless_pairs(p.unionByName(lost)).isEmpty()  # each name is known in 30 places
+
+
+def test_result_is_the_same_inside_a_larger_table(spark, got):
+    name = name_of
+    others = [(1000 + i, f"{name(i)} {'NURSES UNION' if i % 2 else 'COAST PILOTS GUILD'} LOCAL {i}", None, "OTH", f"{name(99999 - i)} CITY", "CA", f"{20000 + i}") for i in range(1500)]
+    others += [(5000 + i, "SMITHERSON", f"{name(i)[:4]}", "IND", f"{name(50000 + i)} CITY", "CA", f"{30000 + 7 * i}") for i in range(500)]
+    large = clustered(spark, [r for r in ROWS if r[0] is not None] + others)
+    assert {i: c for i, c in large.items() if i < 100} == got
+
+
+def test_vocabulary(spark):
+    rows = [("SMITH", "JOHN", f"{i:05d}") for i in range(10000, 90000, 2000)] + [("SMITH CONSLTG", None, f"{i:05d}") for i in range(10000, 30000, 2000)] + [("BLUEGRASS PICKERS", None, f"{i:05d}") for i in range(10000, 30000, 2000)]
+    rows += [("QUICK CONSULTING", None, f"{i:05d}") for i in range(10000, 40000, 2000)]
+    rows += [("KEVIN JONES", None, "10001"), ("JONES", "KEVIN", "11001")] + [("X", "KEVIN", f"{i:05d}") for i in range(10000, 30000, 2000)] + [("ODDLY", None, "10001")] * 9 + [(None, None, None)]
+    v = vocabulary(spark.createDataFrame(rows, "l string, f string, z string"), "l", "f", "l", "z")
+    assert {"BLUEGRASS", "PICKERS"} <= v.common and not {"SMITH", "JOHN", "ODDLY"} & v.common and v.given == {"KEVIN"} and v.alias["CONSLTG"] == "CONSULTING"
+    empty = vocabulary(spark.createDataFrame([], "l string, f string, z string"), "l", "f", "l", "z")
+    assert "UNION" in empty.common and not empty.given
 
 
 def test_all_tolerated_respellings_meet(spark):
