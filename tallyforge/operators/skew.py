@@ -7,20 +7,23 @@ and joins spread the heavy keys over many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.session import checkpointed
 
-#: A table of states is broadcast only up to so many rows (about 50 bytes each).
+#: A table of open ranges is broadcast only up to so many rows (about 50 bytes each).
 BROADCAST_ROWS = 200_000
+#: Hash values that heavy_keys selects among; light keys that share one only cost a count.
+HASHES = 1 << 24
 
 
 def key_histograms(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(k, bin, c): rows of every key by the binary magnitude of an integer value.
+    """(k, bin, c, lo, hi): rows of every key by the binary magnitude of an integer value, with the least and greatest value.
 
     bin is 0 for 0, and for other values the number of binary digits with the
     value's sign (at most 127 bins); null values count under a null bin and a null
@@ -29,19 +32,62 @@ def key_histograms(df: DataFrame, key: str, value: str) -> DataFrame:
     v = F.col(value).cast("long")
     size = F.length(F.bin(F.abs(v))).cast("int")
     magnitude = F.when(v == 0, 0).when(v > 0, size).when(v < 0, -size)
-    return df.select(F.col(key).alias("k"), magnitude.alias("bin")).groupBy("k", "bin").agg(F.count(F.lit(1)).alias("c"))
+    return df.select(F.col(key).alias("k"), magnitude.alias("bin"), v.alias("v")).groupBy("k", "bin").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
 
 
-def heavy_keys(df: DataFrame, key: str, value: str, share: float) -> DataFrame:
+def selected_ranks(rows: DataFrame, ranks: Callable[[Column], Column], bins: int, below: int | None = None) -> DataFrame:
+    """(k, i, n, v): of every key k of rows (k, v) the value v at each wanted rank, among its n values in order.
+
+    ranks makes the array of structs (i, rank) from n. Distributed selection: a first
+    histogram, by binary magnitudes, or in ``bins`` equal bins where all values are known
+    to lie from 0 to under ``below``, gives n and, for every rank, the bin that holds it;
+    each round counts the rows within the ranges still open in at most ``bins`` equal
+    bins, and the bin that holds a rank, narrowed to the values it has, is its next
+    range, until ranges are single values. Ranks in one range share its histogram.
+    Counts merge on the map side, so a round shuffles bins and never values. Each
+    round's ranges are written to the checkpoint folder; a round is not repeated when an
+    executor is lost later.
+    """
+    per_key = Window.partitionBy("k")  # one row per bin
+    if below is None:
+        first = key_histograms(rows, "k", "v")
+    else:
+        first = rows.groupBy("k", F.expr(f"v div {-(-below // bins)}").alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    sized = first.withColumn("n", F.sum("c").over(per_key)).withColumn("upto", F.sum("c").over(per_key.orderBy("bin")))
+    state = sized.withColumn("x", F.explode(ranks(F.col("n")))).where("upto >= x.rank and upto - c < x.rank")
+    state = checkpointed(state.select("k", F.col("x.i").alias("i"), "n", (F.col("x.rank") - F.col("upto") + F.col("c")).alias("rank"), "lo", "hi"))
+    done = state.where("lo = hi")
+    left = state.where("lo < hi")
+    while many := left.count():
+        ranges = left.select("k", "lo", "hi").distinct().withColumn("width", F.ceil((F.col("hi") - F.col("lo") + 1) / F.lit(float(bins))).cast("long"))
+        open_rows = rows.join(F.broadcast(ranges), "k") if many <= BROADCAST_ROWS else salted_join(rows, ranges, ["k"], "inner")
+        counted = open_rows.where("v >= lo and v <= hi").groupBy("k", "lo", F.expr("(v - lo) div width").alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+        counted = counted.withColumn("upto", F.sum("c").over(Window.partitionBy("k", "lo").orderBy("bin")))  # at most `bins` rows
+        held = counted.join(left.select("k", "i", "n", "rank", "lo"), ["k", "lo"]).where("upto >= rank and upto - c < rank")
+        state = checkpointed(held.select("k", "i", "n", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), F.col("least").alias("lo"), F.col("most").alias("hi")))
+        done, left = done.unionByName(state.where("lo = hi")), state.where("lo < hi")
+    return done.select("k", "i", "n", F.col("lo").alias("v"))
+
+
+def heavy_keys(df: DataFrame, key: str, share: float, bins: int = 4096) -> DataFrame:
     """(key, n, total): non-null keys that hold at least the given share of all rows of df.
 
-    n is the sum of the key's value histogram. total counts every row, also those
-    with a null key or value. An empty df gives no rows. At most 1 / share keys can
-    qualify, so the result is always small.
+    total counts every row, also those with a null key. An empty df gives no rows.
+
+    Method: exact selection. In the order of the keys' hashes, the rows of one key lie
+    side by side, so a key with a share of all rows covers at least one of the ranks
+    that stand that share apart. The hashes at these ranks (1 / share at most) are
+    selected from histograms that are refined until the ranks resolve; only the keys
+    with one of these hashes are then counted, exactly. Neither the number of keys nor
+    the rows of the heaviest matter to any shuffle.
     """
-    counts = key_histograms(df, key, value).groupBy("k").agg(F.sum("c").alias("n"))
-    total = counts.agg(F.sum("n").alias("total")).scalar()
-    return counts.where("k is not null").withColumn("total", total).where(F.col("n") >= F.lit(share) * F.col("total")).select(F.col("k").alias(key), "n", "total")
+    total = df.count()
+    step = max(1, math.ceil(share * total))
+    hashed = df.where(F.col(key).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(HASHES)).alias("v"), F.col(key).alias("key"))
+    at = lambda n: F.when(n >= step, F.transform(F.sequence(F.lit(step).cast("long"), n, F.lit(step).cast("long")), lambda r: F.struct(r.alias("i"), r.alias("rank"))))
+    found = selected_ranks(hashed.select(F.lit(0).alias("k"), "v"), at, bins, HASHES).select("v").distinct()
+    counts = hashed.join(F.broadcast(found), "v", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("total", F.lit(total)).where(F.col("n") >= F.lit(share) * F.col("total")).select(F.col("key").alias(key), "n", "total")
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, condition=None, keys: int = 200, least: int = 1000, salts: int = 32) -> DataFrame:
@@ -78,46 +124,16 @@ def exact_quantiles(df: DataFrame, key: str, value: str, quantiles: Sequence[flo
     """(key, quantile, n, value): exact discrete quantiles of an integer column per key.
 
     The quantile q of n values is the smallest value with at least ceil(q * n)
-    values not above it (the minimum for q = 0). Distributed selection: the histogram
-    of binary magnitudes gives every key's count and, for every wanted rank, the
-    magnitude that holds it; each further round counts only the rows within the
-    still open range of a (key, quantile), in at most ``bins`` equal bins, and opens
-    the bin that holds the rank, until ranges are single values. The counts merge on
-    the map side, so a round shuffles bins and never values; a key that holds a third
-    of all rows costs no task more than another. The number of rounds follows from
-    the widest open range alone. Values must lie within plus or minus 2**62. Null
-    keys and null values are left out; a key without values gives no row; ties and
-    repeated rows count as often as they occur.
+    values not above it (the minimum for q = 0). See selected_ranks for the method; a
+    key that holds a third of all rows costs no task more than another, and the number
+    of rounds follows from the widest open range alone. Values must lie within plus or
+    minus 2**62. Null keys and null values are left out; a key without values gives no
+    row; ties and repeated rows count as often as they occur.
     """
     qs = [float(q) for q in quantiles]
     if not qs or any(not 0 <= q <= 1 for q in qs):
         raise ValueError("quantiles must lie within 0 and 1")
     rows = df.select(F.col(key).alias("k"), F.col(value).cast("long").alias("v")).where("k is not null and v is not null")
-    per_key = Window.partitionBy("k")  # at most 127 rows
-    sized = key_histograms(rows, "k", "v").withColumn("n", F.sum("c").over(per_key)).withColumn("upto", F.sum("c").over(per_key.orderBy("bin")))
-    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(q).alias("q")) for i, q in enumerate(qs)]))
-    state = sized.withColumn("x", wanted).withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("x.q"))).cast("long")).where("upto >= rank and upto - c < rank")
-    span = F.expr("case when bin = 0 then 1L else shiftleft(1L, abs(bin) - 1) end")
-    lo = F.when(F.col("bin") > 0, span).when(F.col("bin") < 0, 1 - 2 * span).otherwise(F.lit(0).cast("long"))
-    state = state.select("k", F.col("x.i").alias("i"), "n", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), lo.alias("lo"), span.alias("span"))
-    state = checkpointed(state)
-    widest = state.agg(F.max("span").alias("w"), F.count(F.lit(1)).alias("states")).first()
-    small = widest["states"] <= BROADCAST_ROWS
-    span_left = widest["w"] or 1
-    while span_left > 1:
-        span_left = -(-span_left // bins)
-        state = state.withColumn("width", F.ceil(F.col("span") / F.lit(float(bins))).cast("long"))
-        open_rows = rows.join(F.broadcast(state), "k") if small else salted_join(rows, state, ["k"], "inner")
-        histogram = (
-            open_rows.where("v >= lo and v < lo + span")
-            .groupBy("k", "i", "n", "rank", "lo", "width", F.expr("(v - lo) div width").alias("bin"))
-            .agg(F.count(F.lit(1)).alias("c"))
-        )
-        w = Window.partitionBy("k", "i").orderBy("bin")  # at most `bins` rows
-        state = (
-            histogram.withColumn("upto", F.sum("c").over(w))
-            .where("upto >= rank and upto - c < rank")
-            .select("k", "i", "n", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), (F.col("lo") + F.col("bin") * F.col("width")).alias("lo"), F.col("width").alias("span"))
-        )
+    at = lambda n: F.array(*[F.struct(F.lit(i).alias("i"), F.greatest(F.lit(1), F.ceil(n * F.lit(q))).cast("long").alias("rank")) for i, q in enumerate(qs)])
     q_of = F.element_at(F.array(*[F.lit(q) for q in qs]), F.col("i") + 1)
-    return state.select(F.col("k").alias(key), q_of.alias("quantile"), "n", F.col("lo").alias(value))
+    return selected_ranks(rows, at, bins).select(F.col("k").alias(key), q_of.alias("quantile"), "n", F.col("v").alias(value))

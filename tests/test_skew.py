@@ -9,9 +9,20 @@ from tallyforge.operators.skew import exact_quantiles, heavy_keys, salted_join
 
 def test_heavy_keys(spark):
     df = spark.createDataFrame([("a", 1)] * 60 + [("b", None)] * 30 + [(None, 2)] * 7 + [("c", 0)] * 3, "k string, c long")
-    got = {(r["k"], r["n"], r["total"]) for r in heavy_keys(df, "k", "c", 0.03).collect()}
+    got = {(r["k"], r["n"], r["total"]) for r in heavy_keys(df, "k", 0.03).collect()}
     assert got == {("a", 60, 100), ("b", 30, 100), ("c", 3, 100)}
-    assert heavy_keys(df.limit(0), "k", "c", 0.03).count() == 0
+    assert heavy_keys(df.limit(0), "k", 0.03).count() == 0
+
+
+@pytest.mark.parametrize("hashes", [1, 7, 1 << 24])
+def test_heavy_keys_among_many_light_ones(spark, hashes, monkeypatch):
+    monkeypatch.setattr(skew, "HASHES", hashes)
+    r = random.Random(hashes)
+    keys = [f"k{r.randrange(400)}" for _ in range(900)] + ["hot"] * 300 + ["warm"] * 36 + ["cool"] * 35 + [None] * 29
+    total = len(keys)
+    assert total == 1300 and math.ceil(0.0276 * total) == 36
+    got = {x["k"]: x["n"] for x in heavy_keys(spark.createDataFrame([(k,) for k in keys], "k string"), "k", 0.0276, bins=16).collect()}
+    assert got == {k: n for k in {*keys} - {None} if (n := keys.count(k)) >= 0.0276 * total} and {"hot", "warm"} <= set(got) and "cool" not in got
 
 
 @pytest.mark.parametrize("broadcast", [True, False])
