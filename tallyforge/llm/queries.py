@@ -155,7 +155,38 @@ def _p3_sql() -> str:
 
 _GRAMS = "SELECT {id}, array_to_string(w[i:i + 11], ' ') AS gram FROM (SELECT {id}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {id}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {t}))"
 
+_LONGEST = (
+    "WITH d AS (SELECT doc_id, gram, pos FROM (SELECT doc_id, unnest(range(1, len(w) - 10)) AS pos, array_to_string(w[pos:pos + 11], ' ') AS gram FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents))), "
+    "i AS (SELECT item_id, gram, pos FROM (SELECT item_id, unnest(range(1, len(w) - 10)) AS pos, array_to_string(w[pos:pos + 11], ' ') AS gram FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items))), "
+    "hits AS (SELECT doc_id, item_id, d.pos AS p, d.pos - i.pos AS line FROM d JOIN i USING (gram)), "
+    "runs AS (SELECT doc_id, item_id, line, p - row_number() OVER (PARTITION BY doc_id, item_id, line ORDER BY p) AS run FROM (SELECT DISTINCT * FROM hits)), "
+    "sizes AS (SELECT doc_id, item_id, count(*) + 11 AS words FROM runs GROUP BY doc_id, item_id, line, run) "
+    "SELECT item_id, count(DISTINCT doc_id) AS documents, CAST(max(words) AS INTEGER) AS longest FROM sizes GROUP BY 1"
+)
+
+
+def _bundles_sql() -> str:
+    """Every combination of the distinct values of a gift's bundles, one of them possibly left empty; the cheapest allowed one, bundle by bundle the smaller of equals."""
+    bundles = {"name": ("ctrib_naml", "ctrib_namf"), "address": ("ctrib_city", "ctrib_st"), "amount": ("amount",)}
+    filled = {b: " + ".join(f"CAST({_filled(f)} AS INTEGER)" for f in fs) for b, fs in bundles.items()}
+    value = {b: "concat_ws('|', " + ", ".join(f"CASE WHEN {_filled(f)} THEN '{f}=' || CAST({f} AS VARCHAR) END" for f in fs) + ")" for b, fs in bundles.items()}
+    keyed = f"SELECT *, {_KEY.format('cmte_id')} AS ck, {_KEY.format('tran_id')} AS tk FROM rcpt_cd"
+    sql = f"WITH keyed AS (SELECT *, min(row_id) OVER (PARTITION BY ck, tk) AS g, count(*) OVER (PARTITION BY ck, tk) AS n FROM ({keyed}) WHERE ck IS NOT NULL AND tk IS NOT NULL), rows AS (SELECT *"
+    sql += "".join(f", CASE WHEN {filled[b]} > 0 THEN {value[b]} END AS v_{b}, {filled[b]} AS f_{b}" for b in bundles) + " FROM keyed WHERE n >= 2)"
+    for b in bundles:
+        order = f"f_{b} DESC, amend_id DESC NULLS LAST, loaded_at DESC NULLS LAST, row_id"
+        sql += f", best_{b} AS (SELECT g, v_{b} AS v, f_{b}, amend_id, loaded_at, row_id FROM rows WHERE v_{b} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY g, v_{b} ORDER BY {order}) = 1)"
+        sql += f", opt_{b} AS (SELECT g, v, row_id AS id, row_number() OVER (PARTITION BY g ORDER BY {order}) - 1 AS r, row_number() OVER (PARTITION BY g ORDER BY {order}) - 1 AS cost FROM best_{b} UNION ALL SELECT g, NULL, NULL, 1000000, count(*) FROM best_{b} GROUP BY g UNION ALL SELECT g, NULL, NULL, 1000000, 0 FROM (SELECT DISTINCT g FROM rows) ANTI JOIN best_{b} USING (g))"
+    sql += (
+        ", choices AS (SELECT n.g, n.id AS name, a.id AS address, m.id AS amount, row_number() OVER (PARTITION BY n.g ORDER BY n.cost + a.cost + m.cost, n.r, a.r, m.r) AS k FROM opt_name n JOIN opt_address a ON a.g = n.g JOIN opt_amount m ON m.g = n.g"
+        " WHERE n.v IS NULL OR a.v IS NULL OR EXISTS (SELECT 1 FROM rows r WHERE r.g = n.g AND r.v_name = n.v AND r.v_address = a.v))"
+    )
+    return sql + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT g AS group_id, '{b}' AS bundle, {b} AS from_id FROM choices WHERE k = 1" for b in bundles) + ") WHERE from_id IS NOT NULL"
+
+
 SQL = {
     "p3_found": _p3_sql(),
+    "p3_bundles": _bundles_sql(),
+    "p9_by_item": _LONGEST,
     "p9_found": f"SELECT DISTINCT d.doc_id, i.item_id FROM ({_GRAMS.format(id='doc_id', t='documents')}) d JOIN ({_GRAMS.format(id='item_id', t='eval_items')}) i USING (gram)",
 }

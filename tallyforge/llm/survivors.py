@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -96,12 +96,17 @@ def best_representatives(
     values; the choice minimises the summed ranks, leaving a bundle empty costing as
     many ranks as it has values.
 
-    Method: branch and bound over whole bundles. The root relaxation, each bundle's
-    best candidate, is an aggregate that merges on the map side, so that a group may
-    hold any share of the rows; where it meets all dependencies it is the optimum.
-    Only the other groups are searched, over the ``first_width`` best distinct values
-    of each bundle; a result cheaper than that width is optimal, and the rest is
-    searched again with the width times 16 until none is left.
+    Method: branch and bound over whole bundles. The root of every group's search is the
+    relaxation without dependencies, each bundle's best candidate; its cost of 0 bounds
+    all other choices, so it is the optimum wherever it meets the dependencies, and the
+    search ends there. The root is an aggregate that merges on the map side, so that a
+    group may hold any share of the rows; it meets a dependency when one row supplies
+    both sides or one side is blank, and only for the groups left are the chosen values
+    looked up in other rows. What is open then is searched, over the ``first_width``
+    best distinct values of each bundle; a result cheaper than that width is optimal,
+    and the rest is searched again with the width times 16 until none is left. All
+    groups of all calls take this way; where every bundle may be chosen freely, the
+    bound closes them at the root.
 
     Defined results: rows with a null key belong to no group; repeated ids count as
     rows; a bundle that is blank in all rows, or left empty, gives no row; an empty df
@@ -119,38 +124,47 @@ def best_representatives(
         picks = F.array(*[F.struct(F.lit(b.name).alias("bundle"), (-F.col(f"b{i}.minus_id")).alias("from_id")) for i, b in enumerate(bundles)])
         return df.select("group_id", F.explode(picks).alias("p")).where("p.from_id is not null").select("group_id", "p.bundle", "p.from_id")
 
-    if not dependencies:
-        return long(root)
-
     at = {b.name: i for i, b in enumerate(bundles)}
     pairs = [tuple(sorted((at[a], at[b]))) for a, b in dependencies]
-    root = checkpointed(root)
-    # values of the relaxed choice, and whether they stand together
-    chosen = rows.join(root.select(*ks, *[F.col(f"b{i}.minus_id").alias(f"m{i}") for i in range(len(bundles))]), ks)
-    met = [
-        F.max(F.when((F.col(f"v{i}") == F.col(f"c{i}")) & (F.col(f"v{j}") == F.col(f"c{j}")), True).otherwise(False)).alias(f"ok{p}")
-        for p, (i, j) in enumerate(pairs)
-    ]
-    values = chosen.groupBy(*ks).agg(*[F.max(F.when(-F.col("id") == F.col(f"m{i}"), F.col(f"v{i}"))).alias(f"c{i}") for i in range(len(bundles))])
-    judged = rows.join(values, ks).groupBy(*ks, *[f"c{i}" for i in range(len(bundles))]).agg(*met)
+    free = F.lit(True)
+    for i, j in pairs:
+        free = free & (F.col(f"b{i}").isNull() | F.col(f"b{j}").isNull() | (F.col(f"b{i}.minus_id") == F.col(f"b{j}.minus_id")))
+    root = root.withColumn("met", free)
+    result = long(root.where("met"))
+    if not pairs:
+        return result
+    return result.unionByName(_branched(rows, checkpointed(root), ks, [b.name for b in bundles], pairs, first_width, long))
+
+
+def _branched(rows: DataFrame, root: DataFrame, ks: list[str], names: list[str], pairs: list[tuple[int, int]], width: int, long: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(group_id, bundle, from_id) of the groups whose root does not show by itself that it meets the dependencies."""
+    numbers = range(len(names))
+    unmet = root.where("not met").select(*ks, "group_id", *[F.col(f"b{i}.minus_id").alias(f"m{i}") for i in numbers])
+    rows = checkpointed(rows.join(unmet, ks))
+    # the values the root chose, and whether other rows have them together
+    values = rows.groupBy(*ks).agg(*[F.max(F.when(-F.col("id") == F.col(f"m{i}"), F.col(f"v{i}"))).alias(f"c{i}") for i in numbers])
+    together = [F.max((F.col(f"v{i}") == F.col(f"c{i}")) & (F.col(f"v{j}") == F.col(f"c{j}"))).alias(f"ok{p}") for p, (i, j) in enumerate(pairs)]
     fine = F.lit(True)
     for p, (i, j) in enumerate(pairs):
-        fine = fine & (F.col(f"c{i}").isNull() | F.col(f"c{j}").isNull() | F.col(f"ok{p}"))
-    judged = checkpointed(judged.select(*ks, fine.alias("fine")))
+        fine = fine & (F.col(f"m{i}").isNull() | F.col(f"m{j}").isNull() | F.coalesce(f"ok{p}", F.lit(False)))
+    judged = checkpointed(rows.join(values, ks).groupBy(*ks, *[f"m{i}" for i in numbers]).agg(*together).select(*ks, fine.alias("fine")))
     result = long(root.join(judged.where("fine"), ks, "left_semi"))
     left = judged.where("not fine").select(*ks)
-    width = first_width
-    names = [b.name for b in bundles]
     while not left.isEmpty():
         found = checkpointed(_searched(rows.join(left, ks, "left_semi"), ks, names, pairs, width))
-        result = result.unionByName(found.where("from_id is not null").join(root.select(*ks, "group_id"), ks).select("group_id", "bundle", "from_id"))
+        result = result.unionByName(found.where("from_id is not null").join(unmet.select(*ks, "group_id"), ks).select("group_id", "bundle", "from_id"))
         left = found.where("not solved").select(*ks).distinct()
         width *= 16
     return result
 
 
 def _searched(rows: DataFrame, ks: list[str], names: list[str], pairs: list[tuple[int, int]], width: int) -> DataFrame:
-    """ks, bundle, from_id, solved: the searched groups; an unsolved one is a row with null bundle."""
+    """ks, bundle, from_id, solved: the searched groups; an unsolved one is a row with null bundle.
+
+    The values of a hot group are ranked from its distinct values; rows beyond the width
+    are dropped before they are shuffled (a rank limit on the map side), so that a task
+    gets at most the width from each map task.
+    """
     one = None
     for i in range(len(names)):
         part = rows.where(F.col(f"v{i}").isNotNull()).groupBy(*ks, F.lit(i).alias("b"), F.col(f"v{i}").alias("v")).agg(F.max(f"b{i}").alias("best"))
@@ -179,7 +193,7 @@ def _searched(rows: DataFrame, ks: list[str], names: list[str], pairs: list[tupl
         cost, choice = _search(options, allowed, missing)
         key = {k: pdf[k].iloc[0] for k in ks}
         whole = all(m <= width for m in missing)
-        if not whole and cost > width:
+        if not whole and cost >= width:  # an option beyond the width could cost as much and come first
             return pd.DataFrame([key | {"bundle": None, "from_id": None, "solved": False}])
         ids = opts.set_index(["x", "y"])["id"]
         return pd.DataFrame([key | {"bundle": names[i], "from_id": None if c is None else int(ids[(i, c)]), "solved": True} for i, c in enumerate(choice)])

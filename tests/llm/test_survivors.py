@@ -29,6 +29,14 @@ def test_whole_bundles_and_dependencies(spark):
     assert run(spark, rows, bundles, [("name", "place")], width=1) == {(1, "name"): 2, (1, "place"): 4}
 
 
+def test_every_width_gives_the_same(spark):
+    r = random.Random(11)
+    rows = [(i, f"g{r.randrange(12)}", "t", r.choice(["A", "B", "C", "D", None]), r.choice(["P", "Q", "R", None]), r.choice(["CA", None]), r.choice([1, 2, 3, None])) for i in range(90)]
+    bundles = [Bundle("name", ("name",)), Bundle("place", ("city", "st"))]
+    got = [run(spark, rows, bundles, [("name", "place")], width=w) for w in (1, 2, 3, 64)]
+    assert got[0] == got[1] == got[2] == got[3] and len(got[0]) > 20
+
+
 def test_search_is_optimal():
     r = random.Random(3)
     for _ in range(200):
