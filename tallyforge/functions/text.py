@@ -62,26 +62,37 @@ def has_all_words(c: Column, text: str) -> Column:
 
 
 def name_tokens(text: str) -> list[str]:
-    """Upper-case words of a search text; apostrophes inside a word stay."""
-    return re.findall(r"[A-Z0-9]+(?:'[A-Z0-9]+)*", text.upper())
+    """Upper-case words of a search text; an apostrophe between letters belongs to its word, other signs part words."""
+    kept = "".join(ch if ch.isascii() and ch.isalnum() or ch == "'" else " " for ch in text.upper())
+    return [w for w in (part.strip("'") for part in kept.split()) if w]
 
 
 def name_parts(text: str) -> tuple[str, str]:
-    """(last, first) of "Last, First ..." or "First ... Last"; first is '' when there is one word."""
-    if "," in text:
-        last, _, first = text.partition(",")
-        return last.strip(), first.strip()
+    """(last, first) of "Last, First ..." or "First ... Last", first being one word; '' where there is none."""
+    last, comma, first = text.partition(",")
     words = text.split()
-    return (words[-1], words[0]) if len(words) > 1 else (text.strip(), "")
+    if not comma:
+        last, first = (words[-1], words[0]) if len(words) > 1 else (text, "")
+    return last.strip(), (first.split() or [""])[0]
 
 
 def person_predicate(last: Column, first: Column, text: str) -> Column:
-    """A person by two name fields: last and first at word starts, or both words within one field in either order."""
+    """Whether two name fields hold a person, in whichever way they were filled.
+
+    Surname and given name stand at word starts in the two fields, either way round, or
+    both in one text made of the fields: surname then given name, or given name, any
+    further names, surname. A surname alone is looked for in both fields. Words are met
+    at their starts, so that "Varn" is not found in "Ovarns". Never null.
+    """
     surname, given = name_parts(text)
-    if not given:
-        return F.coalesce(starts_word(last, surname), F.lit(False))
-    both = [starts_word(last, surname) & starts_word(first, given), has_all_words(last, f"{surname} {given}")]
-    return F.coalesce(both[0], F.lit(False)) | F.coalesce(both[1], F.lit(False))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    if not (surname and given):
+        one = surname or given
+        return yes(starts_word(last, one)) | yes(starts_word(first, one))
+    s, g = _literal(surname), _literal(given)
+    both = F.trim(F.concat(F.coalesce(last, F.lit("")), F.lit(" "), F.coalesce(first, F.lit(""))))
+    found = yes(starts_word(last, surname) & starts_word(first, given)) | yes(starts_word(last, given) & starts_word(first, surname))
+    return found | both.rlike(rf"(?iU)\b{s}\b[\s,.]+{g}") | both.rlike(rf"(?iU)\b{g}\b[\s,.]+(?:[^\s,.]+[\s,.]+)*{s}\b")
 
 
 def candidate_tokens(c: Column) -> Column:

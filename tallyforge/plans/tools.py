@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import REFUND_MEMO, display_name, has_all_words, is_refund_memo, is_returned_contribution, joined_name, person_predicate, starts_word, trigram_similarity
+from tallyforge.functions.text import REFUND_MEMO, display_name, has_all_words, is_refund_memo, is_returned_contribution, joined_name, starts_word, trigram_similarity
 from tallyforge.operators.components import merged_names
 from tallyforge.operators.dedup import keep_max_per_source, kept_counts, latest_version
 from tallyforge.plans.views import RECEIPT_SOURCES, committee_filers, filer_committees, filer_names, rank_in
@@ -28,6 +28,13 @@ def scope_of(filings: DataFrame, filer_id: str) -> DataFrame:
     return filings.where(F.col("filer_id").cast("string") == str(filer_id)).select("filing_id").distinct()
 
 
+def resolved_filers(ids: DataFrame, xref: DataFrame) -> DataFrame:
+    """(committee_id, filer_id) of ids (committee_id): the filer the id belongs to, latest first; else a number is a filer's own; else -1."""
+    known = committee_filers(xref.where("filer_id is not null")).select(F.col("xref_id").alias("committee_id"), F.col("filer_id").cast("long").alias("of"))
+    own = F.when(F.col("committee_id").rlike("^[0-9]+$"), F.col("committee_id").try_cast("long"))
+    return ids.select("committee_id").distinct().join(known, "committee_id", "left").select("committee_id", F.coalesce("of", own, F.lit(-1).cast("long")).alias("filer_id"))
+
+
 def scoped(df: DataFrame, scope: DataFrame) -> DataFrame:
     return df.join(scope, "filing_id", "left_semi")
 
@@ -93,16 +100,23 @@ def vendor_revenue(expn: DataFrame, vendor: str, limit: int = 20) -> DataFrame:
     )
 
 
-def committees_paying_vendor(expn: DataFrame, filer_filings: DataFrame, xref: DataFrame, filername: DataFrame, vendor: str, limit: int = 10) -> DataFrame:
-    """Committees by what they paid a vendor on any form; a filing with two filers counts under both."""
+def committees_paying_vendor(expn: DataFrame, filer_filings: DataFrame, xref: DataFrame, filername: DataFrame, vendor: str, limit: int = 10, classes: DataFrame | None = None, candidate: int | None = None, candidate_only: bool = False) -> DataFrame:
+    """Committees by what they paid a vendor on any form; a filing with two filers counts under both.
+
+    With classes (filer_id, category, effect_dt) the latest category of the filer stands
+    beside it, and whether it is that of candidates; candidate_only keeps those alone.
+    """
     payee = F.coalesce(joined_name(F.col("payee_naml"), F.col("payee_namf")), F.lit(""))
     names = filer_names(filername).select("filer_id", joined_name(F.col("naml"), F.col("namf")).alias("n"))
     ids = filer_committees(xref).select("filer_id", F.col("xref_id").alias("cmte_id"))
     rows = expn.where(starts_word(payee, vendor)).select("filing_id", "amount").join(filer_filings.select("filing_id", "filer_id").distinct(), "filing_id").join(names, "filer_id", "left").join(ids, "filer_id", "left")
-    return (
-        rows.groupBy(F.coalesce("n", F.lit("(unknown)")).alias("committee"), "cmte_id").agg(F.count(F.lit(1)).alias("payments"), money(F.sum("amount")).alias("total"))
-        .orderBy(F.col("total").desc(), F.col("committee"), F.col("cmte_id").asc_nulls_last()).limit(limit)
-    )
+    by = [F.coalesce("n", F.lit("(unknown)")).alias("committee"), "cmte_id"]
+    if classes is not None:
+        latest = latest_version(classes, ["filer_id"], [F.col("effect_dt").desc_nulls_last(), F.col("category").desc()]).select("filer_id", "category")
+        rows = rows.join(latest, "filer_id", "left")
+        rows = rows.where(F.col("category") == candidate) if candidate_only else rows
+        by += ["category", F.coalesce(F.col("category") == candidate, F.lit(False)).alias("is_candidate")]
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("payments"), money(F.sum("amount")).alias("total")).orderBy(F.col("total").desc(), F.col("committee"), F.col("cmte_id").asc_nulls_last()).limit(limit)
 
 
 def committee_profile(receipts: DataFrame, expn: DataFrame, scope: DataFrame, today: str, as_of: str | None = None) -> DataFrame:
@@ -129,7 +143,7 @@ def total_expenditures(expn: DataFrame, scope: DataFrame, year: int, exclude_ref
     if exclude_refunds:
         rows = rows.where(~is_refund_memo(F.coalesce("expn_dscr", F.lit(""))))
     return rows.agg(
-        F.count(F.lit(1)).alias("transaction_count"), money(F.sum("amount")).alias("total_amount"), F.array_join(F.array_sort(F.collect_set("form_type")), ",").alias("form_types"),
+        F.count(F.lit(1)).alias("transaction_count"), money(F.sum("amount")).alias("total_amount"), F.nullif(F.array_join(F.array_sort(F.collect_set("form_type")), ","), F.lit("")).alias("form_types"),
         money(F.sum(F.when(F.col("form_type") == "D", F.col("amount")))).alias("form_d_total"), money(F.sum(F.when(F.col("form_type").isin(VENDOR_FORMS), F.col("amount")))).alias("form_e_total"),
     )
 
@@ -141,6 +155,12 @@ def refunds_to_donors(expn: DataFrame, scope: DataFrame, year: int, limit: int =
     return rows.groupBy(payee.alias("recipient")).agg(F.count(F.lit(1)).alias("refunds"), money(F.sum("amount")).alias("total"), F.max("expn_date").alias("last_refund")).orderBy(F.col("total").desc(), "recipient").limit(limit)
 
 
+def refund_summary(expn: DataFrame, scope: DataFrame, year: int) -> DataFrame:
+    """One row: how many lines return contributions, their sum, the first and the last."""
+    rows = scoped(expn, scope).where(in_year("expn_date", year) & F.coalesce(is_refund_memo(F.col("expn_dscr")), F.lit(False)))
+    return rows.agg(F.count(F.lit(1)).alias("refund_lines"), money(F.sum("amount")).alias("total_refunded"), F.min("expn_date").alias("first_refund"), F.max("expn_date").alias("last_refund"))
+
+
 def expenditures_by_form(expn: DataFrame, scope: DataFrame, forms: list[str], year: int, tie: str, name: str | None = None, limit: int = 50) -> DataFrame:
     """A committee's lines of some forms in a year, newest first; with name only those whose payee contains it."""
     rows = scoped(expn, scope).where(F.col("form_type").isin(forms) & in_year("expn_date", year))
@@ -201,16 +221,6 @@ def unresolved_rapid_lines(rapid: DataFrame, expn: DataFrame) -> DataFrame:
     return lines.groupBy(F.coalesce(F.trim("expn_dscr"), F.lit("(none)")).alias("description")).agg(F.count(F.lit(1)).alias("lines"), money(F.sum("amount")).alias("total"), F.max("exp_date").alias("newest"))
 
 
-def payments_to_person(expn: DataFrame, receipts: DataFrame, person: str, tie: str, limit: int = 100) -> DataFrame:
-    """Rows in which a person is payee or donor, with the role and the number of rows of the role before the limit."""
-    paid = expn.where(person_predicate(F.col("payee_naml"), F.col("payee_namf"), person)).select(F.lit("payee").alias("role"), F.col("expn_date").alias("on"), "amount", joined_name(F.col("payee_naml"), F.col("payee_namf")).alias("name"), "filing_id", tie)
-    gave = gifts_once(receipts.where(person_predicate(F.col("donor_naml"), F.col("donor_namf"), person)), tie).select(F.lit("donor").alias("role"), F.col("receipt_date").alias("on"), "amount", "donor_name", "filing_id", tie).withColumnRenamed("donor_name", "name")
-    rows = paid.unionByName(gave)
-    totals = rows.groupBy("role").agg(F.count(F.lit(1)).alias("role_total"))
-    rank = F.row_number().over(Window.partitionBy("role").orderBy(F.col("on").desc_nulls_last(), F.col(tie)))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= limit).join(totals, "role").drop("rank")
-
-
 def name_search(receipts: DataFrame, expn: DataFrame, text: str) -> DataFrame:
     """(year, side, records, total): gifts and payments whose name has all words of the text, by year; undated ones under a null year."""
     gave = receipts.where(F.coalesce(has_all_words(F.concat_ws(" ", "donor_naml", "donor_namf"), text), F.lit(False))).select(F.lit("gift").alias("side"), F.year("receipt_date").alias("year"), "amount")
@@ -235,6 +245,37 @@ def freshness(parts: list[tuple[str, DataFrame, str]], today: str) -> DataFrame:
     return out
 
 
+def race_lines(expn: DataFrame, filers: DataFrame, district: str, year: int) -> DataFrame:
+    """(candidate, office, side, amount, on, filer_id): the lines on candidates of a district in a year, of all chambers.
+
+    expn has cand_naml, cand_namf, office_cd, sup_opp_cd, dist_no, expn_code and form_type.
+    """
+    rows = expn.where((F.col("expn_code") == "IND") & (F.col("form_type") == "D") & (F.col("dist_no") == district) & in_year("expn_date", year))
+    return rows.join(filers, "filing_id", "left").select(joined_name(F.col("cand_naml"), F.col("cand_namf")).alias("candidate"), F.col("office_cd").alias("office"), F.col("sup_opp_cd").alias("side"), "amount", F.col("expn_date").alias("on"), "filer_id")
+
+
+def _shown(lines: DataFrame) -> DataFrame:
+    """lines with the candidate's spellings merged: group, and shown, the spelling with most lines (the greatest of equals)."""
+    rows = lines.withColumn("candidate", F.trim("candidate"))
+    rows = rows.join(merged_names(lines, "candidate"), "candidate")
+    spellings = rows.groupBy("group", "candidate").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(spellings.groupBy("group").agg(F.max(F.struct("n", "candidate")).alias("m")).select("group", F.col("m.candidate").alias("shown")), "group")
+
+
+def race_roster(lines: DataFrame, office: str) -> DataFrame:
+    """(candidate, for and against totals and counts, first_date, last_date) of candidates with lines in the office; spellings in all offices are merged."""
+    of = lambda s, c: F.sum(F.when(F.col("side") == s, c).otherwise(0))
+    rows = _shown(lines).where(F.col("office") == office).groupBy("group", F.col("shown").alias("candidate"))
+    totals = [money(of("S", F.col("amount"))).alias("for_total"), money(of("O", F.col("amount"))).alias("against_total"), of("S", F.lit(1)).alias("for_count"), of("O", F.lit(1)).alias("against_count")]
+    return rows.agg(*totals, F.min("on").alias("first_date"), F.max("on").alias("last_date")).drop("group")
+
+
+def race_unmatched(lines: DataFrame, office: str) -> DataFrame:
+    """(candidate, office, total, lines): lines on the district's candidates for other offices, or for none that is named."""
+    other = ~F.coalesce(F.col("office") == office, F.lit(False))
+    return lines.where(other).groupBy(F.coalesce(F.trim("candidate"), F.lit("(unnamed)")).alias("candidate"), "office").agg(money(F.sum("amount")).alias("total"), F.count(F.lit(1)).alias("lines"))
+
+
 def race_overview(lines: DataFrame, filername: DataFrame, top: int) -> DataFrame:
     """(candidate, side, spender, spender_total, spender_lines, side_total, side_lines) for a race's lines.
 
@@ -242,18 +283,14 @@ def race_overview(lines: DataFrame, filername: DataFrame, top: int) -> DataFrame
     one another are one candidate, shown under the spelling with most lines (the
     greatest of equals); of each candidate and side the top spenders are listed.
     """
-    groups = merged_names(lines, "candidate")
-    rows = lines.withColumn("candidate", F.trim("candidate")).join(groups, "candidate")
-    spellings = rows.groupBy("group", "candidate").agg(F.count(F.lit(1)).alias("n"))
-    shown = spellings.groupBy("group").agg(F.max(F.struct("n", "candidate")).alias("m")).select("group", F.col("m.candidate").alias("shown"))
+    rows = _shown(lines)
     names = filer_names(filername.join(rows.select("filer_id").distinct(), "filer_id", "left_semi"), nulls_first=True).select("filer_id", joined_name(F.col("naml"), F.col("namf")).alias("spender"))
     side = rows.groupBy("group", "side").agg(F.sum("amount").alias("side_sum"), F.count(F.lit(1)).alias("side_lines"))
-    per = rows.join(names, "filer_id", "left").groupBy("group", "side", F.coalesce("spender", F.lit("(unknown)")).alias("spender")).agg(F.sum("amount").alias("sum"), F.count(F.lit(1)).alias("spender_lines"))
+    per = rows.join(names, "filer_id", "left").groupBy("group", "shown", "side", F.coalesce("spender", F.lit("(unknown)")).alias("spender")).agg(F.sum("amount").alias("sum"), F.count(F.lit(1)).alias("spender_lines"))
     rank = F.row_number().over(Window.partitionBy("group", "side").orderBy(F.col("sum").desc_nulls_last(), "spender"))
-    return (
-        per.withColumn("rank", rank).where(F.col("rank") <= top).join(side, ["group", "side"]).join(shown, "group")
-        .select(F.col("shown").alias("candidate"), "side", "spender", money(F.col("sum")).alias("spender_total"), "spender_lines", money(F.col("side_sum")).alias("side_total"), "side_lines")
-    )
+    per = per.withColumn("rank", rank).where(F.col("rank") <= top).withColumnsRenamed({"group": "g", "side": "s"})
+    joined = per.join(side, (F.col("g") == F.col("group")) & F.col("s").eqNullSafe(F.col("side")))
+    return joined.select(F.col("shown").alias("candidate"), "side", "spender", money(F.col("sum")).alias("spender_total"), "spender_lines", money(F.col("side_sum")).alias("side_total"), "side_lines")
 
 
 PHASES = {"primary": "P", "general": "G", "runoff": "R", "special": "S", "convention": "C", "other": "O"}
