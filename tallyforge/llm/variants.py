@@ -181,7 +181,7 @@ def shared_keys(*profiles: DataFrame) -> Keys:
     heads = respelt(counted(seen.select(F.explode("heads").alias("word"))), F.when(long >= 6, 2).when(long >= 4, 1).otherwise(0), lambda x, y: distance(x, y, _tolerated(x, y)) <= _tolerated(x, y))
     towns = respelt(counted(seen.where("town <> ''").select(F.col("town").alias("word"))), F.when(long >= 8, 2).otherwise(1), same_town)
     listed = lambda df, by, name: df.groupBy(F.col(by[0]).alias(by[1])).agg(F.collect_list("key").alias(name))
-    return Keys(listed(heads, ("word", "head"), "heads"), listed(towns, ("word", "town"), "towns"), listed(_near_lost_zips(seen), ("zip", "zip"), "zips"))
+    return Keys(*[checkpointed(listed(df, by, name)) for df, by, name in ((heads, ("word", "head"), "heads"), (towns, ("word", "town"), "towns"), (_near_lost_zips(seen), ("zip", "zip"), "zips"))])
 
 
 def placed_forms(p: DataFrame, keys: Keys) -> DataFrame:
@@ -251,7 +251,7 @@ def placeless_pairs(p: DataFrame) -> DataFrame:
     usual = near.groupBy("town").agg(F.max(F.struct("n", "z3")).alias("m")).select("town", F.col("m.z3").alias("z3"))
     placed = p.join(usual, "town", "left").select("pid", "state", "members", F.when(F.col("zip") != "", F.substring("zip", 1, 3)).otherwise(F.col("z3")).alias("place"), (F.col("town") == "").alias("nowhere"))
     placed = checkpointed(placed.withColumn("lost", F.col("place").isNull() | F.col("nowhere")))
-    forms = free_forms(p)
+    forms = checkpointed(free_forms(p))
     asked = forms.join(placed.where("lost").select("pid"), "pid", "left_semi").select("form").distinct()
     rows = checkpointed(forms.join(asked, "form", "left_semi").join(placed, "pid"))
     scopes = F.explode(F.array_distinct(F.array(F.lit("*"), F.when(F.col("state") != "", F.col("state")).otherwise(F.lit("*"))))).alias("scope")
@@ -436,7 +436,7 @@ def judged_pairs(pairs: DataFrame, p: DataFrame) -> DataFrame:
 
 def linked_profiles(p: DataFrame) -> DataFrame:
     """(a, b): the pairs of profiles that denote one entity."""
-    placed = form_pairs(placed_forms(p, shared_keys(p))).withColumn("score", F.lit(0.0))
+    placed = form_pairs(checkpointed(placed_forms(p, shared_keys(p)))).withColumn("score", F.lit(0.0))
     return judged_pairs(placed.unionByName(placeless_pairs(p)), p)
 
 
