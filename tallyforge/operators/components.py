@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import candidate_tokens
+from tallyforge.operators.skew import salted_join
 from tallyforge.session import checkpointed
 
 
@@ -54,5 +55,6 @@ def merged_names(names: DataFrame, name: str) -> DataFrame:
     rarity = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     ranked = words.join(rarity, "w")
     rarest = ranked.where(F.size("t") >= 2).groupBy("node").agg(F.min(F.struct("n", "w")).alias("m"), F.first("t").alias("t")).select(F.col("node").alias("a"), F.col("t").alias("ta"), F.col("m.w").alias("w"))
-    pairs = rarest.join(words.select(F.col("node").alias("b"), F.col("t").alias("tb"), "w"), "w").where((F.col("a") != F.col("b")) & (F.size(F.array_except("ta", "tb")) == 0)).select("a", "b")
+    larger = words.select(F.col("node").alias("b"), F.col("t").alias("tb"), "w")
+    pairs = salted_join(rarest, larger, ["w"], "inner", lambda l, r: (F.col("a") != F.col("b")) & (F.size(F.array_except("ta", "tb")) == 0)).select("a", "b")
     return connected_components(n, pairs).select(F.col("node").alias(name), F.col("component").alias("group"))

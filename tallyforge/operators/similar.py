@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import trigrams
+from tallyforge.operators.skew import salted_join
+from tallyforge.session import checkpointed
 
 
 def name_classes(df: DataFrame, row_id: str, name: str) -> DataFrame:
@@ -25,11 +27,12 @@ def similar_pairs(df: DataFrame, row_id: str, name: str, threshold: float, edits
     names, and rows with equal names are no pairs but one class, so that copies never
     multiply. Prefix filter: triples are ordered by rarity; two sets with a similarity
     of t must share one of the first size - ceil(t * size) + 1 triples, so only those
-    are joined, with sizes and positions compared beforehand; every pair is then
-    verified exactly. Null and wordless names have no pairs.
+    are joined, frequent ones in slices, with sizes and positions compared beforehand;
+    every pair is then verified exactly. Null and wordless names have no pairs.
     """
     rows = df.select(F.col(row_id).alias("id"), F.lower(F.trim(F.col(name))).alias("name")).where("id is not null and name is not null")
     n = rows.groupBy("name").agg(F.min("id").alias("rep")).withColumn("t", trigrams(F.col("name"))).where(F.size("t") > 0)
+    n = checkpointed(n)  # the letter triples of distinct names, used five times
     grams = n.select("rep", "t", F.explode("t").alias("g"))
     rarity = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     by_rarity = F.array_sort(F.collect_list(F.struct("n", "g")))
@@ -40,7 +43,7 @@ def similar_pairs(df: DataFrame, row_id: str, name: str, threshold: float, edits
     # what stands behind the shared triple bounds how many more can be shared
     room = F.least(F.col("pa"), F.col("pb")) + F.least(F.col("za") - F.col("pa"), F.col("zb") - F.col("pb"))
     fits = (F.col("ra") < F.col("rb")) & (F.col("za") >= F.lit(threshold) * F.col("zb")) & (F.col("zb") >= F.lit(threshold) * F.col("za")) & (room * (1 + threshold) >= F.lit(threshold) * (F.col("za") + F.col("zb")) - 1e-9)
-    candidates = l.join(r, "g").where(fits).select("ra", "rb").distinct()
+    candidates = salted_join(l, r, ["g"], "inner", lambda a, b: fits).select("ra", "rb").distinct()
     shared = F.size(F.array_intersect("ta", "tb"))
     score = (shared / (F.size("ta") + F.size("tb") - shared)).cast("float")
     wide = candidates.join(n.select(F.col("rep").alias("ra"), F.col("name").alias("na"), F.col("t").alias("ta")), "ra").join(n.select(F.col("rep").alias("rb"), F.col("name").alias("nb"), F.col("t").alias("tb")), "rb")

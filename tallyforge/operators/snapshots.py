@@ -77,13 +77,20 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, *, key: str, snapsho
 
 
 def counted_deliveries(files: DataFrame, table_name: str, date_pattern: str = r"([0-9]{8})") -> DataFrame:
-    """(delivery): eight-digit dates all of whose recorded files have rows_processed > 0."""
-    return (
+    """(delivery): eight-digit dates all of whose recorded files have rows_processed > 0, without those that repeat the one before.
+
+    A delivery whose files have the same contents, by file_hash, as those of the counted
+    delivery just before it changes nothing, and the next one differs from it as from
+    its predecessor: it is left out, so that none of its rows is unpivoted or compared.
+    Files without a hash are never equal.
+    """
+    days = (
         files.where(F.lower(F.trim("table_name")) == table_name.lower())
-        .select(F.regexp_extract("source_file", date_pattern, 1).alias("delivery"), (F.coalesce("rows_processed", F.lit(0)) > 0).alias("ok"))
+        .select(F.regexp_extract("source_file", date_pattern, 1).alias("delivery"), (F.coalesce("rows_processed", F.lit(0)) > 0).alias("ok"), "file_hash")
         .where("delivery <> ''")
         .groupBy("delivery")
-        .agg(F.min("ok").alias("ok"))
+        .agg(F.min("ok").alias("ok"), F.array_sort(F.collect_list("file_hash")).alias("hashes"), F.count(F.lit(1)).alias("n"))
         .where("ok")
-        .select("delivery")
     )
+    before = F.lag("hashes").over(Window.orderBy("delivery"))  # one row per delivery
+    return days.withColumn("repeats", F.coalesce((F.size("hashes") == F.col("n")) & (F.col("hashes") == before), F.lit(False))).where("not repeats").select("delivery")

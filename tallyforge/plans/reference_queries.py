@@ -48,10 +48,10 @@ class Warehouse:
         xref = self.t("filer_xref_cd").select(key_form(F.col("xref_id")).alias("k"), "filer_id").where("k is not null")
         return self.t("rcpt_cd").select("filing_id", key_form(F.col("cmte_id")).alias("k")).where("filing_id is not null").join(xref, "k").select("filing_id", "filer_id").distinct()
 
-    def receipts(self) -> DataFrame:
+    def receipts(self, scope: DataFrame | None = None) -> DataFrame:
         s497 = self._other("s497_cd").withColumnsRenamed({"rcpt_date": "ctrib_date", "donor_name": "enty_naml", "first": "enty_namf"})
         s498 = self._other("s498_cd").withColumnsRenamed({"rcpt_date": "date_rcvd", "amount": "amt_rcvd", "donor_name": "payor_naml", "first": "payor_namf"})
-        return V.receipts_all(self.rcpt(), s497, s498, V.filing_filer(self.filer_filings()), ["row_id"])
+        return V.receipts_all(self.rcpt(), s497, s498, V.filing_filer(self.filer_filings()), ["row_id"], scope)
 
     def rapid(self) -> DataFrame:
         rows = self.t("expn_cd").where("form_type = 'F461P5'").select("filing_id", "amend_id", "line_item", F.col("expn_date").alias("exp_date"), "amount", "expn_dscr", "row_id")
@@ -250,7 +250,7 @@ _KEPT = "SELECT donor_key, receipt_date, amount, max(dn) AS donor_name, max(cm)
     "LEFT JOIN (SELECT x.xref_id, n FROM cmte_filer x JOIN filer_name USING (filer_id)) f ON f.xref_id = k.cmte_id GROUP BY 1 ORDER BY total DESC, donor_name LIMIT 10"
 )
 def top_donors(w):
-    return T.top_donors(w.receipts(), w.scope(), YEAR, w.t("filer_xref_cd"), w.t("filername_cd"))
+    return T.top_donors(w.receipts(w.scope()), w.scope(), YEAR, w.t("filer_xref_cd"), w.t("filername_cd"))
 
 
 _VEND = f"regexp_matches(coalesce({_PNAME}, ''), '(?i)\\bStrategies')"
@@ -277,7 +277,7 @@ def committees_paying_vendor(w):
     f"(SELECT max(d) AS d FROM (SELECT receipt_date AS d FROM receipts SEMI JOIN scope USING (filing_id) UNION ALL SELECT expn_date FROM expn SEMI JOIN scope USING (filing_id)) WHERE d <= TIMESTAMP '{TODAY}') l"
 )
 def committee_profile(w):
-    return T.committee_profile(w.receipts(), w.expn(), w.scope(), TODAY)
+    return T.committee_profile(w.receipts(w.scope()), w.expn(), w.scope(), TODAY)
 
 
 @query(

@@ -41,13 +41,19 @@ def _receipts(df: DataFrame, src: str, date: str, amount: str, last: str, first:
     )
 
 
-def receipts_all(rcpt: DataFrame, s497: DataFrame, s498: DataFrame, filings: DataFrame, extra: list[str] = ()) -> DataFrame:
-    """All receipts of the three sources with derived committee and donor, one row per line.
+def _within(df: DataFrame, scope: DataFrame | None) -> DataFrame:
+    """The rows of the scope's filings. It goes before the choice among lines, which is made within a filing, but not before the removal of versions, which is not."""
+    return df if scope is None else df.join(scope, "filing_id", "left_semi")
+
+
+def receipts_all(rcpt: DataFrame, s497: DataFrame, s498: DataFrame, filings: DataFrame, extra: list[str] = (), scope: DataFrame | None = None) -> DataFrame:
+    """All receipts of the three sources with derived committee and donor, one row per line; with scope (filing_id), of its filings only.
 
     The inputs are deduplicated tables; filings is filing_filer. cmte_id is the row's
     own or else the filing's filer; raw_cmte keeps the row's own, since the derived one
     is the recipient and not the donor.
     """
+    rcpt, s497, s498 = (_within(df, scope) for df in (rcpt, s497, s498))
     base = (
         _receipts(rcpt, "rcpt_cd", "rcpt_date", "amount", "ctrib_naml", "ctrib_namf", "ctrib_dscr", extra)
         .unionByName(_receipts(s497, "s497_cd", "ctrib_date", "amount", "enty_naml", "enty_namf", None, extra))
@@ -60,12 +66,12 @@ def receipts_all(rcpt: DataFrame, s497: DataFrame, s498: DataFrame, filings: Dat
     return attributed_first(base, "raw_cmte", extra)
 
 
-def expn_all(expn: DataFrame, lexp: DataFrame | None, s496: DataFrame | None, filings: DataFrame, extra: list[str] = ()) -> DataFrame:
-    """All expenditures with derived committee, payee key and cycle (calendar year)."""
+def expn_all(expn: DataFrame, lexp: DataFrame | None, s496: DataFrame | None, filings: DataFrame, extra: list[str] = (), scope: DataFrame | None = None) -> DataFrame:
+    """All expenditures with derived committee, payee key and cycle (calendar year); with scope (filing_id), of its filings only."""
     cols = ["filing_id", "amend_id", "tran_id", "line_item", "form_type", "expn_date", "amount", "payee_naml", "payee_namf", "expn_code", "expn_dscr", "cmte_id", "memo_refno"]
 
     def part(df: DataFrame, src: str, renamed: dict[str, str]) -> DataFrame:
-        df = df.withColumnsRenamed(renamed)
+        df = _within(df, scope).withColumnsRenamed(renamed)
         return df.select(F.lit(src).alias("src"), *[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in cols], *extra)
 
     base = part(expn, "expn_cd", {})

@@ -5,8 +5,9 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tallyforge.operators.rejects import Layout, date_parser, parse_lines, parse_rows, read_layouts, record_ends, typed_rows
+from tallyforge.operators.rejects import Layout, date_parser, parse_lines, parse_rows, read_layouts, read_quoted_files, record_ends, split_records, typed_rows
 from tallyforge.plans import core_queries
 
 L = Layout(",", '"', ("a", "b", "c"), ("text", "int", "date"), (None, None, "dd-MMM-yy"), (True, False, False))
@@ -87,3 +88,18 @@ def test_every_layout_has_its_typed_rows(spark, tmp_path):
     got = sorted(tuple(r) for n in typed for r in core_queries.QUERIES[n](spark, str(tmp_path)).collect())
     assert got == [(1, "f", 7, 1.5), (2, "f", "C1", 2.5), (3, "f", 'A, "B"', 3.5)]
     assert set(typed) <= set(core_queries.SQL)
+
+
+def test_files_with_line_feeds_in_quotes(spark, tmp_path):
+    (tmp_path / "ie_1.csv").write_bytes(b'a,"x\ny",1\r\n\nb,"say ""no""\n\n",2\nc,d,3')
+    (tmp_path / "ie_2.csv").write_bytes(b'a,"x\nb,y,1\n')
+    (tmp_path / "other.txt").write_bytes(b'a"\nb\n')
+    layouts = {"ie": Layout(",", '"', ("p", "q", "n"), ("text", "text", "int"), (None,) * 3, (True, False, True))}
+    rows = read_quoted_files(spark, str(tmp_path / "*"), layouts, F.when(F.col("source_file").contains("ie_"), "ie").otherwise("other"))
+    got = {}
+    for r in parse_rows(rows, layouts, id_col="line_no", table_col="table_name", line_col="row_data", keep=["source_file"]).collect():
+        got.setdefault(r["source_file"].rsplit("/", 1)[1], []).append((r["line_no"], r["reason"], r["fields"]))
+    assert sorted(got["ie_1.csv"]) == [(1, None, ["a", "x\ny", "1"]), (2, None, ["b", 'say "no"\n\n', "2"]), (3, None, ["c", "d", "3"])]
+    assert sorted(got["ie_2.csv"]) == [(1, "quoting", None), (2, None, ["b", "y", "1"])]
+    assert [x[:2] for x in sorted(got["other.txt"])] == [(1, "column_count"), (2, "column_count")]
+    assert split_records(b"", '"') == split_records(b"\n \n", None) == []

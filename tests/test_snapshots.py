@@ -57,5 +57,11 @@ def test_random(spark):
 
 def test_counted_deliveries(spark):
     files = [("T", "x/20240101/a", 5), ("t ", "x/20240101/b", 3), ("t", "x/20240201/a", 5), ("t", "x/20240201/b", 0), ("t", "x/20240301/a", None), ("u", "x/20240401/a", 4), ("t", "nodate", 3)]
-    df = spark.createDataFrame(files, "table_name string, source_file string, rows_processed int")
+    df = spark.createDataFrame([(*f, None) for f in files], "table_name string, source_file string, rows_processed int, file_hash string")
     assert [r["delivery"] for r in counted_deliveries(df, "t").collect()] == ["20240101"]
+
+
+def test_repeated_deliveries_are_left_out(spark):
+    files = [("t", "20240101/a", 5, "h1"), ("t", "20240101/b", 5, "h2"), ("t", "20240201/x", 5, "h2"), ("t", "20240201/y", 5, "h1"), ("t", "20240301/a", 5, "h1"), ("t", "20240401/a", 0, "h9"), ("t", "20240501/a", 5, "h1"), ("t", "20240601/a", 5, None), ("t", "20240701/a", 5, None)]
+    df = spark.createDataFrame(files, "table_name string, source_file string, rows_processed int, file_hash string")
+    assert sorted(r["delivery"] for r in counted_deliveries(df, "T").collect()) == ["20240101", "20240301", "20240601", "20240701"]
