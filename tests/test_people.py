@@ -85,7 +85,7 @@ def test_matches_of_name(spark):
     e = spark.createDataFrame(rows, "entity_id long, naml string, namf string, nams string, city string, st string")
     got = [(r["source_id"], r["target_id"], r["match_score"]) for r in matches_of(e, "smithson", threshold=0.55).collect()]
     assert got[:2] == [(1, 3, 1.0), (3, 1, 1.0)] and {g[:2] for g in got} == {(1, 3), (3, 1), (1, 2), (3, 2)} and dict(((a, b), s) for a, b, s in got)[1, 2] > dict(((a, b), s) for a, b, s in got)[3, 2]
-    assert matches_of(e, "smithson", city="x", state="ca", threshold=0.55).count() == 4
+    assert matches_of(e, "smithson", city="x", state="ca", threshold=0.55).count() == 2
 
 
 def test_ranks_over_all_rows(spark):
