@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyforge.session import checkpointed
 
 #: Histogram bins a length is mapped to at most; capacities above are binned upwards.
-MOST_BINS = 1024
+MOST_BINS = 2048
 #: Items that one ranking task sorts, about.
 ITEMS_PER_CHUNK = 500_000
 #: Deepest combination of pieces in one container pattern.
