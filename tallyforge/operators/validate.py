@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """kind is required, numeric, date, enum or length; low and high bound numbers and lengths."""
+    """kind is required, numeric, date, enum, length or cross_field; low and high bound numbers and lengths.
+
+    The values of a cross_field rule are a comparison (= <> < <= > >=) and the column it
+    is made with; a null on either side breaks nothing.
+    """
 
     column: str
     kind: str
@@ -26,6 +30,11 @@ class Rule:
         blank = F.coalesce(F.trim(c) == "", F.lit(True))
         if self.kind == "required":
             return F.when(blank, f"{self.column}: required")
+        if self.kind == "cross_field":
+            sign, other = self.values
+            left, right = F.col(self.column), F.col(other)
+            holds = {"=": left == right, "<>": left != right, "<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}[sign]
+            return F.when(~blank & ~holds, f"{self.column}: not {sign} {other}")
         if self.kind == "enum":
             broken = ~c.isin(list(self.values))
         elif self.kind == "date":

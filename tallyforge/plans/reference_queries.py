@@ -223,9 +223,9 @@ def committee_names(w):
     return V.committee_names(w.t("filer_xref_cd"), w.t("filername_cd"))
 
 
-@query("SELECT 'receipt' AS flow, donor_key AS from_id, cmte_id AS to_id, receipt_date AS flow_date, CAST(amount AS DOUBLE) AS amount FROM receipts UNION ALL SELECT 'payment', cmte_id, payee_name, expn_date, CAST(amount AS DOUBLE) FROM expns")
+@query("SELECT 'receipt' AS flow, donor_key AS from_id, cmte_id AS to_id, receipt_date AS flow_date, CAST(amount AS DOUBLE) AS amount FROM receipts UNION ALL SELECT 'payment', cmte_id, payee_name, expn_date, CAST(amount AS DOUBLE) FROM expns UNION ALL SELECT 'independent_expenditure', spender_id, resolved_candidate_id, expenditure_date, CAST(expenditure_amount AS DOUBLE) FROM ie WHERE office_state = 'CA'")
 def money_flows_union(w):
-    flows = V.money_flows(("receipt", w.receipts(), "donor_key", "cmte_id", "receipt_date", "amount"), ("payment", w.expn_all(), "cmte_id", "payee_name", "expn_date", "amount"))
+    flows = V.money_flows(("receipt", w.receipts(), "donor_key", "cmte_id", "receipt_date", "amount"), ("payment", w.expn_all(), "cmte_id", "payee_name", "expn_date", "amount"), ("independent_expenditure", w.ie().where("office_state = 'CA'"), "spender_id", "resolved_candidate_id", "expenditure_date", "expenditure_amount"))
     return flows.withColumn("amount", F.col("amount").cast("double"))
 
 
@@ -339,6 +339,17 @@ def upcoming_filings(w):
     return T.upcoming(w.t("orders"), "o_orderdate", "1996-06-30", 30).select("o_orderkey", "days_until")
 
 
+@query("SELECT o_orderpriority AS report_type, CAST(o_orderdate AS DATE)::VARCHAR AS deadline, CAST(date_diff('day', DATE '1996-06-30', CAST(o_orderdate AS DATE)) AS INTEGER) AS days_until, o_orderkey FROM orders WHERE date_diff('day', DATE '1996-06-30', CAST(o_orderdate AS DATE)) BETWEEN 0 AND 7", base=False)
+def filing_due_soon(w):
+    due = T.due_soon(w.t("orders").withColumnsRenamed({"o_orderpriority": "report_type", "o_orderdate": "deadline_date"}), "1996-06-30", ["o_orderkey"])
+    return due.select("report_type", F.col("deadline_date").cast("date").cast("string").alias("deadline"), "days_until", "o_orderkey")
+
+
+@query("SELECT lower(trim(table_name)) AS table_name, source, count(*) AS files, CAST(coalesce(sum(rows_processed), 0) AS BIGINT) AS records, max(processed_date) AS last_load FROM load_checkpoint WHERE rows_processed > 0 GROUP BY 1, 2", base=False)
+def last_loads(w):
+    return T.last_loads(w.t("load_checkpoint"))
+
+
 @query(f"SELECT 'rcpt_cd' AS table_name, count(*) AS row_count, max(rcpt_date) FILTER (WHERE rcpt_date <= TIMESTAMP '{TODAY}') AS newest, count(*) FILTER (WHERE rcpt_date > TIMESTAMP '{TODAY}') AS future_dates FROM rcpt_cd UNION ALL SELECT 'expn_cd', count(*), max(expn_date) FILTER (WHERE expn_date <= TIMESTAMP '{TODAY}'), count(*) FILTER (WHERE expn_date > TIMESTAMP '{TODAY}') FROM expn_cd", base=False)
 def freshness_capped(w):
     return T.freshness([("rcpt_cd", w.t("rcpt_cd"), "rcpt_date"), ("expn_cd", w.t("expn_cd"), "expn_date")], TODAY)
@@ -521,12 +532,12 @@ def files_still_to_load(w):
     return files_to_load(manifest.select("source_file", "file_hash"), manifest.where("processed_date < timestamp_ntz '2025-03-01'"), "FILERNAME_CD", "calaccess").select("source_file")
 
 
-_RULES = [Rule("committee_name", "required"), Rule("state", "length", 2, 2), Rule("zip", "length", 5, 10), Rule("committee_type", "enum", values=("H", "N", "O", "Q", "S", "Y"))]
+_RULES = [Rule("committee_name", "required"), Rule("state", "length", 2, 2), Rule("zip", "length", 5, 10), Rule("committee_type", "enum", values=("H", "N", "O", "Q", "S", "Y")), Rule("city", "cross_field", values=("<>", "state"))]
 
 
 @query(
     "SELECT committee_id, concat_ws('; ', CASE WHEN coalesce(trim(committee_name), '') = '' THEN 'committee_name: required' END, CASE WHEN trim(state) <> '' AND length(state) <> 2 THEN 'state: not a valid length' END, "
-    "CASE WHEN trim(zip) <> '' AND NOT length(zip) BETWEEN 5 AND 10 THEN 'zip: not a valid length' END, CASE WHEN trim(committee_type) <> '' AND committee_type NOT IN ('H', 'N', 'O', 'Q', 'S', 'Y') THEN 'committee_type: not a valid enum' END) AS errors FROM fec_committees",
+    "CASE WHEN trim(zip) <> '' AND NOT length(zip) BETWEEN 5 AND 10 THEN 'zip: not a valid length' END, CASE WHEN trim(committee_type) <> '' AND committee_type NOT IN ('H', 'N', 'O', 'Q', 'S', 'Y') THEN 'committee_type: not a valid enum' END, CASE WHEN trim(city) <> '' AND NOT city <> state THEN 'city: not <> state' END) AS errors FROM fec_committees",
     base=False,
 )
 def rule_violations(w):

@@ -100,3 +100,12 @@ def describe_table(df: DataFrame, name: str, notes: dict[str, str] | None = None
     rows = [(name, i, f.name, f.dataType.simpleString(), (notes or {}).get(f.name)) for i, f in enumerate(df.schema.fields, 1)]
     columns = df.sparkSession.createDataFrame(rows, "table_name string, position int, column_name string, data_type string, note string")
     return columns.select("*", df.agg(F.count(F.lit(1))).scalar().alias("row_count"))
+
+
+def documentation(queries: dict, title: str = "Queries") -> str:
+    """Markdown that lists queries by name with the first line of what is said of each."""
+    lines = [f"# {title}", ""]
+    for name in sorted(queries):
+        said = (getattr(queries[name], "__doc__", None) or "").strip().split("\n")[0]
+        lines.append(f"* `{name}`" + (f": {said}" if said else ""))
+    return "\n".join(lines) + "\n"

@@ -235,6 +235,17 @@ def upcoming(calendar: DataFrame, day: str, today: str, days: int) -> DataFrame:
     return calendar.withColumn("days_until", left).where((left >= 0) & (left <= days))
 
 
+def due_soon(calendar: DataFrame, today: str, tie: list[str] = (), days: int = 7) -> DataFrame:
+    """Deadlines (deadline_date) of a calendar within the next days, soonest first, with days_until."""
+    return upcoming(calendar, "deadline_date", today, days).orderBy("deadline_date", *tie)
+
+
+def last_loads(manifest: DataFrame) -> DataFrame:
+    """(table_name, source, files, records, last_load) of the files that were loaded with success."""
+    rows = manifest.where("rows_processed > 0").groupBy(F.lower(F.trim("table_name")).alias("table_name"), "source")
+    return rows.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("rows_processed"), F.lit(0)).cast("long").alias("records"), F.max("processed_date").alias("last_load"))
+
+
 def freshness(parts: list[tuple[str, DataFrame, str]], today: str) -> DataFrame:
     """(table_name, row_count, newest, future_dates): the newest date not after today and how many lie beyond."""
     now = F.lit(today).cast("timestamp_ntz")

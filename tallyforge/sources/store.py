@@ -172,18 +172,30 @@ def archive_members(path: str, suffix: str = ".tsv") -> list[str]:
         return sorted(n for n in z.namelist() if n.lower().endswith(suffix))
 
 
-def extract_member(path: str, wanted: str, folder: str) -> str:
-    """Extracts a member by its exact name, by the end of its path, or with .txt added; returns the file."""
+def extract_member(path: str, wanted: str, folder: str, spark: SparkSession | None = None) -> str:
+    """Extracts a member by its exact name, by the end of its path, or with .txt added; returns the file.
+
+    With spark, folder is any folder that Spark can write to, so that executors read the
+    member from where it is put; without, it is a local one.
+    """
     with zipfile.ZipFile(path) as z:
         names = z.namelist()
         hit = next((n for w in (wanted, wanted + ".txt") for n in names if n == w or n.lower().endswith("/" + w.lower())), None)
         if hit is None:
             raise FileNotFoundError(f"{wanted} is not in {path}")
         target = os.path.join(folder, os.path.basename(hit))
-        os.makedirs(folder, exist_ok=True)
-        with z.open(hit) as src, open(target, "wb") as dst:
-            while part := src.read(1 << 20):
-                dst.write(part)
+        if spark is None:
+            os.makedirs(folder, exist_ok=True)
+            out = open(target, "wb")
+        else:
+            place = spark._jvm.org.apache.hadoop.fs.Path(target)
+            out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+        try:
+            with z.open(hit) as src:
+                while part := src.read(1 << 20):
+                    out.write(part if spark is None else bytearray(part))
+        finally:
+            out.close()
     return target
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.operators.validate import Rule, split_valid, validated
-from tallyforge.plans.sqlgate import describe_table, guarded, run_sql
+from tallyforge.plans.sqlgate import describe_table, documentation, guarded, run_sql
 from tallyforge.sources import delimited as D
 from tallyforge.sources import store as S
 from tallyforge.streaming.ingest import ingest_available, receipts_per_window
@@ -87,6 +87,7 @@ def test_manifest_dead_letters_archives(spark, tmp_path):
     assert S.archive_members(str(tmp_path / "z.zip")) == ["D/DATA/RCPT_CD.TSV"]
     assert open(S.extract_member(str(tmp_path / "z.zip"), "rcpt_cd.tsv", str(tmp_path / "out"))).read() == "r"
     assert open(S.extract_member(str(tmp_path / "z.zip"), "cm", str(tmp_path / "out"))).read() == "c"
+    assert open(S.extract_member(str(tmp_path / "z.zip"), "cm", str(tmp_path / "shared"), spark)).read() == "c"
     with pytest.raises(FileNotFoundError):
         S.extract_member(str(tmp_path / "z.zip"), "nothing", str(tmp_path))
     assert [f[-5:] for f in S.local_files(str(tmp_path))] == ["a.TSV", "b.tsv"]
@@ -96,6 +97,8 @@ def test_rules(spark):
     rules = [Rule("a", "required"), Rule("n", "numeric", 0, 10), Rule("d", "date"), Rule("e", "enum", values=("x", "y")), Rule("a", "length", 1, 3)]
     df = spark.createDataFrame([("ok", "5", "2024-01-31", "x"), (None, None, None, None), ("long", "11", "2024-02-31", "z"), (" ", "q", "", "")], "a string, n string, d string, e string")
     assert [len(r["_validation_errors"]) for r in validated(df, rules).collect()] == [0, 1, 4, 2]
+    crossed = validated(df, [Rule("a", "cross_field", values=("<=", "e"))]).select("a", F.size("_validation_errors").alias("n"))
+    assert {r["a"]: r["n"] for r in crossed.collect()} == {"ok": 0, None: 0, "long": 0, " ": 0} and validated(df, [Rule("a", "cross_field", values=(">", "e"))]).where(F.size("_validation_errors") > 0).count() == 2
     good, bad = split_valid(df, rules)
     assert (good.count(), bad.count()) == (1, 3) and validated(df, []).count() == 4
 
@@ -122,6 +125,10 @@ def test_gate_lets_nothing_but_reads_through(sql, spark, tmp_path):
         spark.sql("drop table gate_t")
 
 
+def test_documentation():
+    assert documentation({"b": len, "a": lambda: 0}) == "# Queries\n\n* `a`\n* `b`: Return the number of items in a container.\n"
+
+
 def test_run_sql(spark):
     spark.range(5).createOrReplaceTempView("five")
     got = run_sql(spark, "select id, cast(id as decimal(5,2)) d, date '2024-01-01' t from five order by id", 2)
