@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.skew import salted_join
+from tallyforge.session import checkpointed
+
 #: Size of the hashed feature space.
 DIMENSIONS = 1 << 16
 #: Closing characters that the features look at; the length counts the whole text.
 TAIL = 480
+#: Sources up to which their widths are broadcast.
+BROADCAST_SOURCES = 100_000
 #: Lengths that differ by so little from a field's width count as its width.
 SLACK = 3
 
@@ -125,27 +130,26 @@ def _score(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(w[rows].sum(axis=1) + w[DIMENSIONS], -30, 30)))
 
 
-def train(docs: DataFrame, widths: dict[str, list[int]], *, doc_id: str, source: str, text: str, sample: int = 20_000, cuts: int = 2) -> np.ndarray:
+def train(docs: DataFrame, limited: Callable[[DataFrame], DataFrame], *, doc_id: str, source: str, text: str, sample: int = 20_000, cuts: int = 2) -> np.ndarray:
     """Weights from artificial cuts of about ``sample`` texts, those with the smallest hashes of their ids.
 
     Texts that do not end at a width of their source are taken as intact and give
     one negative each; cutting them at random places, and at a width of their source
     where they are longer, gives the positives. Cuts behind a finished sentence are
-    not used. Each intact text also counts as one that just fills its field. Since some
+    not used. limited adds the widths of a row's source. Each intact text also counts as one that just fills its field. Since some
     of the assumed intact texts were cut in transfer, those that a model of the other
     half calls cut are left out, twice, before the last model is fitted.
     """
     rows = docs.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.coalesce(F.col(source), F.lit("")).alias("s"), F.col(text).alias("t"), F.xxhash64(F.col(doc_id)).alias("h"))
     share = min(1.0, sample / max(1, docs.select(F.col(doc_id)).count()))
-    rows = rows.where(F.pmod(F.col("h"), F.lit(1_000_000)) < F.lit(round(share * 1_000_000)))
+    rows = limited(rows.where(F.pmod(F.col("h"), F.lit(1_000_000)) < F.lit(round(share * 1_000_000)))).select("limits", "t", "h")
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made: list[list[int]] = []
             label: list[int] = []
             group: list[int] = []
-            for s, t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                limits = widths.get(s, [])
+            for limits, t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if any(abs(len(t) - x) <= SLACK or abs(len(t.rstrip()) - x) <= SLACK for x in limits):
                     continue
                 rng = np.random.default_rng(h & 0xFFFFFFFF)
@@ -198,19 +202,26 @@ def truncated_texts(docs: DataFrame, *, doc_id: str, source: str, text: str, sam
     alike; where no text can be learned from (none longer than a few characters) nothing
     is called cut; other columns are ignored, whatever their names.
     """
-    widths: dict[str, list[int]] = {}
-    for r in field_widths(docs, source=source, text=text).toLocalIterator():  # a few spikes per source
-        widths.setdefault(r["source"], []).append(r["width"])
-    w = train(docs, widths, doc_id=doc_id, source=source, text=text, sample=sample).astype(np.float32)
+    limits: list[DataFrame] = []
+
+    def limited(rows: DataFrame) -> DataFrame:
+        if not limits:
+            known = field_widths(docs, source=source, text=text).groupBy(F.col("source").alias("s")).agg(F.array_sort(F.collect_list("width")).alias("limits"))
+            limits.append(checkpointed(known))
+        few = limits[0].count() <= BROADCAST_SOURCES
+        joined = rows.join(F.broadcast(limits[0]), "s", "left") if few else salted_join(rows, limits[0], ["s"], "left")
+        return joined.withColumn("limits", F.coalesce("limits", F.array().cast("array<int>")))
+
+    w = train(docs, limited, doc_id=doc_id, source=source, text=text, sample=sample).astype(np.float32)
     kind = dict(docs.dtypes)[doc_id]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tails, sizes, sources = b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(1).to_pylist()
-            x = np.array([features(t, n, widths.get(s or "", [])) for t, n, s in zip(tails, sizes, sources)], dtype=np.int64).reshape(len(tails), -1)
+            tails, sizes, fields = (b.column(i).to_pylist() for i in (2, 3, 4))
+            x = np.array([features(t, n, widths) for t, n, widths in zip(tails, sizes, fields)], dtype=np.int64).reshape(len(tails), -1)
             p = _score(w, x) if len(tails) else np.zeros(0)
             p = np.where([bool(t.strip()) for t in tails], p, 0.0) if len(tails) else p
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p, pa.float64())], names=["d", "s", "score"])
 
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(source).alias("s"), F.expr(f"right(`{text}`, {TAIL})").alias("t"), F.length(text).alias("n"))
-    return rows.mapInArrow(score, f"d {kind}, s string, score double").select(F.col("d").alias(doc_id), F.col("s").alias(source), "score", (F.col("score") >= 0.5).alias("cut"))
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(source).alias("source"), F.coalesce(F.col(source), F.lit("")).alias("s"), F.expr(f"right(`{text}`, {TAIL})").alias("t"), F.length(text).alias("n"))
+    return limited(rows).select("d", "source", "t", "n", "limits").mapInArrow(score, f"d {kind}, s string, score double").select(F.col("d").alias(doc_id), F.col("s").alias(source), "score", (F.col("score") >= 0.5).alias("cut"))
