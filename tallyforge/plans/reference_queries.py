@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from tallyforge.operators.similar import name_classes, similar_pairs
 from tallyforge.operators.validate import Rule, validated
 from tallyforge.plans import tools as T
 from tallyforge.plans import views as V
+from tallyforge.plans.sqlgate import describe_table, run_sql
 from tallyforge.sources.store import files_to_load
 from tallyforge.sources.tables import table
 from tallyforge.streaming.ingest import receipts_per_window
@@ -31,7 +34,7 @@ class Warehouse:
     """
 
     def __init__(self, spark: SparkSession, d: str):
-        self.t = lambda name: table(spark, d, name)
+        self.spark, self.t = spark, lambda name: table(spark, d, name)
 
     def rcpt(self) -> DataFrame:
         return V.deduped(self.t("rcpt_cd"), "rcpt_cd", ["row_id"])
@@ -242,6 +245,40 @@ def donor_watch_since(w):
     return T.donor_watch_since(w.receipts(), "candaskulez", "2024-01-01", "row_id").select("src", "row_id", "receipt_date")
 
 
+_ALIASES = "SELECT DISTINCT fullname FROM entity WHERE fullname ILIKE '%growers%' ORDER BY 1 LIMIT 50"
+_ALIASED = f"(donor_naml ILIKE '%vintners%' OR coalesce(ctrib_dscr ILIKE '%vintners%', false) OR donor_naml IN ({_ALIASES}) OR coalesce(ctrib_dscr IN ({_ALIASES}), false)) AND receipt_date >= TIMESTAMP '2024-01-01'"
+
+
+@query(f"SELECT src, row_id, receipt_date FROM ({_GIFT.format(_ALIASED)}) WHERE rn <= keep_n ORDER BY receipt_date DESC, amount DESC, row_id LIMIT 500")
+def donor_watch_with_aliases(w):
+    known = T.alias_names(w.t("entity").select(F.col("fullname").alias("alias_name")), "growers")
+    return T.donor_watch_since(w.receipts(), "vintners", "2024-01-01", "row_id", known).select("src", "row_id", "receipt_date")
+
+
+_VERSIONS = "SELECT '{0}' AS table_name, row_id FROM expn_cd WHERE form_type = '{1}' QUALIFY row_number() OVER (PARTITION BY {2} ORDER BY amend_id DESC NULLS FIRST, filing_id NULLS LAST, line_item NULLS LAST, row_id) = 1"
+_ATT = "(cmte_id IS NOT NULL AND coalesce(trim(tran_id) <> '', false))"
+_TWO = f"{_ATT}, CASE WHEN {_ATT} THEN cmte_id END, CASE WHEN {_ATT} THEN tran_id END, CASE WHEN NOT {_ATT} THEN filing_id END, CASE WHEN NOT {_ATT} THEN line_item END"
+_OTHERS = {"loan_cd": "D", "debt_cd": "G", "splt_cd": "D", "text_memo_cd": "G"}
+
+
+@query(" UNION ALL ".join(_VERSIONS.format(t, f, "filing_id, line_item" if t in V.SLOT_ONLY else _TWO) for t, f in _OTHERS.items()), base=False)
+def dedup_other_tables(w):
+    parts = [V.deduped(w.t("expn_cd").where(F.col("form_type") == f), t, ["row_id"]).select(F.lit(t).alias("table_name"), "row_id") for t, f in _OTHERS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("SELECT s_name, s_nationkey, true AS truncated FROM supplier WHERE s_acctbal > 0 ORDER BY s_name LIMIT 3", base=False)
+def guarded_sql(w):
+    w.t("supplier").createOrReplaceTempView("gate_supplier")
+    got = run_sql(w.spark, "WITH s AS (SELECT * FROM gate_supplier WHERE s_acctbal > 0) SELECT s_name, s_nationkey FROM s ORDER BY s_name", 3)
+    return w.spark.createDataFrame([(r["s_name"], r["s_nationkey"], got["truncated"]) for r in got["rows"]], "s_name string, s_nationkey int, truncated boolean")
+
+
+@query("SELECT 'rcpt_cd' AS table_name, ordinal_position AS position, column_name, (SELECT count(*) FROM rcpt_cd) AS row_count FROM information_schema.columns WHERE table_name = 'rcpt_cd'", base=False)
+def described_table(w):
+    return describe_table(w.t("rcpt_cd"), "rcpt_cd").select("table_name", "position", "column_name", "row_count")
+
+
 _KEPT = "SELECT donor_key, receipt_date, amount, max(dn) AS donor_name, max(cm) AS cmte_id, max(src_n) AS keep_n FROM (SELECT donor_key, receipt_date, amount, src, count(*) AS src_n, max(nullif(donor_name, '')) AS dn, max(cmte_id) AS cm FROM receipts SEMI JOIN scope USING (filing_id) WHERE {0} GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3"
 
 

@@ -6,6 +6,8 @@ semi join. Views are passed in, so that a caller can hand over stored snapshots.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,18 +55,29 @@ def gifts_once(receipts: DataFrame, tie: str) -> DataFrame:
     return keep_max_per_source(receipts, GIFT, "src", _gift_order(tie), null_groups=False)
 
 
-def contributions_by_donor(receipts: DataFrame, donor: str, year: int, tie: str, aliases: list[str] = (), limit: int = 500) -> DataFrame:
-    """Gifts of donors whose name contains the text (or is an alias), newest first."""
+def _by_donor(donor: str, aliases: Sequence[str]) -> Column:
+    """Whether a donor's name or description contains the text, or is one of its aliases; never null."""
     hit = F.col("donor_naml").ilike(f"%{donor}%") | F.col("ctrib_dscr").ilike(f"%{donor}%")
     if aliases:
         hit = hit | F.col("donor_naml").isin(list(aliases)) | F.col("ctrib_dscr").isin(list(aliases))
-    rows = gifts_once(receipts.where(in_year("receipt_date", year) & F.coalesce(hit, F.lit(False))), tie)
+    return F.coalesce(hit, F.lit(False))
+
+
+def alias_names(alias: DataFrame, text: str, limit: int = 50) -> list[str]:
+    """The names that an alias table has for a text, ``limit`` at most, as a search by name takes them."""
+    rows = alias.where(F.col("alias_name").ilike(f"%{text}%")).select("alias_name").distinct().orderBy("alias_name").limit(limit)
+    return [r["alias_name"] for r in rows.collect()]
+
+
+def contributions_by_donor(receipts: DataFrame, donor: str, year: int, tie: str, aliases: Sequence[str] = (), limit: int = 500) -> DataFrame:
+    """Gifts of donors whose name contains the text (or is an alias), newest first."""
+    rows = gifts_once(receipts.where(in_year("receipt_date", year) & _by_donor(donor, aliases)), tie)
     return rows.orderBy(F.col("receipt_date").desc_nulls_last(), F.col("amount").desc(), F.col(tie)).limit(limit)
 
 
-def donor_watch_since(receipts: DataFrame, donor: str, since: str, tie: str, limit: int = 500) -> DataFrame:
-    """Gifts of donors whose name contains the text, on or after a day."""
-    rows = receipts.where((F.col("receipt_date") >= F.lit(since).cast("timestamp_ntz")) & (F.coalesce(F.col("donor_naml").ilike(f"%{donor}%") | F.col("ctrib_dscr").ilike(f"%{donor}%"), F.lit(False))))
+def donor_watch_since(receipts: DataFrame, donor: str, since: str, tie: str, aliases: Sequence[str] = (), limit: int = 500) -> DataFrame:
+    """Gifts of donors whose name contains the text (or is an alias), on or after a day."""
+    rows = receipts.where((F.col("receipt_date") >= F.lit(since).cast("timestamp_ntz")) & _by_donor(donor, aliases))
     return gifts_once(rows, tie).orderBy(F.col("receipt_date").desc_nulls_last(), F.col("amount").desc(), F.col(tie)).limit(limit)
 
 
