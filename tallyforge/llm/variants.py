@@ -206,13 +206,19 @@ def placed_forms(p: DataFrame, keys: Keys) -> DataFrame:
     return forms.unionByName(anyone.join(asked, "form", "left_semi")).distinct()
 
 
-def free_forms(p: DataFrame, keys: Keys | None = None) -> DataFrame:
-    """(form, pid): rewritings of whole names without their place; with keys, of names within the tolerated edits as well."""
-    heads = p.select("pid", "kind", F.explode("heads").alias("head"), F.array_distinct(F.concat(_beside(), _initials()) if keys is None else _needed()).alias("parts"))
+def free_forms(p: DataFrame, keys: Keys | None = None, whole: bool = False) -> DataFrame:
+    """(form, pid): rewritings of names without their place.
+
+    By default of the exact name, with what must agree beside it or with an initial (n).
+    With keys, of all names within the tolerated edits: with a part of what must agree
+    beside them (a), or with all of it when ``whole`` (f).
+    """
+    parts = F.array_distinct(F.concat(_beside(), _initials())) if keys is None else _beside() if whole else _needed()
+    heads = p.select("pid", "kind", F.explode("heads").alias("head"), parts.alias("parts"))
     names = F.transform("parts", lambda b: _form("n", F.col("head"), b))
     if keys is not None:
         heads = heads.join(keys.heads, "head")
-        names = F.flatten(F.transform("heads", lambda h: F.transform("parts", lambda b: _form("a", h, b))))
+        names = F.flatten(F.transform("heads", lambda h: F.transform("parts", lambda b: _form("f" if whole else "a", h, b))))
     return heads.select("pid", F.explode(names).alias("form")).distinct()
 
 
@@ -236,13 +242,14 @@ def form_pairs(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
-def placeless_pairs(p: DataFrame) -> DataFrame:
+def placeless_pairs(p: DataFrame, keys: Keys) -> DataFrame:
     """(a, b, score), a < b: profiles whose place is unknown, or known by code only, with those they may belong to, scored by the rarity of what they share.
 
     A rewriting is the rarer the fewer places know it: its score at a place is the share
     of all rows with the rewriting (of those in the state that the row names, if any
     is known there) that lie there, and a pair's score is the best of the rewritings it shares, so that the
-    rarest decides. Only scores of SURE and more are formed, which at most one place of
+    rarest decides. Rewritings are those of the exact name, and of all names within the
+    tolerated edits together with all that stands beside them. Only scores of SURE and more are formed, which at most one place of
     a rewriting can have: a name known in many places is joined with nothing. A
     rewriting that no row with a place has scores 1. Places are told apart by the first
     three digits of the code; a row without one has those most rows of its town have.
@@ -251,7 +258,7 @@ def placeless_pairs(p: DataFrame) -> DataFrame:
     usual = near.groupBy("town").agg(F.max(F.struct("n", "z3")).alias("m")).select("town", F.col("m.z3").alias("z3"))
     placed = p.join(usual, "town", "left").select("pid", "state", "members", F.when(F.col("zip") != "", F.substring("zip", 1, 3)).otherwise(F.col("z3")).alias("place"), (F.col("town") == "").alias("nowhere"))
     placed = checkpointed(placed.withColumn("lost", F.col("place").isNull() | F.col("nowhere")))
-    forms = checkpointed(free_forms(p))
+    forms = checkpointed(free_forms(p).unionByName(free_forms(p, keys, whole=True)))
     asked = forms.join(placed.where("lost").select("pid"), "pid", "left_semi").select("form").distinct()
     rows = checkpointed(forms.join(asked, "form", "left_semi").join(placed, "pid"))
     scopes = F.explode(F.array_distinct(F.array(F.lit("*"), F.when(F.col("state") != "", F.col("state")).otherwise(F.lit("*"))))).alias("scope")
@@ -385,7 +392,7 @@ def same_entity(a: Side, b: Side, score: float) -> bool:
     heads = head_distance(a, b)
     if heads == 9:
         return False
-    if place == 0 and (score < SURE or heads > 0):
+    if place == 0 and (score < SURE or heads > 1):
         return False
     if a.kind == "P":
         given = given_agreement(a, b)
@@ -436,8 +443,9 @@ def judged_pairs(pairs: DataFrame, p: DataFrame) -> DataFrame:
 
 def linked_profiles(p: DataFrame) -> DataFrame:
     """(a, b): the pairs of profiles that denote one entity."""
-    placed = form_pairs(checkpointed(placed_forms(p, shared_keys(p)))).withColumn("score", F.lit(0.0))
-    return judged_pairs(placed.unionByName(placeless_pairs(p)), p)
+    keys = shared_keys(p)
+    placed = form_pairs(checkpointed(placed_forms(p, keys))).withColumn("score", F.lit(0.0))
+    return judged_pairs(placed.unionByName(placeless_pairs(p, keys)), p)
 
 
 def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:

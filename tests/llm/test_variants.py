@@ -65,11 +65,11 @@ def persons(spark, rows):
 
 def test_the_rarest_shared_form_decides(spark):
     p = persons(spark, [(1, "WILLIAM", "X", "CA", "90001", 9), (2, "WILLIAM", "", "CA", "", 1), (3, "WILLIAM", "Y", "NY", "10001", 9), (4, "WALTER", "Y", "CA", "95001", 1), (5, "WALTER", "", "", "", 1), (6, "WALTER", "Z", "CA", "91001", 2), (7, "ZENO", "", "", "", 1), (8, "ZENO", "", "TX", "", 1)])
-    got = {(r["a"], r["b"]): r["score"] for r in placeless_pairs(p).collect()}
+    got = {(r["a"], r["b"]): r["score"] for r in placeless_pairs(p, shared_keys(p)).collect()}
     assert set(got) == {(1, 2), (7, 8)}  # W. is in many places, WILLIAM in one of the state; WALTER is in two
     assert got[1, 2] == 1.0 and got[7, 8] == 1.0
     more = persons(spark, [(1, "WILLIAM", "X", "CA", "90001", 9), (2, "WILLIAM", "", "", "", 1), (3, "WILLIAM", "Y", "NY", "10001", 1)])
-    assert [(r["a"], r["b"], r["score"]) for r in placeless_pairs(more).collect()] == [(1, 2, 0.9)]
+    assert [(r["a"], r["b"], r["score"]) for r in placeless_pairs(more, shared_keys(more)).collect()] == [(1, 2, 0.9)]
 
 
 def name_of(i):
@@ -80,9 +80,9 @@ def test_frequent_names_are_refined(spark):
     given = sorted(GIVEN)[:100]
     p = persons(spark, [(i, given[i % 100], f"{name_of(7919 * (i // 100))} CITY", "CA", f"{10000 + 1000 * (i // 100)}", 1) for i in range(3000)])
     pairs = form_pairs(placed_forms(p, shared_keys(p))).count()
-    assert 0 < pairs < 30_000 and placeless_pairs(p).isEmpty()  # of 4.5 million with the name
+    assert 0 < pairs < 30_000 and placeless_pairs(p, shared_keys(p)).isEmpty()  # of 4.5 million with the name
     lost = persons(spark, [(9000 + i, given[i], "", "CA", "", 1) for i in range(100)])
-    assert placeless_pairs(p.unionByName(lost)).isEmpty()  # each name is known in 30 places
+    assert placeless_pairs(p.unionByName(lost), shared_keys(p)).isEmpty()  # each name is known in 30 places
 
 
 def test_result_is_the_same_inside_a_larger_table(spark, got):
