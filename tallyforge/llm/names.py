@@ -419,6 +419,16 @@ def misspelt(counts: dict[str, int], times: int = 10) -> set[str]:
     return {w for w, n in counts.items() if any(counts[x] >= times * n and distance(w, x, 1) == 1 for r in _rests(w, 1) for x in near[r])}
 
 
+@lru_cache(maxsize=1)
+def _formal_rests() -> dict[str, list[str]]:
+    """The known given names by what is left of them after deleting up to two letters."""
+    found: dict[str, list[str]] = {}
+    for n in FORMAL:
+        for r in _rests(n, 2):
+            found.setdefault(r, []).append(n)
+    return found
+
+
 @lru_cache(maxsize=50_000)
 def formal_names(token: str, v: Vocabulary = Vocabulary()) -> frozenset[str]:
     """The given names a token may stand for: itself or by its everyday form, with one or two typos in longer ones; a name that only the corpus knows stands for itself."""
@@ -427,7 +437,7 @@ def formal_names(token: str, v: Vocabulary = Vocabulary()) -> frozenset[str]:
     if token in v.given:
         return frozenset([token])
     if len(token) >= 4:
-        near = [(distance(token, n, 2), n) for n in FORMAL if abs(len(n) - len(token)) <= 2]
+        near = [(distance(token, n, 2), n) for n in {n for r in _rests(token, 2 if len(token) >= 6 else 1) for n in _formal_rests().get(r, ())}]
         best = min((d for d, _ in near), default=9)
         if best == 1 or best == 2 and len(token) >= 6:
             return frozenset().union(*(FORMAL[n] for d, n in near if d == best))
