@@ -155,48 +155,58 @@ def _check_column(values: pa.Array, kind: str, pattern: str | None, required: bo
 
 def parse_lines(lines: pa.Array, layout: Layout) -> tuple[list[str | None], list[list[str | None] | None]]:
     """(reason or None, fields or None) for each line of one layout."""
-    lines = lines.cast(pa.large_string())
-    n = len(lines)
+    reason, fields = parse_batch(lines, layout)
+    return reason.tolist(), fields.to_pylist()
+
+
+def parse_batch(lines: pa.Array, layout: Layout) -> tuple[np.ndarray, pa.ListArray]:
+    """parse_lines on Arrow buffers: reasons as an object array, fields as a list array that is null where there is a reason."""
+    n, width = len(lines), len(layout.names)
     reason = np.full(n, None, dtype=object)
-    fields: list = [None] * n
     reason[np.asarray(pc.is_null(lines))] = "column_count"
     kept = np.flatnonzero(np.asarray(pc.is_valid(lines)))
+    none = pa.nulls(n, pa.list_(pa.string()))
     if not len(kept):
-        return reason.tolist(), fields
-    lines = lines.drop_null()
-    sizes = np.asarray(pc.binary_length(lines)).astype(np.int64)
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    data = np.frombuffer(b"".join(x.as_py().encode() for x in lines) or b"\0", dtype=np.uint8)
+        return reason, none
+    lines = pa.concat_arrays([lines.cast(pa.large_string()).drop_null()])
+    offsets = np.frombuffer(lines.buffers()[1], dtype=np.int64)[lines.offset : lines.offset + len(lines) + 1]
+    starts, ends = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+    data = np.frombuffer(lines.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
     quote = ord(layout.quote) if layout.quote else None
-    at, owner, wrong = structural_index(data[: ends[-1]], starts, ends, ord(layout.delimiter), quote)
+    at, owner, wrong = structural_index(data, starts, ends, ord(layout.delimiter), quote)
     counts = np.bincount(owner, minlength=len(kept)) + 1
-    width = len(layout.names)
     reason[kept[wrong]] = "quoting"
     miscounted = ~wrong & (counts != width)
     reason[kept[miscounted]] = "column_count"
     fit = np.flatnonzero(~wrong & ~miscounted)
     if not len(fit):
-        return reason.tolist(), fields
+        return reason, none
     inner = at[np.isin(owner, fit)].reshape(len(fit), width - 1)
     edges = np.concatenate([starts[fit, None] - 1, inner, ends[fit, None]], axis=1)
     bad = np.zeros(len(fit), dtype=bool)
     columns = []
+    padded = data if len(data) else np.zeros(1, dtype=np.uint8)
     for j, (kind, pattern, required) in enumerate(zip(layout.types, layout.formats, layout.required)):
         begin, end = edges[:, j] + 1, edges[:, j + 1].copy()
         if quote is not None:
-            quoted = (end > begin) & (data[np.minimum(begin, len(data) - 1)] == quote)
+            quoted = (end > begin) & (padded[np.minimum(begin, len(padded) - 1)] == quote)
             begin, end = begin + quoted, end - quoted
         values = _strings(data, begin, end)
         if quote is not None:
             values = pc.replace_substring(values, layout.quote * 2, layout.quote)
         wrong_value, values = _check_column(values, kind, pattern, required)
         bad |= wrong_value
-        columns.append(values.to_pylist())
+        columns.append(values.cast(pa.string()))
     reason[kept[fit[bad]]] = "invalid_value"
-    for i, row in zip(fit[~bad], np.array(columns, dtype=object).T[~bad]):
-        fields[kept[i]] = row.tolist()
-    return reason.tolist(), fields
+    good = np.flatnonzero(~bad)
+    # row by row: value j of fitting row i lies at j * rows + i
+    order = (np.arange(width)[None, :] * len(fit) + good[:, None]).ravel()
+    sizes = np.zeros(n + 1, dtype=np.int32)
+    sizes[kept[fit[good]] + 1] = width
+    absent = np.ones(n, dtype=bool)
+    absent[kept[fit[good]]] = False
+    flat = pa.concat_arrays(columns).take(pa.array(order))
+    return reason, pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), flat, mask=pa.array(absent))
 
 
 def parse_rows(df: DataFrame, layouts: dict[str, Layout], *, id_col: str, table_col: str, line_col: str, keep: list[str] = ()) -> DataFrame:
@@ -224,15 +234,17 @@ def parse_rows(df: DataFrame, layouts: dict[str, Layout], *, id_col: str, table_
         for b in batches:
             tables = b.column(1).cast(pa.large_string())
             reason = np.full(b.num_rows, "column_count", dtype=object)
-            fields = np.full(b.num_rows, None, dtype=object)
+            place = np.full(b.num_rows, -1, dtype=np.int64)  # of a row among the parsed ones
+            parts, parsed_rows = [], 0
             for t in pc.unique(tables.drop_null()).to_pylist():
                 if t in layouts:
                     at = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(tables, t), False)))
-                    r, f = parse_lines(b.column(b.num_columns - 1).take(pa.array(at)), layouts[t])
-                    reason[at] = r
-                    for i, x in zip(at, f):
-                        fields[i] = x
-            out = [b.column(i) for i in range(b.num_columns - 1)] + [pa.array(reason, pa.string()), pa.array(fields.tolist(), pa.list_(pa.string()))]
+                    reason[at], fields = parse_batch(b.column(b.num_columns - 1).take(pa.array(at)), layouts[t])
+                    place[at] = parsed_rows + np.arange(len(at))
+                    parts.append(fields)
+                    parsed_rows += len(at)
+            fields = pa.concat_arrays(parts).take(pa.array(place, mask=place < 0)) if parts else pa.nulls(b.num_rows, pa.list_(pa.string()))
+            out = [b.column(i) for i in range(b.num_columns - 1)] + [pa.array(reason, pa.string()), fields]
             yield pa.RecordBatch.from_arrays(out, names=[f"c{i}" for i in range(len(names))] + ["reason", "fields"])
 
     parsed = rows.mapInArrow(run, schema)
