@@ -84,7 +84,7 @@ def profiles(rows: DataFrame, v: Vocabulary, *, row_id: str, last: str, first: s
     keys = ["last", "first", "kind", "town", "state", "code"]
     same = [raw[k].eqNullSafe(distinct[k]) for k in keys]
     members = raw.join(distinct, same).select("id", "rid").join(of_raw, "rid").select("pid", "id")
-    return checkpointed(whole.select("pid", *parts, "members")), members
+    return checkpointed(whole.select("pid", *parts, "members")), checkpointed(members)
 
 
 def with_towns_filled(parsed: DataFrame) -> DataFrame:
@@ -441,9 +441,9 @@ def judged_pairs(pairs: DataFrame, p: DataFrame) -> DataFrame:
     return sides(pairs, p, p).select("a", "b", "score", "sa", "sb").mapInPandas(judge, "a long, b long")
 
 
-def linked_profiles(p: DataFrame) -> DataFrame:
-    """(a, b): the pairs of profiles that denote one entity."""
-    keys = shared_keys(p)
+def linked_profiles(p: DataFrame, keys: Keys | None = None) -> DataFrame:
+    """(a, b): the pairs of profiles that denote one entity; keys are those of p, or of p and others."""
+    keys = keys or shared_keys(p)
     placed = form_pairs(checkpointed(placed_forms(p, keys))).withColumn("score", F.lit(0.0))
     return judged_pairs(placed.unionByName(placeless_pairs(p, keys)), p)
 
