@@ -22,6 +22,9 @@ SURE = 0.9
 #: Rows from which a form's group is joined in several tasks, and in how many.
 SALT_FROM, SALTS = 1024, 16
 
+#: Words that one task takes letters from.
+WORDS_PER_TASK = 10_000
+
 PARSED = "pid long, kind string, head string, heads array<string>, given string, formal array<string>, initials string, office string, year string, words array<string>, numbers string, town string, state string, zip string, members long"
 PARTS = ["kind", "heads", "given", "formal", "initials", "office", "year", "words", "numbers", "town", "state", "zip"]
 
@@ -111,7 +114,8 @@ def respelt(words: DataFrame, most: Column, same: Callable[[str, str], bool]) ->
     w = F.col("word")
     twice = F.when(F.col("most") > 1, F.flatten(F.transform(without(w), without))).otherwise(F.array().cast("array<string>"))
     left = F.array_distinct(F.concat(F.array(w), without(w), twice))
-    cut = words.withColumn("most", most).where("most > 0 and length(word) > 1").select(F.struct("n", "word").alias("w"), F.explode(left).alias("cut")).select("w", F.xxhash64("cut").alias("cut"))
+    tasks = max(1, -(-words.count() // WORDS_PER_TASK))  # each word becomes about a hundred rows
+    cut = words.repartition(tasks, "word").withColumn("most", most).where("most > 0 and length(word) > 1").select(F.struct("n", "word").alias("w"), F.explode(left).alias("cut")).select("w", F.xxhash64("cut").alias("cut"))
     cut = checkpointed(cut)
     near = cut.alias("x").join(cut.alias("y"), "cut").where("x.w < y.w and abs(length(x.w.word) - length(y.w.word)) <= 2").select(F.col("x.w.word").alias("word"), F.col("y.w.word").alias("key")).distinct()
 
