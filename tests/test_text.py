@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as X
+from tallyforge.operators import similar
 from tallyforge.operators.components import connected_components, merged_names
 from tallyforge.operators.similar import name_classes, scored_matches, similar_pairs
 from tallyforge.plans import tools as T
@@ -98,6 +99,38 @@ def test_similar_pairs_are_all_found(spark):
     assert {(r["id"], r["rep"]) for r in name_classes(df, "id", "n").collect() if r["id"] != r["rep"]} == {(2, 0)}
 
 
+@pytest.mark.parametrize(("threshold", "edits"), [(0.7, 3), (0.45, 2), (0.3, None), (0.0, 6)])
+def test_similar_pairs_against_all_pairs(spark, threshold, edits, monkeypatch):
+    r = random.Random(5)
+    names = ["".join(r.choice("ab éx1 -") for _ in range(r.randrange(1, 24))) for _ in range(40)] + [f"{w} for school board 20{y}" for w in ("lanton", "lantin", "boardle") for y in (18, 20)] + ["x" * 60, "x" * 57]
+    for n in names[:40]:
+        for _ in range(2):
+            i, c = r.randrange(len(n)), r.choice(["", "a", " ", "é", "b a"])
+            names.append(n[:i] + c + n[i + r.randrange(2) :])
+    names = sorted({n.strip(" ") for n in names} - {""})
+    words = lambda s: "".join(c if c.isalnum() else " " for c in s).split()
+    grams = {n: {f"  {w} "[i : i + 3] for w in words(n) for i in range(len(w) + 1)} for n in names}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    want = set()
+    for i, a in enumerate(names):
+        for j, b in enumerate(names[:i]):
+            if (shared := len(grams[a] & grams[b])) and shared / len(grams[a] | grams[b]) >= threshold - 1e-9 and (edits is None or distance(a, b) <= edits):
+                want.add((j, i))
+    kinds, join = [], similar.salted_join
+    monkeypatch.setattr(similar, "salted_join", lambda l, *a, **k: kinds.append(l.schema["k" if "k" in l.columns else "g"].dataType.typeName()) or join(l, *a, **k))
+    got = [(x["a"], x["b"]) for x in similar.similar_pairs(spark.createDataFrame(list(enumerate(names)), "id int, n string"), "id", "n", threshold, edits).collect()]
+    assert set(got) == want and len(got) == len(want) > 20
+    assert set(kinds) == {"long"}  # a broadcast by texts takes 64 MB of the driver however few they are
+
+
 def test_scored_matches(spark):
     df = spark.createDataFrame([(1, "Smithson", "Al", None, "X"), (2, "Smithsen", "AL", None, "x"), (3, "Smithson", "Bo", "", "Y"), (4, "SMITHSON", "al", None, "x"), (5, "smithson", "AL", None, "Z"), (None, "Smithson", "Al", None, "X"), (6, None, "Al", None, "X")], "id int, l string, f string, s string, t string")
     got = {(r["a"], r["b"]): r["score"] for r in scored_matches(df, "id", "l", "f", "s", "t", 0.6, 2).collect()}
