@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import trigram_similarity, trigrams
-from tallyforge.operators.similar import name_classes, similar_pairs
+from tallyforge.functions.text import trigrams
+from tallyforge.operators.similar import name_classes, similar_names, similar_pairs
+from tallyforge.session import checkpointed
 
 QUEUE = "queue_id long, entity_a_id long, entity_b_id long, match_score double, match_method string, status string, reviewed_by string, reviewed_at timestamp_ntz, notes string"
 #: Score from which a suggestion is applied without review.
@@ -20,31 +21,30 @@ def matches_of(entities: DataFrame, name: str, city: str | None = None, state: s
 
     The score is the similarity of the family names, above threshold - 0.1 and within
     ``edits``, with 0.2 for an equal given name, 0.1 for an equal suffix and 0.1 for an
-    equal town. The sources are few by their name, so that they are joined with the
-    names that share one of their letter triples.
+    equal town. Similar family names are searched among the distinct ones. Entities that
+    agree in all that is compared score alike, so that only the limit + 1 smallest ids
+    among them can come first; so copies never multiply.
     """
     low = lambda c: F.lower(F.trim(F.col(c)))
     rows = entities.select(F.col("entity_id").alias("id"), low("naml").alias("l"), low("namf").alias("f"), low("nams").alias("s"), low("city").alias("c"), F.upper(F.trim("st")).alias("st")).where("id is not null and l is not null")
     plain = "".join(ch for ch in name.lower() if ch.isalnum() or ch == " ")[:50]
-    own = rows.where(F.col("l").contains(plain))
+    own = F.col("l").contains(plain)
     if city:
-        own = own.where(F.col("c") == city.strip().lower())
+        own &= F.coalesce(F.col("c") == city.strip().lower(), F.lit(False))
     if state:
-        own = own.where(F.col("st") == state.strip().upper()[:2])
-    close = _similar_names(own.select("l").distinct(), rows.select("l").distinct(), threshold - 0.1, edits)
-    side = lambda df, x: df.select(F.col("id").alias(f"{x}_id"), *[F.col(c).alias(f"{c}{x[0]}") for c in "lfsc"])
-    wide = side(own, "source").join(close, "ls").join(side(rows, "target"), "lt").where("source_id <> target_id")
+        own &= F.coalesce(F.col("st") == state.strip().upper()[:2], F.lit(False))
+    first = F.row_number().over(Window.partitionBy(*"lfsc").orderBy("id"))
+    side = lambda df, x: df.withColumn("place", first).where(F.col("place") <= limit + 1).select(F.col("id").alias(f"{x}_id"), *[F.col(c).alias(f"{c}{x[0]}") for c in "lfsc"])
+    names = rows.groupBy(F.col("l").alias("name")).agg(F.max(own).alias("own")).withColumn("l", F.col("name"))
+    least = F.lit(threshold - 0.1).cast("float")
+    near = checkpointed(similar_names(names, "l", threshold - 0.1, edits, "own").where(F.col("similarity") > least))  # each pair once, used both ways
+    same = names.where(F.col("own") & (F.size(trigrams(F.col("l"))) > 0)).select(F.col("l").alias("ls"), F.col("l").alias("lt"), F.lit(1.0).cast("float").alias("similarity")).where(F.col("similarity") > least)
+    close = near.select(F.col("a").alias("ls"), F.col("b").alias("lt"), "similarity").unionByName(near.select(F.col("b").alias("ls"), F.col("a").alias("lt"), "similarity")).unionByName(same).withColumn("similarity", F.col("similarity").cast("double"))
+    wide = side(rows.where(own), "source").join(close, "ls").join(side(rows, "target"), "lt").where("source_id <> target_id")
     bonus = sum((F.when(F.col(f"{c}s") == F.col(f"{c}t"), v).otherwise(0.0) for c, v in (("f", 0.2), ("s", 0.1), ("c", 0.1))), F.lit(0.0))
     return wide.select("source_id", "target_id", F.round(F.col("similarity") + bonus, 4).alias("match_score")).orderBy(F.col("match_score").desc(), "source_id", "target_id").limit(limit)
 
 
-def _similar_names(few: DataFrame, many: DataFrame, above: float, edits: int) -> DataFrame:
-    grams = lambda df, x: df.select(F.col("l").alias(x), F.explode(trigrams(F.col("l"))).alias("g"))
-    pairs = grams(few, "ls").join(grams(many, "lt"), "g").select("ls", "lt").distinct().where(F.levenshtein("ls", "lt", edits) >= 0)
-    scored = pairs.withColumn("similarity", trigram_similarity(F.col("ls"), F.col("lt")))
-    return scored.where(F.col("similarity") > F.lit(above).cast("float")).withColumn("similarity", F.col("similarity").cast("double"))
-
-
 @dataclass(frozen=True)
 class Merges:
     """entity (entity_id, resolved_by, ...), alias (entity_id, alias_name, source_filer_id, source_table) and queue (QUEUE)."""

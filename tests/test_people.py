@@ -88,6 +88,25 @@ def test_matches_of_name(spark):
     assert matches_of(e, "smithson", city="x", state="ca", threshold=0.55).count() == 2
 
 
+def test_matches_of_a_name_with_copies(spark, monkeypatch):
+    kept = []
+    rows = [(i, ("Smithson", "smithsen", "SMITHSONS", "unlike")[i % 4], ("Al", None)[i // 4 % 2], None, ("X", "Y", None)[i // 8 % 3], "CA") for i in range(240)]
+    e = spark.createDataFrame(rows, "entity_id long, naml string, namf string, nams string, city string, st string")
+    monkeypatch.setattr(type(e), "orderBy", lambda df, *c, order=type(e).orderBy: kept.append(df) or order(df, *c))
+    g = {n: {f"  {n} "[i : i + 3] for i in range(len(n) + 1)} for n in ("smithson", "smithsen", "smithsons")}
+    want = []
+    for a in rows:
+        for b in rows:
+            x, y = a[1].lower(), b[1].lower()
+            if "smithson" in x and y in g and a[0] != b[0] and (m := len(g[x] & g[y]) / len(g[x] | g[y])) > 0.45:
+                want.append((-round(m + 0.2 * (a[2] == b[2] == "Al") + 0.1 * (a[4] == b[4] is not None), 4), a[0], b[0]))
+    got = [(r["source_id"], r["target_id"], r["match_score"]) for r in matches_of(e, "smithson", threshold=0.55, limit=3).collect()]
+    assert got == [(a, b, pytest.approx(-s, abs=1e-4)) for s, a, b in sorted(want)[:3]]
+    assert kept[-1].count() <= 12 * 4 * 18 * 4 < len(want)  # 12 and 18 classes, 4 ids each, instead of all pairs
+    got = [(r["source_id"], r["target_id"]) for r in matches_of(e, "smithson", threshold=0.55, limit=len(want) + 5).collect()]
+    assert got == [w[1:] for w in sorted(want)]
+
+
 def test_ranks_over_all_rows(spark):
     df = spark.createDataFrame([(i % 7 if i % 5 else None, i) for i in range(500)], "a int, id int")
     got = {r["id"]: r["place"] for r in ranked(df, [F.col("a").isNull().desc(), F.col("a").desc(), F.col("id")], "place", 6).collect()}
