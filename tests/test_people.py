@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.operators import similar
 from tallyforge.operators.order import ranked
 from tallyforge.plans import federal as E
 from tallyforge.plans.merges import QUEUE, Merges, matches_of
@@ -88,6 +89,16 @@ def test_matches_of_name(spark):
     assert matches_of(e, "smithson", city="x", state="ca", threshold=0.55).count() == 2
 
 
+def test_scan_of_names_with_common_words(spark, monkeypatch):
+    joined, join = [], similar.salted_join
+    monkeypatch.setattr(similar, "salted_join", lambda *a, **k: joined.append(join(*a, **k)) or joined[-1])
+    parts = ["lan", "ton", "mer", "vis", "dor", "kel"]
+    names = [f"{a}{b}{c} for school board" for a in parts for b in parts for c in parts]
+    entity = spark.createDataFrame([(i, n, None) for i, n in enumerate(names)], "entity_id long, naml string, resolved_by long")
+    pairs = Merges(entity, entity.limit(0), spark.createDataFrame([], QUEUE)).scan().count()
+    assert joined[0].count() <= 5 * pairs  # rows the join lets through, one for each triple that a pair was met by
+
+
 def test_matches_of_a_name_with_copies(spark, monkeypatch):
     kept = []
     rows = [(i, ("Smithson", "smithsen", "SMITHSONS", "unlike")[i % 4], ("Al", None)[i // 4 % 2], None, ("X", "Y", None)[i // 8 % 3], "CA") for i in range(240)]
