@@ -99,6 +99,18 @@ def test_scan_of_names_with_common_words(spark, monkeypatch):
     assert joined[0].count() <= 5 * pairs  # rows the join lets through, one for each triple that a pair was met by
 
 
+def test_scan_leaves_names_with_unlike_letters_apart(spark, monkeypatch):
+    joined, join = [], similar.salted_join
+    monkeypatch.setattr(similar, "salted_join", lambda *a, **k: joined.append(join(*a, **k)) or joined[-1])
+    parts = ["tralo", "kemur", "shivo", "bendi", "gruza", "plonu"]
+    names = [f"{a}{b} tree farmers political action committee" for a in parts for b in parts]
+    names += [n.replace("farmers", "farmer") for n in names[:9]]
+    entity = spark.createDataFrame([(i, n, None) for i, n in enumerate(names)], "entity_id long, naml string, resolved_by long")
+    found = Merges(entity, entity.limit(0), spark.createDataFrame([], QUEUE)).scan().select("a", "b").collect()
+    assert sorted(map(tuple, found)) == [(i, 36 + i) for i in range(9)]  # all else that triples let through is more than three edits apart
+    assert 5 * joined[0].select("ida", "idb").distinct().count() <= len(names) * (len(names) - 1) // 2
+
+
 def test_matches_of_a_name_with_copies(spark, monkeypatch):
     kept = []
     rows = [(i, ("Smithson", "smithsen", "SMITHSONS", "unlike")[i % 4], ("Al", None)[i // 4 % 2], None, ("X", "Y", None)[i // 8 % 3], "CA") for i in range(240)]

@@ -99,6 +99,22 @@ def test_similar_pairs_are_all_found(spark):
     assert {(r["id"], r["rep"]) for r in name_classes(df, "id", "n").collect() if r["id"] != r["rep"]} == {(2, 0)}
 
 
+def test_letter_counts_differ_by_at_most_two_an_edit(spark):
+    r = random.Random(8)
+    rows = [("", "é"), ("a" * 9, "a"), ("a" * 12, "a" * 9), ("kj", "jk")]
+    for _ in range(400):
+        a = b = "".join(r.choice("aeeq 01'éж\U0001f600t") for _ in range(r.randrange(30)))
+        for _ in range(r.randrange(4)):
+            i = r.randrange(len(b) + 1)
+            b = b[:i] + r.choice(["", "a", "e", "é", "0"]) + b[i + r.randrange(2) :]
+        rows.append((a, b))
+    df = spark.createDataFrame(rows, "a string, b string")
+    apart = sum(F.bit_count(similar.letter_counts("a", h).bitwiseXOR(similar.letter_counts("b", h))) for h in (0, 1))
+    got = df.select("a", "b", apart.alias("d"), F.levenshtein("a", "b").alias("edits")).collect()
+    assert all(x["d"] <= 2 * x["edits"] - abs(len(x["a"]) - len(x["b"])) for x in got)
+    assert [x["d"] for x in got[:4]] == [1, 0, 3, 0]  # eight more of a letter look like none
+
+
 @pytest.mark.parametrize(("threshold", "edits"), [(0.7, 3), (0.45, 2), (0.3, None), (0.0, 6)])
 def test_similar_pairs_against_all_pairs(spark, threshold, edits, monkeypatch):
     r = random.Random(5)
